@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchsmith.session import checkpoint
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -24,14 +26,12 @@ def dense_positions(df: DataFrame, order_by: list, group_by: list[str] | None =
     """Add ``out`` = 0-based position of each row within its group under ``order_by``.
 
     ``order_by`` must be a total order inside each group (end it with a unique key), so the
-    numbering is the same whatever the partitioning. Callers that read the result more than
-    once should checkpoint it.
+    numbering is the same whatever the partitioning.
     """
     group_by = list(group_by or [])
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order_by)
-    keys = _cols(group_by) + order_cols
     tmp_order = [f"_o{i}" for i in range(len(order_cols))]
     base = df.select("*", *[c.alias(t) for c, t in zip(order_cols, tmp_order)])
     sort_keys = group_by + tmp_order
@@ -40,6 +40,10 @@ def dense_positions(df: DataFrame, order_by: list, group_by: list[str] | None =
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftrightunsigned("_mid", 33))
               .withColumn("_lpos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    # Both the per-task counts and the numbering must see the very same partitions. Range
+    # bounds are sampled, and an input coming out of a shuffle has no fixed row order, so two
+    # evaluations could cut differently: materialise once (reliable checkpoint).
+    tagged = checkpoint(tagged)
     stats = tagged.groupBy(*group_by, "_pid").agg(
         F.min("_lpos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*group_by) if group_by else Window.partitionBy(F.lit(0)))
@@ -48,7 +52,6 @@ def dense_positions(df: DataFrame, order_by: list, group_by: list[str] | None =
     stats = stats.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     res = (tagged.join(stats.select(*group_by, "_pid", "_first", "_start"), [*group_by, "_pid"])
            .withColumn(out, F.col("_start") + F.col("_lpos") - F.col("_first")))
-    del keys
     return res.drop("_mid", "_pid", "_lpos", "_first", "_start", *tmp_order)
 
 

@@ -166,8 +166,8 @@ pairs_all AS (SELECT a.cluster_id, least(a.id, b.id) AS id_left, greatest(a.id,
               FROM ranked a JOIN ranked b ON a.cluster_id = b.cluster_id AND a.id < b.id),
 c AS (SELECT p.* FROM pairs_all p ANTI JOIN gnorm g
       ON g.id_left = p.id_left AND g.id_right = p.id_right)
-SELECT s.cluster_id, s.m AS offers, coalesce(x.total, 0) AS candidates,
-       coalesce(x.good, 0) AS clean_candidates
+SELECT s.cluster_id, s.m AS offers, CAST(coalesce(x.total, 0) AS BIGINT) AS candidates,
+       CAST(coalesce(x.good, 0) AS BIGINT) AS clean_candidates
 FROM msize s LEFT JOIN (SELECT cluster_id, count(*) AS total,
                                sum(CASE WHEN NOT bad THEN 1 ELSE 0 END) AS good
                         FROM c GROUP BY ALL) x USING (cluster_id)""")

@@ -233,7 +233,7 @@ def similarity_by_rank(sims: DataFrame, clusters: DataFrame, depth: int = 50) ->
     top = sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ranks)
     agg = top.groupBy("rank").agg(F.sum("sim").alias("s1"), F.sum(F.col("sim") ** 2).alias("s2"))
     spark = sims.sparkSession
-    all_ranks = spark.range(1, ranks + 1).select(F.col("id").cast("int").alias("rank"))
+    all_ranks = spark.range(1, ranks + 1).select(F.col("id").alias("rank"))
     res = all_ranks.join(agg, "rank", "left").na.fill(0.0, ["s1", "s2"])
     mean = F.col("s1") / F.lit(n_clusters)
     var = F.greatest(F.col("s2") / F.lit(n_clusters) - mean * mean, F.lit(0.0))

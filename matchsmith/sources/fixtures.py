@@ -76,3 +76,17 @@ def gold_from_pair_ids(pair_id_col: str = "pair_id"):
     parts = F.split(F.col(pair_id_col), "#")
     return [parts.getItem(0).cast("long").alias("id_left"),
             parts.getItem(1).cast("long").alias("id_right")]
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide pairs with a ``split`` column: ``test`` = gold pairs; the rest is the training
+    file, of which the pairs named in the validation ids are ``valid`` and the others
+    ``train``."""
+    p = pairs(spark, sf_dir)
+    g = gold(spark, sf_dir).select("pair_id")
+    v = valid_ids(spark, sf_dir)
+    test = p.join(g, "pair_id", "left_semi").withColumn("split", F.lit("test"))
+    train_file = p.join(g, "pair_id", "left_anti")
+    valid = train_file.join(v, "pair_id", "left_semi").withColumn("split", F.lit("valid"))
+    train = train_file.join(v, "pair_id", "left_anti").withColumn("split", F.lit("train"))
+    return train.unionByName(valid).unionByName(test)
