@@ -98,8 +98,25 @@ def clean_text(c: Column, stop_words: list[str] | None = None) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(joined)
 
 
+def clean_column(df, col: str, out: str | None = None, stop_words: list[str] | None = None):
+    """DataFrame form of ``clean_text``: the stop-word test runs in Spark ML's
+    ``StopWordsRemover`` (a JVM hash-set lookup; order and repeats kept) instead of scanning
+    the stop list per token. Null stays null."""
+    from pyspark.ml.feature import StopWordsRemover
+    out = out or col
+    tk, kept = f"__{col}_tk", f"__{col}_kept"
+    swr = StopWordsRemover(inputCol=tk, outputCol=kept, caseSensitive=True,
+                           stopWords=normalized_stop_words(stop_words))
+    t = swr.transform(df.withColumn(tk, tokenize(F.col(col))))
+    cleaned = F.when(F.col(col).isNull(), F.lit(None).cast("string")) \
+        .otherwise(F.array_join(F.col(kept), " "))
+    return t.withColumn(out, cleaned).drop(tk, kept)
+
+
 def clean_columns(df, cols: list[str], stop_words: list[str] | None = None):
-    return df.withColumns({c: clean_text(F.col(c), stop_words) for c in cols})
+    for c in cols:
+        df = clean_column(df, c, c, stop_words)
+    return df
 
 
 def null_to_empty(df, cols: list[str] | None = None):

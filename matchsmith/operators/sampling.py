@@ -127,7 +127,7 @@ def run_rounds(scope: DataFrame, run_round, settled_expr, grow: int = 4,
         rows, counts = run_round(scope)
         rows = checkpoint(rows)
         flagged = scope.join(counts(rows), _key_cols(scope), "left").na.fill(0, ["_n"])
-        flagged = checkpoint(flagged.withColumn("_settled", settled_expr(flagged)))
+        flagged = flagged.withColumn("_settled", settled_expr(flagged))
         ok = flagged.where("_settled").select(*_key_cols(scope))
         done.append(rows.join(ok, _key_cols(scope), "left_semi"))
         nxt = flagged.where(~F.col("_settled")).drop("_settled", "_n")

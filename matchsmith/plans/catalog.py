@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from matchsmith.functions import text as T
 from matchsmith.plans import oracle as O
 from matchsmith.plans import training_sets as TS
-from matchsmith.session import read_table
+from matchsmith.session import read_table, session_memo
 from matchsmith.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,8 @@ def clean_tokens(spark, sf):
 @register("clean_text", f"""
 SELECT doc_id, {O.clean_sql('text')} AS clean FROM documents""")
 def clean_text(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    d = _docs(spark, sf).select("doc_id", "text")
+    return T.clean_column(d, "text", "clean").select("doc_id", "clean")
 
 
 @register("alnum_text", r"""
@@ -126,7 +127,8 @@ _TR = O.training_ctes(CFG.seed, CFG.min_words)
 
 
 def _parts(spark, sf, cfg=CFG):
-    return TS.prepare(FX.offers(spark, sf), FX.gold(spark, sf), cfg)
+    return session_memo(spark, ("parts", sf, cfg),
+                        lambda: TS.prepare(FX.offers(spark, sf), FX.gold(spark, sf), cfg))
 
 
 @register("offer_dedup", O.with_fixtures(*_TR[:2]) +
@@ -223,9 +225,9 @@ FROM pairs_v p LEFT JOIN sl USING (pair_id) LEFT JOIN sr USING (pair_id)
 LEFT JOIN it USING (pair_id)""")
 def title_similarity(spark, sf):
     from matchsmith.functions.similarity import multiset_jaccard_pairs
-    p = FX.pairs(spark, sf).select(
-        "pair_id", T.clean_text(F.col("title_left")).alias("a"),
-        T.clean_text(F.col("title_right")).alias("b"))
+    p = FX.pairs(spark, sf).select("pair_id", F.col("title_left").alias("a"),
+                                   F.col("title_right").alias("b"))
+    p = T.clean_columns(p, ["a", "b"])
     return multiset_jaccard_pairs(p, "pair_id", "a", "b").select(
         "pair_id", F.round("sim", 6).alias("sim"))
 
@@ -287,11 +289,15 @@ def similarity_by_rank(spark, sf):
     return TS.similarity_by_rank(sims, parts.clusters, CFG.stats_depth)
 
 
+def _load_all() -> None:
+    from matchsmith.plans import catalog_ml, catalog_more  # noqa: F401  (register queries)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from matchsmith.plans import catalog_more  # noqa: F401  (registers further queries)
+    _load_all()
     return dict(QUERIES)
 
 
 def all_oracles() -> dict[str, str]:
-    from matchsmith.plans import catalog_more  # noqa: F401
+    _load_all()
     return dict(ORACLE)

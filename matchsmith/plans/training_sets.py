@@ -42,7 +42,7 @@ class SamplingConfig:
 
 def clean_offers(offers: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
     """Only the title is cleaned; the description stays raw."""
-    return offers.withColumn("title", T.clean_text(F.col("title"), stop_words))
+    return T.clean_column(offers, "title", "title", stop_words)
 
 
 def dedup_offers(clean: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def ranked_offers(eligible: DataFrame, clusters: DataFrame, titles: DataFrame,
     e = e.join(t, "title", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
     r = dense_positions(e.select("cluster_id", "id", "title", "bad"),
                         [T.seeded_key(seed, "id"), "id"], ["cluster_id"], "rank")
-    return checkpoint(r)
+    return checkpoint(r.select("cluster_id", "id", "title", "bad", "rank"))
 
 
 def _offer_side(ranked: DataFrame, suffix: str) -> DataFrame:

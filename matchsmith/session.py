@@ -66,5 +66,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def session_memo(spark: SparkSession, key: tuple, build):
+    """Reuse a derived (checkpointed) table within one Spark application: several queries read
+    the same fixture pairs or sampling stages, which are computed and written once."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table. A scan with fewer splits than the cluster has cores (a small file, or one
+    large row group that only one task can read) is spread round-robin over twice the default
+    parallelism; a large table keeps its scan splits and no shuffle is added."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(2 * par)
+    return df
