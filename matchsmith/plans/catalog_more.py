@@ -518,3 +518,23 @@ def fold_average(spark, sf):
                F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("folds"))
     return a.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "folds")
 
+
+
+def _grid_sql() -> str:
+    subs = []
+    for label in TS.TRAINING_SET_SETTINGS:
+        cfg = TS.parse_setting(label, CFG)
+        ctes = (O.training_ctes(cfg.seed, cfg.min_words) + O.similarity_ctes()
+                + O.negatives_ctes(cfg.negatives, cfg.similar_clusters, cfg.seed)
+                + O.positives_ctes(cfg.positives))
+        subs.append(f"SELECT '{label}' AS setting, * FROM (" + O.with_fixtures(*ctes) +
+                    "\nSELECT cluster_id, id_left, id_right, 1 AS label FROM psample UNION ALL"
+                    " SELECT cluster_id, id_left, id_right, 0 AS label FROM nsample) s" + str(len(subs)))
+    return "\nUNION ALL\n".join(subs)
+
+
+@register("training_set_grid", _grid_sql())
+def training_set_grid(spark, sf):
+    """The four training-set settings (1-3, 3-9, 15-45, 50-150 pairs per cluster)."""
+    g = TS.training_set_grid(FX.offers(spark, sf), FX.gold(spark, sf))
+    return g.select("setting", "cluster_id", "id_left", "id_right", "label")

@@ -358,3 +358,42 @@ def attach_titles(pairs: DataFrame, clean: DataFrame) -> DataFrame:
     a = clean.select(F.col("id").alias("id_left"), F.col("title").alias("title_left"))
     b = clean.select(F.col("id").alias("id_right"), F.col("title").alias("title_right"))
     return pairs.join(a, "id_left").join(b, "id_right")
+
+
+# Training-set settings: positives - negatives - similar clusters - cluster share.
+TRAINING_SET_SETTINGS = ["1-3-10-1.0", "3-9-10-1.0", "15-45-10-1.0", "50-150-10-1.0"]
+
+
+def parse_setting(label: str, base: SamplingConfig = SamplingConfig()) -> SamplingConfig:
+    p, n, k, share = label.split("-")
+    return SamplingConfig(positives=int(float(p)), negatives=int(float(n)),
+                          similar_clusters=int(float(k)), share=float(share), seed=base.seed,
+                          min_words=base.min_words, hot_token_clusters=base.hot_token_clusters)
+
+
+def training_set_grid(offers: DataFrame, gold: DataFrame,
+                      settings: list[str] = TRAINING_SET_SETTINGS,
+                      base: SamplingConfig = SamplingConfig()) -> DataFrame:
+    """Positives + negatives for every setting, with a ``setting`` column. Settings that share
+    the cluster share and seed reuse one set of ranked offers, and one similarity table per
+    number of similar clusters."""
+    prepared: dict = {}
+    tops: dict = {}
+    out = None
+    for label in settings:
+        cfg = parse_setting(label, base)
+        pk = (cfg.share, cfg.seed, cfg.min_words)
+        if pk not in prepared:
+            prepared[pk] = prepare(offers, gold, cfg)
+        parts = prepared[pk]
+        if (pk, cfg.similar_clusters) not in tops:
+            tops[(pk, cfg.similar_clusters)] = checkpoint(owned_cluster_pairs(similar(parts, cfg)[1]))
+        owned = tops[(pk, cfg.similar_clusters)]
+        pos = positives(parts, cfg)
+        neg = sample_negative_pairs(parts.ranked, parts.gold_norm, owned, cfg.negatives,
+                                    cfg.seed, cfg.budget(cfg.negatives))
+        neg = neg.select(F.col("owner").alias("cluster_id"), "id_left", "id_right",
+                         F.lit(0).alias("label"))
+        part = pos.unionByName(neg).withColumn("setting", F.lit(label))
+        out = part if out is None else out.unionByName(part)
+    return out
