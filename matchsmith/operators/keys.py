@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchsmith.session import checkpoint
+from matchsmith.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -42,8 +42,9 @@ def dense_positions(df: DataFrame, order_by: list, group_by: list[str] | None =
               .withColumn("_lpos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
     # Both the per-task counts and the numbering must see the very same partitions. Range
     # bounds are sampled, and an input coming out of a shuffle has no fixed row order, so two
-    # evaluations could cut differently: materialise once (reliable checkpoint).
-    tagged = checkpoint(tagged)
+    # evaluations could cut differently: materialise once (parquet in the checkpoint folder;
+    # the count branch then reads only the group and task columns).
+    tagged = materialize(tagged)
     stats = tagged.groupBy(*group_by, "_pid").agg(
         F.min("_lpos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*group_by) if group_by else Window.partitionBy(F.lit(0)))

@@ -56,6 +56,7 @@ def within_cluster_prefix(ranked: DataFrame, scope: DataFrame) -> DataFrame:
     cluster). Returns ``cluster_id, pos, id_left, id_right, bad`` with id_left < id_right.
     """
     sc = scope.select("cluster_id", "m", "budget")
+    ranked = _below_max_budget(ranked, sc, "budget")
     left = ranked.join(sc, "cluster_id").where(F.col("rank") < F.col("budget"))
     d_hi = F.least(_half(F.col("m")),
                    F.floor((F.col("budget") - 1 - F.col("rank")) / F.col("m")) + 1)
@@ -84,6 +85,7 @@ def cross_cluster_prefix(ranked: DataFrame, lists: DataFrame) -> DataFrame:
     bad`` where id_left is the owner-side offer.
     """
     ls = lists.select("owner", "other", "m_o", "m_x", "budget")
+    ranked = _below_max_budget(ranked, ls, "budget")
     left = (ranked.select(F.col("cluster_id").alias("owner"), "rank", "id", "bad")
             .join(ls, "owner").where(F.col("rank") < F.col("budget")))
     d_hi = F.least(F.col("m_x") - 1,
@@ -104,6 +106,13 @@ def cross_cluster_prefix(ranked: DataFrame, lists: DataFrame) -> DataFrame:
         (F.col("bad") | F.col("bad_j")).alias("bad"))
 
 
+def _below_max_budget(ranked: DataFrame, scope: DataFrame, budget: str) -> DataFrame:
+    """A literal bound on ``rank`` that the scan can push down: no pair at positions below a
+    budget B touches a rank of 2B or more (see the partner bounds above)."""
+    mx = scope.agg(F.max(budget)).first()[0] or 0
+    return ranked.where(F.col("rank") < F.lit(2 * int(mx) + 1))
+
+
 def exclude_pairs(cands: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drop candidates present in ``excluded`` (id_left, id_right) in either order."""
     ex = excluded.select(F.least("id_left", "id_right").alias("_a"),

@@ -91,8 +91,9 @@ def pairs_from_tables(table_a: DataFrame, table_b: DataFrame, pairs: DataFrame,
             raise ValueError("pair table names an id missing from an entity table")
     la = side_prefix(a, "left").withColumnRenamed(f"left_{a_key}", left)
     rb = side_prefix(b, "right").withColumnRenamed(f"right_{b_key}", right)
-    p = surrogate_ids(pairs.select(left, right, F.col(label).alias("label"), *order)
-                      , order, "id", start=1)
+    extra = [c for c in order if c not in (left, right, label)]
+    p = surrogate_ids(pairs.select(left, right, F.col(label).alias("label"), *extra),
+                      order, "id", start=1)
     j = p.join(la, left).join(rb, right)
     return j.select("id", "label", F.col(left).alias(f"left_{a_key}"),
                     *[c for c in la.columns if c != left],

@@ -1,13 +1,12 @@
 """Word-occurrence vectorising: vocabulary per feature combination (document frequency >= 2
 over distinct entities), binary word vectors, and word co-occurrence of a pair.
 
-Vectors are sorted ``array<long>`` word indices (a sparse binary vector); ``to_sparse`` turns
-them into ``ml.linalg.SparseVector`` for Spark ML. Everything is explode / aggregate / join.
+Vectors are sorted ``array<long>`` word indices (a sparse binary vector) with their words;
+``binary_vectorizer`` turns word arrays into ``ml.linalg.SparseVector`` for Spark ML. Everything is explode / aggregate / join.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,29 +37,38 @@ def vocabulary(texts: DataFrame, min_df: int = 2) -> DataFrame:
 
 
 def word_vectors(texts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``combo, id, idx``: sorted vocabulary indices of each document (missing words dropped;
-    documents without any known word get an empty array)."""
+    """``combo, id, idx, words``: sorted vocabulary indices of each document and the words in
+    the same order (missing words dropped; documents without a known word get [])."""
     w = doc_words(texts).join(vocab.select("combo", "word", "idx"), ["combo", "word"])
-    v = w.groupBy("combo", "id").agg(F.array_sort(F.collect_list("idx")).alias("idx"))
-    return texts.select("combo", "id").join(v, ["combo", "id"], "left").withColumn(
-        "idx", F.coalesce("idx", F.array().cast("array<bigint>")))
+    v = w.groupBy("combo", "id").agg(F.array_sort(F.collect_list(F.struct("idx", "word")))
+                                     .alias("iw"))
+    v = v.select("combo", "id", F.col("iw.idx").alias("idx"), F.col("iw.word").alias("words"))
+    return texts.select("combo", "id").join(v, ["combo", "id"], "left") \
+        .withColumn("idx", F.coalesce("idx", F.array().cast("array<bigint>"))) \
+        .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 def cooccurrence(pairs: DataFrame, vectors: DataFrame, left: str = "id_left",
                  right: str = "id_right") -> DataFrame:
     """Per pair and combination: the vocabulary words both offers contain (element-wise
     product of two binary vectors), as sorted indices ``shared``."""
-    lv = vectors.select("combo", F.col("id").alias(left), F.col("idx").alias("_l"))
-    rv = vectors.select("combo", F.col("id").alias(right), F.col("idx").alias("_r"))
+    lv = vectors.select("combo", F.col("id").alias(left), F.col("idx").alias("_l"),
+                        F.col("words").alias("_lw"))
+    rv = vectors.select("combo", F.col("id").alias(right), F.col("idx").alias("_r"),
+                        F.col("words").alias("_rw"))
     j = pairs.join(lv, left).join(rv, ["combo", right])
-    return j.withColumn("shared", F.array_sort(F.array_intersect("_l", "_r"))).drop("_l", "_r")
-
-
-def to_sparse(idx: Column, size: int) -> Column:
-    """Sorted index array to a binary ``SparseVector`` of ``size`` (built JVM-side)."""
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                        lambda i: F.array_contains(idx, i.cast("long")).cast("double"))
-    return array_to_vector(dense)
+    return j.withColumn("shared", F.array_sort(F.array_intersect("_l", "_r"))) \
+        .withColumn("shared_words", F.array_intersect("_lw", "_rw")).drop("_l", "_r", "_lw", "_rw")
+
+
+def binary_vectorizer(vocab: DataFrame, input_col: str, output_col: str):
+    """Spark ML ``CountVectorizerModel`` (binary) over the vocabulary in index order: word
+    arrays become sparse 0/1 vectors whose positions are the vocabulary indices. The model
+    keeps the vocabulary on the driver, as every Spark ML vocabulary model does."""
+    from pyspark.ml.feature import CountVectorizerModel
+    words = [r[0] for r in vocab.orderBy("idx").select("word").collect()]
+    return CountVectorizerModel.from_vocabulary(words, inputCol=input_col, outputCol=output_col,
+                                                binary=True)
 
 
 def vector_abs_diff(a: Column, b: Column) -> Column:

@@ -257,8 +257,7 @@ _NEG = _SIM + O.negatives_ctes(CFG.negatives, CFG.similar_clusters, CFG.seed)
           "\nSELECT owner, other FROM owned2")
 def owned_cluster_pairs(spark, sf):
     parts = _parts(spark, sf)
-    _, top = TS.similar(parts, CFG)
-    return TS.owned_cluster_pairs(top)
+    return TS.owned_pairs(parts, CFG)
 
 
 @register("negative_list_sizes", O.with_fixtures(*_NEG[:-4]) +
@@ -266,8 +265,7 @@ def owned_cluster_pairs(spark, sf):
 def negative_list_sizes(spark, sf):
     """Candidate non-match pairs per owned cluster pair and the owner's equal share."""
     parts = _parts(spark, sf)
-    _, top = TS.similar(parts, CFG)
-    owned = TS.owned_cluster_pairs(top)
+    owned = TS.owned_pairs(parts, CFG)
     p = TS.negative_plan(parts.ranked, parts.gold_norm, owned, CFG.negatives, CFG.seed)
     return p.select("owner", "other", F.col("L").alias("candidates"),
                     F.col("min_len").alias("equal_share"))

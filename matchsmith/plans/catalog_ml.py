@@ -302,9 +302,8 @@ register("gbt_predictions")(_predict("gradient_boosting"))
 def nb_predictions(spark, sf):
     """Bernoulli naive Bayes (Spark ML) on word co-occurrence vectors of the train split."""
     c, vocab = _cooc_train(spark, sf)
-    size = vocab.count()
-    d = c.withColumn("features", V.to_sparse(F.col("shared"), size)) \
-        .withColumn("label", F.col("label").cast("double"))
+    cv = V.binary_vectorizer(vocab, "shared_words", "features")
+    d = cv.transform(c).withColumn("label", F.col("label").cast("double"))
     model = MD.spark_nb("bernoulli").fit(d.where(F.col("split") == "train"))
     pred = model.transform(d.where(F.col("split") == "test"))
     return pred.select("pair_id", F.col("label").cast("int").alias("label"),

@@ -105,16 +105,13 @@ def sampling_diagnostics(spark, sf):
     """Counts the sampling reports: clusters without a clean pair, without any pair, clusters
     whose similar pairs were all owned by earlier clusters, and pair totals."""
     parts = _parts(spark, sf)
-    pos = TS.sample_positive_pairs(parts.ranked, parts.gold_norm, CFG.positives,
-                                   CFG.budget(CFG.positives))
+    pos = TS.positive_sample(parts, CFG)
     plan = TS.positive_plan(parts.ranked, parts.gold_norm, CFG.positives)
     pos_n = pos.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"),
                                           F.min(F.col("bad").cast("int")).alias("all_bad"))
     pos_n = pos_n.join(plan.select("cluster_id", "S"), "cluster_id")
-    _, top = TS.similar(parts, CFG)
-    owned = TS.owned_cluster_pairs(top)
-    neg = TS.sample_negative_pairs(parts.ranked, parts.gold_norm, owned, CFG.negatives,
-                                   CFG.seed, CFG.budget(CFG.negatives))
+    owned = TS.owned_pairs(parts, CFG)
+    neg = TS.negative_sample(parts, CFG)
     nplan = TS.negative_plan(parts.ranked, parts.gold_norm, owned, CFG.negatives, CFG.seed) \
         .groupBy("owner").agg(F.max("S").alias("S"))
     neg_n = neg.groupBy("owner").agg(F.count(F.lit(1)).alias("n"),

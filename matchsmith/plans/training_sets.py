@@ -9,7 +9,7 @@ offers is still cut across many tasks. Pair work is bounded by the sample sizes
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from matchsmith.operators.joins import bounded_broadcast
 from matchsmith.operators.keys import dense_positions
 from matchsmith.operators.sampling import (capped_sample, cross_cluster_prefix, exclude_pairs,
                                            run_rounds, within_cluster_prefix)
-from matchsmith.session import checkpoint
+from matchsmith.session import checkpoint, materialize
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,9 @@ def ranked_offers(eligible: DataFrame, clusters: DataFrame, titles: DataFrame,
     e = e.join(t, "title", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
     r = dense_positions(e.select("cluster_id", "id", "title", "bad"),
                         [T.seeded_key(seed, "id"), "id"], ["cluster_id"], "rank")
-    return checkpoint(r.select("cluster_id", "id", "title", "bad", "rank"))
+    # parquet sorted by rank inside each file: every sampling round reads only ranks below
+    # its largest budget, and row-group statistics skip the rest of a large cluster
+    return materialize(r.select("cluster_id", "id", "title", "bad", "rank"), ["rank"])
 
 
 def _offer_side(ranked: DataFrame, suffix: str) -> DataFrame:
@@ -319,6 +321,13 @@ class TrainingSetParts:
     gold_norm: DataFrame
     clusters: DataFrame
     ranked: DataFrame
+    # stage outputs already computed for these parts (similarity, samples), by parameters
+    done: dict = field(default_factory=dict)
+
+    def once(self, key: tuple, build):
+        if key not in self.done:
+            self.done[key] = build()
+        return self.done[key]
 
 
 def prepare(offers: DataFrame, gold: DataFrame, cfg: SamplingConfig,
@@ -332,24 +341,42 @@ def prepare(offers: DataFrame, gold: DataFrame, cfg: SamplingConfig,
     return TrainingSetParts(clean, eligible, gnorm, clusters, ranked)
 
 
+def positive_sample(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
+    """Sampled match pairs with their sequence position and gold-title flag."""
+    return parts.once(("positives", cfg.positives, cfg.budget(cfg.positives)),
+                      lambda: sample_positive_pairs(parts.ranked, parts.gold_norm,
+                                                    cfg.positives, cfg.budget(cfg.positives)))
+
+
 def positives(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
-    s = sample_positive_pairs(parts.ranked, parts.gold_norm, cfg.positives,
-                              cfg.budget(cfg.positives))
-    return s.select("cluster_id", "id_left", "id_right", F.lit(1).alias("label"))
+    return positive_sample(parts, cfg).select("cluster_id", "id_left", "id_right", F.lit(1).alias("label"))
 
 
 def similar(parts: TrainingSetParts, cfg: SamplingConfig) -> tuple[DataFrame, DataFrame]:
-    bags = cluster_bags(parts.clean, parts.clusters)
-    sims = checkpoint(cluster_similarity(bags, cfg.hot_token_clusters))
-    return sims, top_similar(sims, parts.clusters, cfg.similar_clusters)
+    def build():
+        bags = cluster_bags(parts.clean, parts.clusters)
+        sims = checkpoint(cluster_similarity(bags, cfg.hot_token_clusters))
+        return sims, checkpoint(top_similar(sims, parts.clusters, cfg.similar_clusters))
+    return parts.once(("similar", cfg.similar_clusters, cfg.hot_token_clusters), build)
+
+
+def owned_pairs(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
+    return parts.once(("owned", cfg.similar_clusters, cfg.hot_token_clusters),
+                      lambda: checkpoint(owned_cluster_pairs(similar(parts, cfg)[1])))
+
+
+def negative_sample(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
+    """Sampled non-match pairs with owner, other cluster, interleaved position and flag."""
+    owned = owned_pairs(parts, cfg)
+    return parts.once(("negatives", cfg.similar_clusters, cfg.negatives, cfg.seed,
+                       cfg.budget(cfg.negatives)),
+                      lambda: sample_negative_pairs(parts.ranked, parts.gold_norm, owned,
+                                                    cfg.negatives, cfg.seed,
+                                                    cfg.budget(cfg.negatives)))
 
 
 def negatives(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
-    _, top = similar(parts, cfg)
-    owned = checkpoint(owned_cluster_pairs(top))
-    s = sample_negative_pairs(parts.ranked, parts.gold_norm, owned, cfg.negatives, cfg.seed,
-                              cfg.budget(cfg.negatives))
-    return s.select(F.col("owner").alias("cluster_id"), F.col("other").alias("other_cluster_id"),
+    return negative_sample(parts, cfg).select(F.col("owner").alias("cluster_id"), F.col("other").alias("other_cluster_id"),
                     "id_left", "id_right", F.lit(0).alias("label"))
 
 
@@ -378,7 +405,6 @@ def training_set_grid(offers: DataFrame, gold: DataFrame,
     the cluster share and seed reuse one set of ranked offers, and one similarity table per
     number of similar clusters."""
     prepared: dict = {}
-    tops: dict = {}
     out = None
     for label in settings:
         cfg = parse_setting(label, base)
@@ -386,14 +412,8 @@ def training_set_grid(offers: DataFrame, gold: DataFrame,
         if pk not in prepared:
             prepared[pk] = prepare(offers, gold, cfg)
         parts = prepared[pk]
-        if (pk, cfg.similar_clusters) not in tops:
-            tops[(pk, cfg.similar_clusters)] = checkpoint(owned_cluster_pairs(similar(parts, cfg)[1]))
-        owned = tops[(pk, cfg.similar_clusters)]
         pos = positives(parts, cfg)
-        neg = sample_negative_pairs(parts.ranked, parts.gold_norm, owned, cfg.negatives,
-                                    cfg.seed, cfg.budget(cfg.negatives))
-        neg = neg.select(F.col("owner").alias("cluster_id"), "id_left", "id_right",
-                         F.lit(0).alias("label"))
+        neg = negatives(parts, cfg).drop("other_cluster_id")
         part = pos.unionByName(neg).withColumn("setting", F.lit(label))
         out = part if out is None else out.unionByName(part)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Like ``checkpoint`` this cuts the lineage and survives executor loss, and the read-back
+    table supports column pruning and filter pushdown; ``sort_within`` orders rows inside each
+    file so row-group statistics let range filters skip most of it."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/matchsmith-tables/{uuid.uuid4().hex}"
+    w = df.sortWithinPartitions(*sort_within) if sort_within else df
+    w.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _MEMO: dict[tuple, object] = {}
 
 

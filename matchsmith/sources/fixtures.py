@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchsmith.operators.keys import next_in_order
-from matchsmith.session import checkpoint, read_table, session_memo
+from matchsmith.session import materialize, read_table, session_memo
 
 TITLE_RE = r"^\s*(\S+(?:\s+\S+){0,11})"
 DESCRIPTION_RE = r"^\s*(?:\S+\s+){12}((?:\S+\s+){0,39}\S+)"
@@ -43,7 +43,7 @@ def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide labelled pairs: ``pair_id, id_left, id_right, label, <attr>_left, <attr>_right``
     (built once per application and checkpointed)."""
-    return session_memo(spark, ("pairs", sf_dir), lambda: checkpoint(_pairs(spark, sf_dir)))
+    return session_memo(spark, ("pairs", sf_dir), lambda: materialize(_pairs(spark, sf_dir)))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from matchsmith.operators.vectors import to_sparse
+from matchsmith.operators.vectors import binary_vectorizer
 from matchsmith.plans import models as MD
 
 
@@ -13,9 +13,12 @@ def test_bernoulli_params_equal_spark_ml(spark):
     rnd = random.Random(0)
     rows = [(i, i % 2, sorted(rnd.sample(range(6), rnd.randint(0, 4)))) for i in range(60)]
     df = spark.createDataFrame(rows, "pair_id long, label int, shared array<long>")
-    vocab = spark.range(6).select(F.col("id").alias("idx"))
-    p = {(r.label, r.feature): r.log_prob for r in MD.bernoulli_nb_params(df, "shared", vocab).collect()}
-    d = df.withColumn("features", to_sparse(F.col("shared"), 6)).withColumn("label", F.col("label").cast("double"))
+    p = {(r.label, r.feature): r.log_prob for r in MD.bernoulli_nb_params(
+        df, "shared", spark.range(6).select(F.col("id").alias("idx"))).collect()}
+    words = df.withColumn("w", F.transform("shared", lambda i: F.concat(F.lit("w"), i.cast("string"))))
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(6)], "word string, idx long")
+    cv = binary_vectorizer(vocab, "w", "features")
+    d = cv.transform(words).withColumn("label", F.col("label").cast("double"))
     m = MD.spark_nb("bernoulli").fit(d)
     theta = m.theta.toArray()
     for c in (0, 1):
