@@ -7,11 +7,17 @@ batches. Null or empty sides give null.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+# Ship these kernels to the Python workers by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the measures: Winkler prefix weight and length, boost threshold, gap cost.
 WINKLER_PREFIX_WEIGHT = 0.1
 WINKLER_MAX_PREFIX = 4

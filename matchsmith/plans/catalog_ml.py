@@ -125,7 +125,8 @@ def _plan(spark, sf, include_align=True):
 def _features(spark, sf, include_align=True):
     plan = _plan(spark, sf, include_align)
     pairs = FX.splits(spark, sf)
-    return FE.pair_features(pairs, plan, ["split", "pair_id", "label"]), plan
+    ents = _entities(spark, sf, False)
+    return FE.pair_features(pairs, plan, ["split", "pair_id", "label"], entities=ents), plan
 
 
 # Measures in SQL for the oracle (same definitions as features.measure).

@@ -97,9 +97,50 @@ def measure(name: str, a: Column, b: Column) -> Column:
     return F.when(missing, F.lit(None).cast("double")).otherwise(v)
 
 
+_SET_TOKENS = {"jaccard_qgm3": "qg3", "cosine_dlm": "ws", "jaccard_dlm": "ws"}
+
+
+def _token_set(kind: str, c: Column) -> Column:
+    return F.array_distinct(S.qgrams(c, 3) if kind == "qg3" else _words(c))
+
+
+def _set_measure(name: str, a: Column, b: Column) -> Column:
+    inter = F.size(F.array_intersect(a, b))
+    if name == "cosine_dlm":
+        den = F.sqrt(F.size(a) * F.size(b))
+        return F.when(den == 0, F.lit(None).cast("double")).otherwise(inter / den)
+    union = F.size(a) + F.size(b) - inter
+    return F.when(union == 0, F.lit(None).cast("double")).otherwise(inter / union)
+
+
 def pair_features(pairs: DataFrame, plan: list[tuple[str, str]], keep: list[str],
-                  left: str = "{}_left", right: str = "{}_right") -> DataFrame:
-    """One ``select``: every planned measure for every pair, named ``<attr>_<measure>``."""
-    cols = [measure(m, F.col(left.format(a)).cast("string"), F.col(right.format(a)).cast("string"))
-            .alias(f"{a}_{m}") for a, m in plan]
-    return pairs.select(*keep, *cols)
+                  left: str = "{}_left", right: str = "{}_right",
+                  entities: DataFrame | None = None) -> DataFrame:
+    """One ``select``: every planned measure for every pair, named ``<attr>_<measure>``.
+
+    With ``entities`` (``id`` + attributes), token sets of the set measures are built once
+    per entity and joined to both sides of each pair (an entity is in many pairs), instead of
+    being rebuilt for every pair side."""
+    sets = sorted({(a, _SET_TOKENS[m]) for a, m in plan if m in _SET_TOKENS})
+    if entities is None or not sets:
+        cols = [measure(m, F.col(left.format(a)).cast("string"),
+                        F.col(right.format(a)).cast("string")).alias(f"{a}_{m}")
+                for a, m in plan]
+        return pairs.select(*keep, *cols)
+    ent = entities.select("id", *[_token_set(k, F.col(a).cast("string")).alias(f"_{a}_{k}")
+                                  for a, k in sets])
+    lt = ent.select(*[F.col(c).alias(f"{c}_l" if c != "id" else "id_left") for c in ent.columns])
+    rt = ent.select(*[F.col(c).alias(f"{c}_r" if c != "id" else "id_right") for c in ent.columns])
+    j = pairs.join(lt, "id_left", "left").join(rt, "id_right", "left")
+    cols = []
+    for a, m in plan:
+        x, y = F.col(left.format(a)).cast("string"), F.col(right.format(a)).cast("string")
+        if m in _SET_TOKENS:
+            k = _SET_TOKENS[m]
+            v = _set_measure(m, F.col(f"_{a}_{k}_l"), F.col(f"_{a}_{k}_r"))
+            missing = x.isNull() | y.isNull() | (x == "") | (y == "")
+            cols.append(F.when(missing, F.lit(None).cast("double")).otherwise(v)
+                        .alias(f"{a}_{m}"))
+        else:
+            cols.append(measure(m, x, y).alias(f"{a}_{m}"))
+    return j.select(*keep, *cols)
