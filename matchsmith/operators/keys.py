@@ -73,3 +73,36 @@ def next_in_order(df: DataFrame, key: str, order_by: list, group_by: list[str] |
                           order_by, group_by, "_p")
     nxt = pos.select(*group_by, (F.col("_p") - 1).alias("_p"), F.col(key).alias(out))
     return pos.join(nxt, [*group_by, "_p"], "left").drop("_p")
+
+
+# Rows per bucket of a seeded random ranking: a group larger than this is split into
+# ceil(size / RANK_CHUNK) hash buckets, each ranked by one task.
+RANK_CHUNK = 1_000_000
+
+
+def random_ranks(df: DataFrame, key: str, seed, group_by: list[str] | None = None,
+                 out: str = "rank", chunk: int = RANK_CHUNK) -> DataFrame:
+    """Seeded random permutation rank 0..n-1 of the rows of each group, fully declarative.
+
+    The order is (bucket, md5('seed|key'), key) with bucket = first 8 hex digits of the md5
+    modulo ceil(n / chunk): for groups of at most ``chunk`` rows that is exactly the md5
+    order. A hot group is cut into bounded buckets ranked in parallel; bucket offsets come
+    from a (group x bucket) count table. Deterministic for any partitioning, so no checkpoint
+    is needed."""
+    from matchsmith.functions.text import seeded_key
+    g = list(group_by or [])
+    gcols = g or [F.lit(0).alias("_g0")]
+    gnames = g or ["_g0"]
+    base = df.select("*", *([] if g else [F.lit(0).alias("_g0")]))
+    h = seeded_key(seed, key)
+    sizes = base.groupBy(*gnames).agg(F.count(F.lit(1)).alias("_n"))
+    d = base.join(sizes, gnames).withColumn("_h", h)
+    k = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(chunk)))
+    d = d.withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), k))
+    counts = d.groupBy(*gnames, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(*gnames).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0)))
+    d = d.join(counts.select(*gnames, "_b", "_off"), [*gnames, "_b"])
+    w = Window.partitionBy(*gnames, "_b").orderBy("_h", key)
+    d = d.withColumn(out, F.row_number().over(w) - 1 + F.col("_off"))
+    return d.drop("_n", "_h", "_b", "_off", *([] if g else ["_g0"]))

@@ -1,7 +1,9 @@
 """Splits, stratified folds and label noise, all exact and seeded.
 
-Class-wise numbering uses ``keys.dense_positions`` (range-partitioned), not a window over the
-label: a label column has two values, so a label window would put half the table in one task.
+Class-wise numbering never uses a window over the label alone: a label column has two values,
+so such a window would put half the table in one task. Exact order (folds) goes through
+``keys.dense_positions`` (range-partitioned); seeded random order (noise) through
+``keys.random_ranks`` (hash buckets of bounded size).
 """
 
 from __future__ import annotations
@@ -9,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchsmith.functions.text import seeded_key
 from matchsmith.operators.joins import bounded_broadcast
-from matchsmith.operators.keys import dense_positions
+from matchsmith.operators.keys import dense_positions, random_ranks
 
 # Noise settings (rate per step, steps) of the label-noise grid.
 NOISE_GRID = [(0.01, 1), (0.02, 1), (0.03, 1), (0.04, 1), (0.05, 1), (0.1, 1),
@@ -32,6 +33,14 @@ def class_positions(df: DataFrame, label: str, order: list, out: str = "cpos") -
     return pos.join(bounded_broadcast(sizes), label)
 
 
+def class_random_ranks(df: DataFrame, label: str, key: str, seed,
+                       out: str = "cpos") -> DataFrame:
+    """Seeded random rank inside each class (``keys.random_ranks``), and the class size."""
+    pos = random_ranks(df, key, seed, [label], out)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
+    return pos.join(bounded_broadcast(sizes), label)
+
+
 def flip_count(n: Column, rate: float, steps: int) -> Column:
     return F.lit(steps) * F.floor(n.cast("double") * F.lit(float(rate)))
 
@@ -41,7 +50,7 @@ def add_label_noise(df: DataFrame, key: str = "pair_id", label: str = "label",
                     neg_steps: int = 1, seed: int = 42) -> DataFrame:
     """Flip exactly steps x floor(n x rate) labels per class (n = class size), chosen without
     repeats by seeded hash order. Adds ``flipped``."""
-    c = class_positions(df, label, [seeded_key(seed, key), key])
+    c = class_random_ranks(df, label, key, seed)
     k = F.when(F.col(label) == 1, flip_count(F.col("class_n"), pos_rate, pos_steps)) \
         .otherwise(flip_count(F.col("class_n"), neg_rate, neg_steps))
     flipped = F.col("cpos") < k
@@ -58,7 +67,7 @@ def label_noise_grid(df: DataFrame, key: str = "pair_id", label: str = "label",
                      grid=NOISE_GRID, seed: int = 42) -> DataFrame:
     """All noised copies in one pass: the class ranking is computed once and each setting is a
     generated row (the grid is a fixed parameter list, not a table)."""
-    c = class_positions(df, label, [seeded_key(seed, key), key])
+    c = class_random_ranks(df, label, key, seed)
     g = F.array(*[F.struct(F.lit(noise_setting_name(r, s)).alias("setting"),
                            F.lit(float(r)).alias("rate"), F.lit(s).alias("steps"))
                   for r, s in grid])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from matchsmith.functions import text as T
 from matchsmith.operators.joins import bounded_broadcast
-from matchsmith.operators.keys import dense_positions
+from matchsmith.operators.keys import random_ranks
 from matchsmith.operators.sampling import (capped_sample, cross_cluster_prefix, exclude_pairs,
                                            run_rounds, within_cluster_prefix)
 from matchsmith.session import checkpoint, materialize
@@ -87,8 +87,7 @@ def select_clusters(clusters: DataFrame, share: float, seed: int) -> DataFrame:
         return clusters
     n = clusters.count()
     keep = int(round(share * n))
-    ranked = dense_positions(clusters, [T.seeded_key(seed, "cluster_id"), "cluster_id"],
-                             None, "_r")
+    ranked = random_ranks(clusters, "cluster_id", seed, None, "_r")
     return ranked.where(F.col("_r") < keep).drop("_r")
 
 
@@ -103,8 +102,7 @@ def ranked_offers(eligible: DataFrame, clusters: DataFrame, titles: DataFrame,
     e = eligible.join(bounded_broadcast(clusters), "cluster_id", "left_semi")
     t = bounded_broadcast(titles.select("title", F.lit(True).alias("bad")))
     e = e.join(t, "title", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    r = dense_positions(e.select("cluster_id", "id", "title", "bad"),
-                        [T.seeded_key(seed, "id"), "id"], ["cluster_id"], "rank")
+    r = random_ranks(e.select("cluster_id", "id", "title", "bad"), "id", seed, ["cluster_id"])
     # parquet sorted by rank inside each file: every sampling round reads only ranks below
     # its largest budget, and row-group statistics skip the rest of a large cluster
     return materialize(r.select("cluster_id", "id", "title", "bad", "rank"), ["rank"])

@@ -37,3 +37,22 @@ def test_next_in_order(spark):
     df = spark.createDataFrame([(1, "a"), (5, "a"), (3, "a"), (2, "b")], "id long, g string")
     got = {(r.id, r.nxt) for r in next_in_order(df, "id", ["id"], ["g"]).collect()}
     assert got == {(1, 3), (3, 5), (5, None), (2, None)}
+
+
+def test_random_ranks_permutation_buckets_and_determinism(spark):
+    from matchsmith.operators.keys import random_ranks
+    df = _skewed(spark, 2000)
+    for chunk in (10_000, 97):            # one bucket per group, then many buckets for "hot"
+        a = random_ranks(df, "id", 42, ["g"], "r", chunk=chunk)
+        got = {}
+        for r in a.collect():
+            got.setdefault(r.g, []).append(r.r)
+        sizes = {r.g: r.n for r in df.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        for g, rs in got.items():
+            assert sorted(rs) == list(range(sizes[g]))
+        b = random_ranks(df.repartition(13), "id", 42, ["g"], "r", chunk=chunk)
+        assert {(r.id, r.r) for r in a.collect()} == {(r.id, r.r) for r in b.collect()}
+    import hashlib
+    one = random_ranks(df.where("g = 'hot'"), "id", 7, None, "r").collect()
+    exp = sorted((hashlib.md5(f"7|{r.id}".encode()).hexdigest(), r.id) for r in one)
+    assert [r.id for r in sorted(one, key=lambda r: r.r)] == [i for _, i in exp]
