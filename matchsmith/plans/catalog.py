@@ -43,7 +43,7 @@ SELECT doc_id, len(tk) AS n_tokens, array_to_string(tk, ' ') AS tokens
 FROM (SELECT doc_id, {O.tokens_sql('text')} AS tk FROM documents) t""")
 def clean_tokens(spark, sf):
     d = _docs(spark, sf).select("doc_id", T.tokenize(F.col("text")).alias("tk"))
-    return d.select("doc_id", F.size("tk").alias("n_tokens"),
+    return d.select("doc_id", F.size("tk").cast("long").alias("n_tokens"),
                     F.array_join("tk", " ").alias("tokens"))
 
 

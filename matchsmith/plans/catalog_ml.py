@@ -80,7 +80,7 @@ def vocabulary(spark, sf):
 SELECT combo, id, len(idx) AS n_words, array_to_string(idx, ',') AS idx FROM vec""")
 def word_occurrence(spark, sf):
     vec, _ = _vectors(spark, sf)
-    return vec.select("combo", "id", F.size("idx").alias("n_words"),
+    return vec.select("combo", "id", F.size("idx").cast("long").alias("n_words"),
                       F.array_join("idx", ",").alias("idx"))
 
 
@@ -94,7 +94,7 @@ def word_cooccurrence(spark, sf):
     vec, _ = _vectors(spark, sf)
     pairs = FX.splits(spark, sf).select("split", "pair_id", "id_left", "id_right")
     c = V.cooccurrence(pairs, vec)
-    return c.select("split", "pair_id", "combo", F.size("shared").alias("n_shared"),
+    return c.select("split", "pair_id", "combo", F.size("shared").cast("long").alias("n_shared"),
                     F.array_join("shared", ",").alias("shared"))
 
 

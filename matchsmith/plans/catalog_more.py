@@ -200,7 +200,8 @@ FROM splits_v""")
 def stratified_folds(spark, sf):
     s = FX.splits(spark, sf).select("split", "pair_id", "label")
     order = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
-    return SP.stratified_folds(s, "label", [order, "pair_id"], 5)
+    f = SP.stratified_folds(s, "label", [order, "pair_id"], 5)
+    return f.withColumn("fold", F.col("fold").cast("long"))
 
 
 @register("label_distribution", O.with_fixtures() +
@@ -423,7 +424,9 @@ SELECT role, max(n) AS longest, min(n) AS shortest, round(avg(n), 6) AS mean_wor
 GROUP BY role""")
 def sentence_stats(spark, sf):
     s = M.sentence_stats(read_table(spark, sf, "conversations"), "text", ["role"])
-    return s.select("role", "longest", "shortest", F.round("mean_words", 6).alias("mean_words"))
+    return s.select("role", F.col("longest").cast("long").alias("longest"),
+                    F.col("shortest").cast("long").alias("shortest"),
+                    F.round("mean_words", 6).alias("mean_words"))
 
 
 @register("label_index", """
@@ -440,7 +443,8 @@ def label_index(spark, sf):
 
 
 @register("vector_argmax", """
-SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax FROM embeddings""")
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax
+FROM embeddings""")
 def vector_argmax(spark, sf):
     from matchsmith.functions.labels import argmax
     e = read_table(spark, sf, "embeddings")

@@ -28,6 +28,17 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def type_diffs(df, con, sql):
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in df.schema.fields}
+    ot = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    return {c: (st.get(c), ot.get(c)) for c in set(st) | set(ot) if st.get(c) != ot.get(c)}
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr), [cols[i] for i in order]
@@ -68,7 +79,10 @@ def main():
             continue
         a, ac = rows_of(scols, srows)
         b, bc = rows_of(ocols, orows)
-        ok = a == b and ac == bc
+        td = type_diffs(df, con, sqls[k])
+        if td:
+            print(f"{k:32s} TYPE-MISMATCH {td}")
+        ok = a == b and ac == bc and not td
         if not ok:
             bad += 1
             print(f"{k:32s} MISMATCH spark={len(a)} {ac} oracle={len(b)} {bc}")

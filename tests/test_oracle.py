@@ -3,7 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tests.oracle_check import TABLES, rows_of
+from tests.oracle_check import TABLES, rows_of, type_diffs
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["clean_tokens", "normalize_name", "eligible_offers", "sampled_positives",
@@ -27,6 +27,7 @@ def test_query_matches_oracle(spark, con, key):
     res = con.execute(E.oracle_sql()[key])
     b, bc = rows_of([d[0] for d in res.description], res.fetchall())
     assert ac == bc
+    assert not type_diffs(df, con, E.oracle_sql()[key])
     assert a == b
 
 
