@@ -346,3 +346,14 @@ def run_report(spark, sf):
     return spark.createDataFrame(rows, "learner string, params string, valid_f1 double, "
                                  "precision double, recall double, f1 double, "
                                  "train_seconds double, top_features string")
+
+
+@register("gnb_predictions")
+def gnb_predictions(spark, sf):
+    """Gaussian naive Bayes (Spark ML) on the similarity features of the train split."""
+    data, _ = _model_data(spark, sf)
+    model = MD.spark_nb("gaussian").fit(data.where(F.col("split") == "train"))
+    pred = model.transform(data.where(F.col("split") == "test"))
+    return pred.select("pair_id", F.col("label").cast("int").alias("label"),
+                       F.col("prediction").cast("int").alias("prediction"),
+                       F.round(MD.score_column(pred), 6).alias("score"))

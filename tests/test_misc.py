@@ -54,3 +54,10 @@ def test_offer_stream_cleaning(spark):
     q.stop()
     r = spark.sql("SELECT * FROM clean_offers_t").first()
     assert r.title == "red shoe" and r.words == 7
+
+
+def test_null_to_empty(spark):
+    from matchsmith.functions.text import null_to_empty
+    df = spark.createDataFrame([(None, 1, None)], "a string, n int, b string")
+    r = null_to_empty(df).first()
+    assert r.a == "" and r.b == "" and r.n == 1
