@@ -29,14 +29,15 @@ def dense_positions(df: DataFrame, order_by: list, group_by: list[str] | None =
     numbering is the same whatever the partitioning.
     """
     group_by = list(group_by or [])
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order_by)
     tmp_order = [f"_o{i}" for i in range(len(order_cols))]
     base = df.select("*", *[c.alias(t) for c, t in zip(order_cols, tmp_order)])
     sort_keys = group_by + tmp_order
-    tagged = (base.repartitionByRange(n, *sort_keys)
-              .sortWithinPartitions(*sort_keys)
+    # without an explicit count AQE may merge adjacent ranges (order is kept); the numbering
+    # below runs on whatever partitions result
+    ranged = (base.repartitionByRange(num_partitions, *sort_keys) if num_partitions
+              else base.repartitionByRange(*sort_keys))
+    tagged = (ranged.sortWithinPartitions(*sort_keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftrightunsigned("_mid", 33))
               .withColumn("_lpos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
