@@ -63,8 +63,10 @@ def cooccurrence(pairs: DataFrame, vectors: DataFrame, left: str = "id_left",
 
 def binary_vectorizer(vocab: DataFrame, input_col: str, output_col: str):
     """Spark ML ``CountVectorizerModel`` (binary) over the vocabulary in index order: word
-    arrays become sparse 0/1 vectors whose positions are the vocabulary indices. The model
-    keeps the vocabulary on the driver, as every Spark ML vocabulary model does."""
+    arrays become sparse 0/1 vectors whose positions are the vocabulary indices, for handing
+    word vectors to Spark ML estimators. The model keeps the whole vocabulary on the driver,
+    as every Spark ML vocabulary model does, so it is for bounded vocabularies; the registered
+    naive Bayes scoring works from the parameter table instead."""
     from pyspark.ml.feature import CountVectorizerModel
     words = [r[0] for r in vocab.orderBy("idx").select("word").collect()]
     return CountVectorizerModel.from_vocabulary(words, inputCol=input_col, outputCol=output_col,

@@ -13,7 +13,7 @@ from matchsmith.plans import models as MD
 from matchsmith.plans import oracle as O
 from matchsmith.plans.catalog import register
 from matchsmith.plans.catalog_more import _SPLITS_CTE
-from matchsmith.session import read_table
+from matchsmith.session import materialize, read_table, session_memo
 from matchsmith.sources import fixtures as FX
 
 COMBOS = {"t": ["title"], "td": ["title", "description"],
@@ -29,12 +29,16 @@ def _entities(spark, sf, train_only: bool):
 
 
 def _vocab(spark, sf):
-    return V.vocabulary(V.combo_texts(_entities(spark, sf, True), COMBOS), 2)
+    return session_memo(spark, ("vocab", sf), lambda: materialize(
+        V.vocabulary(V.combo_texts(_entities(spark, sf, True), COMBOS), 2)))
 
 
 def _vectors(spark, sf):
+    """Word vectors of every entity (train vocabulary), built once per application."""
     vocab = _vocab(spark, sf)
-    return V.word_vectors(V.combo_texts(_entities(spark, sf, False), COMBOS), vocab), vocab
+    vec = session_memo(spark, ("vectors", sf), lambda: materialize(
+        V.word_vectors(V.combo_texts(_entities(spark, sf, False), COMBOS), vocab)))
+    return vec, vocab
 
 
 def _combo_sql(alias: str) -> str:
@@ -301,15 +305,15 @@ register("gbt_predictions")(_predict("gradient_boosting"))
 
 @register("nb_predictions")
 def nb_predictions(spark, sf):
-    """Bernoulli naive Bayes (Spark ML) on word co-occurrence vectors of the train split."""
+    """Bernoulli naive Bayes on word co-occurrence: parameters from the train split, scoring
+    of the test split from the parameter table (both distributed)."""
     c, vocab = _cooc_train(spark, sf)
-    cv = V.binary_vectorizer(vocab, "shared_words", "features")
-    d = cv.transform(c).withColumn("label", F.col("label").cast("double"))
-    model = MD.spark_nb("bernoulli").fit(d.where(F.col("split") == "train"))
-    pred = model.transform(d.where(F.col("split") == "test"))
+    params = MD.bernoulli_nb_params(c.where(F.col("split") == "train"), "shared", vocab, 1.0)
+    test = c.where(F.col("split") == "test").select("pair_id", "label", "shared")
+    pred = MD.bernoulli_nb_predict(test, "pair_id", "shared", params)
     return pred.select("pair_id", F.col("label").cast("int").alias("label"),
                        F.col("prediction").cast("int").alias("prediction"),
-                       F.round(MD.score_column(pred), 6).alias("score"))
+                       F.round("score", 6).alias("score"))
 
 
 @register("search_results")

@@ -145,6 +145,30 @@ def bernoulli_nb_params(df: DataFrame, idx_col: str, vocab_size_df: DataFrame,
     return t.select("label", "feature", lp.alias("log_prob")).unionByName(priors)
 
 
+def bernoulli_nb_predict(df: DataFrame, key: str, idx_col: str, params: DataFrame) -> DataFrame:
+    """Score Bernoulli naive Bayes from its parameter table, distributed:
+    score_c = log prior_c + sum_j log(1 - theta_cj) + sum_{j in x} (log theta_cj - log(1 - theta_cj)).
+    One explode of each row's present features and a join on the feature index; no vocabulary
+    or model object on the driver. Adds ``prediction`` and ``score`` (probability of class 1)."""
+    theta = params.where(F.col("feature") >= 0)
+    prior = params.where(F.col("feature") < 0).select("label", F.col("log_prob").alias("prior"))
+    log_not = F.log1p(-F.exp(F.col("log_prob")))
+    base = theta.groupBy("label").agg(F.sum(log_not).alias("absent")).join(prior, "label") \
+        .select("label", (F.col("prior") + F.col("absent")).alias("base"))
+    delta = theta.select("label", "feature", (F.col("log_prob") - log_not).alias("delta"))
+    present = (df.select(key, F.explode(idx_col).alias("feature"))
+               .join(delta, "feature").groupBy(key, "label")
+               .agg(F.sum("delta").alias("gain")))
+    rows = df.select(key, F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    sc = (rows.join(base, "label").join(present, [key, "label"], "left")
+          .withColumn("s", F.col("base") + F.coalesce("gain", F.lit(0.0))))
+    w = sc.groupBy(key).agg(F.max(F.when(F.col("label") == 0, F.col("s"))).alias("s0"),
+                            F.max(F.when(F.col("label") == 1, F.col("s"))).alias("s1"))
+    out = w.select(key, F.when(F.col("s1") > F.col("s0"), 1).otherwise(0).alias("prediction"),
+                   (1 / (1 + F.exp(F.col("s0") - F.col("s1")))).alias("score"))
+    return df.join(out, key)
+
+
 def gaussian_nb_params(df: DataFrame, features: list[str]) -> DataFrame:
     """``label, feature, mean, var`` (population variance) per class and feature, one
     aggregation after unpivoting."""

@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from matchsmith.operators.vectors import binary_vectorizer
@@ -25,6 +24,16 @@ def test_bernoulli_params_equal_spark_ml(spark):
         for j in range(6):
             assert p[(c, j)] == pytest.approx(theta[c][j])
         assert p[(c, -1)] == pytest.approx(m.pi.toArray()[c])
+    # distributed scoring from the parameter table equals Spark ML's predictions
+    params = MD.bernoulli_nb_params(df, "shared", spark.range(6).select(F.col("id").alias("idx")))
+    ours = {r.pair_id: (r.prediction, r.score) for r in
+            MD.bernoulli_nb_predict(df, "pair_id", "shared", params).collect()}
+    from pyspark.ml.functions import vector_to_array
+    ml = m.transform(d).select("pair_id", "prediction",
+                               vector_to_array("probability").getItem(1).alias("p1")).collect()
+    for r in ml:
+        assert ours[r.pair_id][0] == int(r.prediction)
+        assert ours[r.pair_id][1] == pytest.approx(r.p1, abs=1e-9)
 
 
 def test_learners_predict_separable_data(spark):
