@@ -146,3 +146,19 @@ def test_capped_sample_sizes(spark):
         .withColumn("fallback", F.col("g") == 2)
     got = {r.g: r.n for r in capped_sample(df, ["g"]).groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert got == {0: 6, 1: 4, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("n", [1, 45])
+def test_negative_rounds_are_exact(spark, n):
+    offers, gold = offers_fixture(spark)
+    ref_cfg = TS.SamplingConfig(negatives=n, similar_clusters=3, start_budget=10_000)
+    small_cfg = TS.SamplingConfig(negatives=n, similar_clusters=3, start_budget=1)
+    ref = TS.negatives(TS.prepare(offers, gold, ref_cfg), ref_cfg)
+    got = TS.negatives(TS.prepare(offers, gold, small_cfg), small_cfg)
+    a = {tuple(r) for r in ref.collect()}
+    b = {tuple(r) for r in got.collect()}
+    assert a == b and len(a) > 0
+    # never a gold pair, always across two different clusters
+    g = {(min(r.id_left, r.id_right), max(r.id_left, r.id_right)) for r in gold.collect()}
+    assert not {(min(x[2], x[3]), max(x[2], x[3])) for x in a} & g
+    assert all(x[0] != x[1] for x in a)
