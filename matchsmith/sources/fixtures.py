@@ -42,7 +42,7 @@ def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide labelled pairs: ``pair_id, id_left, id_right, label, <attr>_left, <attr>_right``
-    (built once per application and checkpointed)."""
+    (built once per application and materialised as parquet in the checkpoint folder)."""
     return session_memo(spark, ("pairs", sf_dir), lambda: materialize(_pairs(spark, sf_dir)))
 
 
