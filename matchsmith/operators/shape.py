@@ -159,3 +159,15 @@ def all_names(pairs_by_split: DataFrame, left: str, right: str) -> DataFrame:
     return pairs_by_split.select(
         "*", F.posexplode(F.array(F.col(left), F.col(right))).alias("side", "name")
     ).drop(left, right)
+
+
+def insert_after(df: DataFrame, name: str, value, after: str) -> DataFrame:
+    """Add column ``name`` right after column ``after`` (an ordered ``select``)."""
+    cols = []
+    for c in df.columns:
+        if c == name:
+            continue
+        cols.append(F.col(c))
+        if c == after:
+            cols.append(value.alias(name))
+    return df.select(*cols)

@@ -90,3 +90,9 @@ def stratified_folds(df: DataFrame, label: str, order: list, k: int = 5,
     fold = F.when(F.col("cpos") < big, F.floor(F.col("cpos") / (q + 1))) \
         .otherwise(r + F.floor((F.col("cpos") - big) / F.greatest(q, F.lit(1))))
     return c.withColumn(out, fold.cast("int")).drop("cpos", "class_n")
+
+
+def seeded_shuffle(df: DataFrame, key: str, seed) -> DataFrame:
+    """Rows in a seeded pseudo-random order (a distributed sort on md5('seed|key'))."""
+    from matchsmith.functions.text import seeded_key
+    return df.orderBy(seeded_key(seed, key), key)

@@ -361,3 +361,17 @@ def gnb_predictions(spark, sf):
     return pred.select("pair_id", F.col("label").cast("int").alias("label"),
                        F.col("prediction").cast("int").alias("prediction"),
                        F.round(MD.score_column(pred), 6).alias("score"))
+
+
+@register("noise_experiment")
+def noise_experiment(spark, sf):
+    """Label-noise experiment: a matcher trained on each noised copy of the train split
+    (10 settings), F1 of class 1 on the test split."""
+    from matchsmith.operators import splits as SP
+    data, _ = _model_data(spark, sf)
+    train_labels = FX.splits(spark, sf).where(F.col("split") == "train").select("pair_id", "label")
+    noised = SP.label_noise_grid(train_labels, "pair_id", "label")
+    rows = MD.noise_experiment(data, noised, learner="decision_tree")
+    return spark.createDataFrame(rows, "setting string, learner string, flipped long, "
+                                       "precision double, recall double, f1 double, "
+                                       "train_seconds double")

@@ -181,3 +181,30 @@ def gaussian_nb_params(df: DataFrame, features: list[str]) -> DataFrame:
 
 def spark_nb(model_type: str = "bernoulli", smoothing: float = 1.0) -> NaiveBayes:
     return NaiveBayes(modelType=model_type, smoothing=smoothing)
+
+
+def noise_experiment(data: DataFrame, noised_labels: DataFrame, learner: str = "logistic_regression",
+                     key: str = "pair_id", setting: str = "setting") -> list[tuple]:
+    """Train ``learner`` on every noised copy of the training rows and score F1 of class 1 on
+    the clean test rows: one Spark ML fit per setting (a driver loop over the small list of
+    settings). ``data`` has ``split, key, label, features``; ``noised_labels`` has
+    ``setting, key, label, flipped`` for the training rows."""
+    from matchsmith.operators.metrics import per_class_metrics
+    from matchsmith.session import materialize
+    noised = materialize(noised_labels.select(setting, key, "label", "flipped"))
+    flips = {r[0]: r[1] for r in noised.groupBy(setting)
+             .agg(F.sum(F.col("flipped").cast("long"))).collect()}   # one row per setting
+    train = data.where(F.col("split") == "train").drop("label").cache()
+    test = data.where(F.col("split") == "test").cache()
+    out = []
+    for s in sorted(flips):
+        lab = noised.where(F.col(setting) == s).select(
+            key, F.col("label").cast("double").alias("label"))
+        pred, info = fit_predict(learner, train.join(lab, key), test)
+        m = per_class_metrics(pred, "label", "prediction").where(F.col("class") == 1).first()
+        out.append((s, learner, int(flips[s] or 0), float(m.precision if m else 0.0),
+                    float(m.recall if m else 0.0), float(m.f1 if m else 0.0),
+                    float(info["train_seconds"])))
+    train.unpersist()
+    test.unpersist()
+    return out

@@ -61,3 +61,13 @@ def test_null_to_empty(spark):
     df = spark.createDataFrame([(None, 1, None)], "a string, n int, b string")
     r = null_to_empty(df).first()
     assert r.a == "" and r.b == "" and r.n == 1
+
+
+def test_insert_after_and_seeded_shuffle(spark):
+    from matchsmith.operators.splits import seeded_shuffle
+    df = spark.createDataFrame([(1, "a", "b")], "id int, x string, y string")
+    assert SH.insert_after(df, "z", F.lit(0), "x").columns == ["id", "x", "z", "y"]
+    r = spark.range(50).withColumnRenamed("id", "k")
+    a = [x.k for x in seeded_shuffle(r, "k", 3).collect()]
+    b = [x.k for x in seeded_shuffle(r.repartition(7), "k", 3).collect()]
+    assert a == b and sorted(a) == list(range(50)) and a != list(range(50))
