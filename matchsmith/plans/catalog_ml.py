@@ -236,9 +236,13 @@ def vector_abs_diff(spark, sf):
 # ------------------------------------------------------------------------------ matchers
 
 def _cooc_train(spark, sf, combo="td"):
+    """Word co-occurrence of every pair for one feature combination (built once)."""
     vec, vocab = _vectors(spark, sf)
-    pairs = FX.splits(spark, sf).select("split", "pair_id", "id_left", "id_right", "label")
-    c = V.cooccurrence(pairs, vec).where(F.col("combo") == combo)
+
+    def build():
+        pairs = FX.splits(spark, sf).select("split", "pair_id", "id_left", "id_right", "label")
+        return materialize(V.cooccurrence(pairs, vec.where(F.col("combo") == combo)))
+    c = session_memo(spark, ("cooc", sf, combo), build)
     return c, vocab.where(F.col("combo") == combo)
 
 
@@ -308,7 +312,8 @@ def nb_predictions(spark, sf):
     """Bernoulli naive Bayes on word co-occurrence: parameters from the train split, scoring
     of the test split from the parameter table (both distributed)."""
     c, vocab = _cooc_train(spark, sf)
-    params = MD.bernoulli_nb_params(c.where(F.col("split") == "train"), "shared", vocab, 1.0)
+    params = materialize(MD.bernoulli_nb_params(c.where(F.col("split") == "train"), "shared",
+                                                vocab, 1.0))
     test = c.where(F.col("split") == "test").select("pair_id", "label", "shared")
     pred = MD.bernoulli_nb_predict(test, "pair_id", "shared", params)
     return pred.select("pair_id", F.col("label").cast("int").alias("label"),

@@ -86,7 +86,11 @@ def gold_from_pair_ids(pair_id_col: str = "pair_id"):
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide pairs with a ``split`` column: ``test`` = gold pairs; the rest is the training
     file, of which the pairs named in the validation ids are ``valid`` and the others
-    ``train``."""
+    ``train`` (built once per application, materialised as parquet)."""
+    return session_memo(spark, ("splits", sf_dir), lambda: materialize(_splits(spark, sf_dir)))
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
     g = gold(spark, sf_dir).select("pair_id")
     v = valid_ids(spark, sf_dir)
