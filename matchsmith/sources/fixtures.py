@@ -18,7 +18,12 @@ DESCRIPTION_RE = r"^\s*(?:\S+\s+){12}((?:\S+\s+){0,39}\S+)"
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, cluster_id, title, description, brand``: one offer per document."""
+    """``id, cluster_id, title, description, brand``: one offer per document (extracted from
+    the whole document text once per application, materialised as parquet)."""
+    return session_memo(spark, ("offers", sf_dir), lambda: materialize(_offers(spark, sf_dir)))
+
+
+def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return d.select(
         F.col("doc_id").alias("id"),
