@@ -162,3 +162,34 @@ def test_negative_rounds_are_exact(spark, n):
     g = {(min(r.id_left, r.id_right), max(r.id_left, r.id_right)) for r in gold.collect()}
     assert not {(min(x[2], x[3]), max(x[2], x[3])) for x in a} & g
     assert all(x[0] != x[1] for x in a)
+
+
+def test_capped_sample_matches_rule_on_random_groups(spark):
+    """Keep bad candidates up to the cap, then the first S by position; fallback groups keep
+    their first candidate."""
+    rnd = random.Random(11)
+    rows, expected = [], set()
+    for g in range(300):
+        n = rnd.randint(1, 40)
+        positions = rnd.sample(range(1000), n)
+        bad = {p: rnd.random() < rnd.choice([0.1, 0.5, 0.9, 1.0]) for p in positions}
+        size = min(rnd.randint(1, 20), n)
+        cap = size // 2
+        fallback = size == 1 and all(bad.values())
+        for p in positions:
+            rows.append((g, p, bad[p], size, cap, fallback))
+        order = sorted(positions)
+        if fallback:
+            expected.add((g, order[0]))
+            continue
+        kept, nb = [], 0
+        for p in order:
+            if bad[p]:
+                nb += 1
+                if nb > cap:
+                    continue
+            kept.append(p)
+        expected |= {(g, p) for p in kept[:size]}
+    df = spark.createDataFrame(rows, "g int, pos long, bad boolean, S long, cap long, fallback boolean")
+    got = {(r.g, r.pos) for r in capped_sample(df, ["g"]).collect()}
+    assert got == expected
