@@ -70,3 +70,18 @@ def test_cluster_similarity_inverted_index_matches_all_pairs(spark, hot):
         for a in bags:
             full = sorted((b for b in bags if b != a), key=lambda b: (-got.get((a, b), 0.0), b))
             assert [o for _, o in sorted(mine[a])] == full[:k]
+
+
+def test_set_measures_and_numeric_norm(spark):
+    df = spark.createDataFrame([("a b c", "b c d", 4.0, 5.0), ("x", "x", 0.0, 0.0)],
+                               "s string, t string, u double, v double")
+    a, b = F.split("s", " "), F.split("t", " ")
+    r = df.select(S.set_jaccard(a, b).alias("j"), S.set_cosine(a, b).alias("c"),
+                  S.set_dice(a, b).alias("d"), S.set_overlap(a, b).alias("o"),
+                  S.abs_norm(F.col("u"), F.col("v")).alias("n"),
+                  S.levenshtein_sim(F.col("s"), F.col("t")).alias("l"),
+                  F.size(S.qgrams(F.col("s"), 3)).alias("q")).collect()
+    assert r[0].j == pytest.approx(2 / 4) and r[0].c == pytest.approx(2 / 3)
+    assert r[0].d == pytest.approx(4 / 6) and r[0].o == pytest.approx(2 / 3)
+    assert r[0].n == pytest.approx(1 - 1 / 5) and r[1].n == 1.0
+    assert r[0].l == pytest.approx(1 - 3 / 5) and r[0].q == 7
