@@ -2,7 +2,8 @@
 over distinct entities), binary word vectors, and word co-occurrence of a pair.
 
 Vectors are sorted ``array<long>`` word indices (a sparse binary vector) with their words;
-``binary_vectorizer`` turns word arrays into ``ml.linalg.SparseVector`` for Spark ML. Everything is explode / aggregate / join.
+naive Bayes over them is fitted and scored from parameter tables (``plans.models``), so no
+vocabulary is held on the driver. Everything is explode / aggregate / join.
 """
 
 from __future__ import annotations
@@ -61,18 +62,6 @@ def cooccurrence(pairs: DataFrame, vectors: DataFrame, left: str = "id_left",
         .withColumn("shared_words", F.array_intersect("_lw", "_rw")).drop("_l", "_r", "_lw", "_rw")
 
 
-def binary_vectorizer(vocab: DataFrame, input_col: str, output_col: str):
-    """Spark ML ``CountVectorizerModel`` (binary) over the vocabulary in index order: word
-    arrays become sparse 0/1 vectors whose positions are the vocabulary indices, for handing
-    word vectors to Spark ML estimators. The model keeps the whole vocabulary on the driver,
-    as every Spark ML vocabulary model does, so it is for bounded vocabularies; the registered
-    naive Bayes scoring works from the parameter table instead."""
-    from pyspark.ml.feature import CountVectorizerModel
-    words = [r[0] for r in vocab.orderBy("idx").select("word").collect()]
-    return CountVectorizerModel.from_vocabulary(words, inputCol=input_col, outputCol=output_col,
-                                                binary=True)
-
-
 def vector_abs_diff(a: Column, b: Column) -> Column:
     """Element-wise |a - b| of two numeric arrays (in double)."""
     return F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))

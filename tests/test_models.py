@@ -4,10 +4,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchsmith.operators.vectors import binary_vectorizer
 from matchsmith.plans import models as MD
 
 
+
+def binary_vectorizer(vocab, input_col, output_col):
+    """Test helper: Spark ML CountVectorizerModel over a tiny vocabulary, to feed Spark ML's
+    NaiveBayes as the reference implementation."""
+    from pyspark.ml.feature import CountVectorizerModel
+    words = [r[0] for r in vocab.orderBy("idx").select("word").collect()]
+    return CountVectorizerModel.from_vocabulary(words, inputCol=input_col, outputCol=output_col,
+                                                binary=True)
+
+
 def test_bernoulli_params_equal_spark_ml(spark):
     rnd = random.Random(0)
     rows = [(i, i % 2, sorted(rnd.sample(range(6), rnd.randint(0, 4)))) for i in range(60)]
