@@ -23,8 +23,8 @@ from matchsmith.llm.common import texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Chunks a worker's table holds (about 30 bytes each) before it starts anew.
-TABLE_CHUNKS = 2_000_000
+# Chunks a worker's table holds (about 40 bytes each) before it starts anew.
+TABLE_CHUNKS = 750_000
 
 # Keys of the two 64-bit halves of a chunk's 128-bit name in the table.
 _KEYS = ("chunk-table-key0", "chunk-table-key1")

@@ -19,7 +19,7 @@ from matchsmith.session import ensure_checkpoint_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes of text that one vectorised step holds at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def worker_state() -> dict:

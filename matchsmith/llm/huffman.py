@@ -12,8 +12,8 @@ Null texts give the end id alone. Equal keys follow one another ordered by their
 key comes first. Empty tables give no files and empty results. Only the named columns are read.
 
 File: magic ``HID1``, then blocks. Block: little-endian u32 rows, u32 ids, u32 stretches, u32 words;
-i64 keys, u8 null-key flags, u32 ids by row, u32 bit offsets of stretches, u64 words of bits, the
-first id at the highest bit. The code lengths are in the folder's table of files.
+i64 keys, u8 null-key flags, u32 ids by row, u64 bit offsets of stretches, u64 words of bits, the
+first id of a row at the highest bit of a word of its own. The code lengths are in the folder's table of files.
 """
 
 from __future__ import annotations
@@ -136,13 +136,16 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(u64 words, bit offset of each id and of the end)."""
+def pack_rows(ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, codes: np.ndarray):
+    """(u64 words, first word of each row and of the end, bit offset of each id): every row starts a word."""
     size = lengths[ids].astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    words = np.zeros((int(at[-1]) >> 6) + 2, np.uint64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    row_bits = ends[offsets[1:]] - ends[offsets[:-1]]
+    first_word = np.concatenate([[0], np.cumsum((row_bits + 63) >> 6)])
+    at = ends[:-1] + np.repeat((first_word[:-1] << 6) - ends[offsets[:-1]], np.diff(offsets))
+    words = np.zeros(int(first_word[-1]) + 1, np.uint64)
     if len(ids):
-        word, place = at[:-1] >> 6, at[:-1] & 63
+        word, place = at >> 6, at & 63
         code = codes[ids]
         room = 64 - place - size  # negative: the code runs into the next word
         inside = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64),
@@ -151,7 +154,7 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
         words[word[first]] = np.bitwise_or.reduceat(inside, first)
         over = np.flatnonzero(room < 0)
         words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    return words, at
+    return words[:-1], first_word, at
 
 
 def decode_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +198,11 @@ def stretches(lens: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.nd
     return begin, np.minimum(lens[row] - nth * stride, stride)
 
 
-def block_bytes(keys: np.ndarray, null: np.ndarray, ids: np.ndarray, lens: np.ndarray, lengths, codes) -> bytes:
-    words, at = pack_bits(ids, lengths, codes)
-    begin, _ = stretches(lens)
-    return b"".join([struct.pack("<4I", len(keys), len(ids), len(begin), len(words)), keys.astype("<i8").tobytes(),
-                     null.astype("u1").tobytes(), lens.astype("<u4").tobytes(), at[begin].astype("<u4").tobytes(),
-                     words.astype("<u8").tobytes()])
+def block_bytes(keys: np.ndarray, null: np.ndarray, lens: np.ndarray, starts: np.ndarray, words: bytes) -> bytes:
+    """One block from its rows' coded words; two words of zeros let the decoder look ahead."""
+    words += bytes(16)
+    return b"".join([struct.pack("<4I", len(keys), int(lens.sum()), len(starts), len(words) // 8), keys.astype("<i8").tobytes(),
+                     null.astype("u1").tobytes(), lens.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), words])
 
 
 def read_block(raw: bytes, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ def read_block(raw: bytes, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     rows, n, parts, n_words = struct.unpack_from("<4I", raw)
     at = 16
     held = []
-    for dtype, count in (("<i8", rows), ("u1", rows), ("<u4", rows), ("<u4", parts), ("<u8", n_words)):
+    for dtype, count in (("<i8", rows), ("u1", rows), ("<u4", rows), ("<u8", parts), ("<u8", n_words)):
         held.append(np.frombuffer(raw, dtype, count, at))
         at += held[-1].nbytes
     keys, null, lens, starts, words = held
@@ -242,29 +244,30 @@ def write(ids: DataFrame, key: str, folder: str, width: int, max_bits: int = MAX
     def coded(batches):
         codes = canonical_codes(shared.value)
         for batch in batches:
-            for lo, hi in bands_of(batch.column(1).to_numpy() * 8, 16 << 20):
+            for lo, hi in bands_of(batch.column(1).to_numpy() * 8, 4 << 20):
                 part = batch.slice(lo, hi - lo)
                 flat, at = rows_of_binary(part.column(2), dtype)
+                words, first_word, bit = pack_rows(flat, at, shared.value, codes)
+                lens = np.diff(at)
+                begin, _ = stretches(lens)
+                n_parts = -(-lens // STRIDE)
+                own = bit[begin] - np.repeat(first_word[:-1] << 6, n_parts)
                 key_col = part.column(0)
                 k = pc.fill_null(key_col, 0).to_numpy()
                 first, last = np.searchsorted(bounds.value, k, "left"), np.searchsorted(bounds.value, k, "right")
-                blobs, tie = [], []
-                for i in range(len(k)):
-                    row = flat[at[i]:at[i + 1]]
-                    words, bit = pack_bits(row, shared.value, codes)
-                    blobs.append(words.astype(">u8").tobytes()[: (int(bit[-1]) + 7) >> 3])
-                    tie.append(zlib.crc32(row.tobytes()) if first[i] < last[i] else 0)
-                spread = (last - first + 1).astype(np.int64)
-                pid = first + np.array(tie, np.int64) % spread
+                tie = np.zeros(len(k), np.int64)
+                for i in np.flatnonzero(first < last):  # one key fills several ranges: spread its rows
+                    tie[i] = zlib.crc32(flat[at[i]:at[i + 1]].tobytes())
+                pid = first + tie % (last - first + 1)
                 pid[pc.is_null(key_col).to_numpy(zero_copy_only=False)] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pid.astype(np.int32)), key_col, part.column(1), pa.array(blobs, pa.binary())],
-                    ["pid", key, "n_ids", "bits"])
+                    [pa.array(pid.astype(np.int32)), key_col, part.column(1), binary_rows(words.astype("<u8"), first_word),
+                     binary_rows(own.astype("<u8"), np.concatenate([[0], np.cumsum(n_parts)]))],
+                    ["pid", key, "n_ids", "bits", "starts"])
 
     def filed(batches):
         """One file a range: its rows come sorted, and leave in blocks."""
-        lengths, state = shared.value, {"at": len(MAGIC), "made": [], "pid": None}
-        codes, table = canonical_codes(lengths), decode_table(lengths, max_bits)
+        state = {"at": len(MAGIC), "made": []}
 
         def blocks():
             yield MAGIC
@@ -283,15 +286,14 @@ def write(ids: DataFrame, key: str, folder: str, width: int, max_bits: int = MAX
 
         def block(held):
             rows = pa.Table.from_batches(held).combine_chunks()
-            state["pid"] = rows.column(0)[0].as_py()
-            blobs, lens = rows.column(3).to_pylist(), rows.column(2).to_numpy().astype(np.int64)
-            bits = np.frombuffer(b"".join(b + b"\0" * (-len(b) % 8) for b in blobs) + b"\0" * 16, ">u8").astype(np.uint64)
-            starts = np.cumsum([0] + [-(-len(b) // 8) * 64 for b in blobs])[:-1]
-            ids = unpack_bits(bits, starts, lens, table, max_bits)
-            key_col = rows.column(1).combine_chunks()
+            key_col, lens, bits, starts = (rows.column(i).combine_chunks() if isinstance(rows.column(i), pa.ChunkedArray)
+                                           else rows.column(i) for i in (1, 2, 3, 4))
+            words, at = rows_of_binary(bits, "<u8")
+            own, parts = rows_of_binary(starts, "<u8")
             null = pc.is_null(key_col).to_numpy(zero_copy_only=False)
-            raw = block_bytes(pc.fill_null(key_col, 0).to_numpy(), null, ids, lens, lengths, codes)
-            state["made"].append((state["pid"], state["at"], len(raw), len(blobs), int(lens.sum())))
+            raw = block_bytes(pc.fill_null(key_col, 0).to_numpy(), null, lens.to_numpy().astype(np.int64),
+                              own.astype(np.int64) + np.repeat(at[:-1] << 6, np.diff(parts)), words.tobytes())
+            state["made"].append((rows.column(0)[0].as_py(), state["at"], len(raw), len(lens), int(pc.sum(lens).as_py())))
             state["at"] += len(raw)
             return raw
 
@@ -310,7 +312,7 @@ def write(ids: DataFrame, key: str, folder: str, width: int, max_bits: int = MAX
             ["file", "pid", "at", "bytes", "n_rows", "n_ids"])
 
     kind = ids.schema[key].dataType.simpleString()
-    rows = ids.select(key, "n_ids", "ids").mapInArrow(coded, f"pid int, `{key}` {kind}, n_ids long, bits binary")
+    rows = ids.select(key, "n_ids", "ids").mapInArrow(coded, f"pid int, `{key}` {kind}, n_ids long, bits binary, starts binary")
     made = (rows.repartitionById(parts, F.col("pid")).sortWithinPartitions(F.col(key).asc_nulls_first(), "bits")
             .mapInArrow(filed, "file string, pid int, at long, bytes long, n_rows long, n_ids long"))
     made.write.parquet(f"{folder}/_blocks")
