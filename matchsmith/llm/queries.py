@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchsmith.llm import chat, extraction, fingerprints, huffman, near_join, packing, pieces, quality, warc
+from matchsmith.llm import chat, extraction, fingerprints, huffman, near_join, packing, pieces, quality, secret_scans, warc
 from matchsmith.llm.common import Scratch
 from matchsmith.session import read_table
 
@@ -24,6 +24,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; values as digests."""
+    found = secret_scans.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "nth", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, fertility and verdict of every document."""
     return quality.quality(read_table(spark, sf_dir, "documents"))
@@ -97,6 +103,6 @@ SELECT conv_id, count(*) AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_sentencepiece, op4_quality, op5_token_files, op6_fingerprints, op7_near_join, op8_warc, op9_packing,
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_sentencepiece, op3_secrets, op4_quality, op5_token_files, op6_fingerprints, op7_near_join, op8_warc, op9_packing,
                                   op10_chat_format)}
 ORACLES: dict[str, str] = {"op10_chat_format": OP10_SQL}
