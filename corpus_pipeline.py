@@ -14,7 +14,7 @@ from matchsmith.llm.common import Scratch
 STAGES = [
     ("quality rules", stages.quality_rules),
     ("n-gram Jaccard join", stages.near_duplicates),
-    ("secret scans", stages.secret_scans),
+    ("secret scans", stages.secret_scans_stage),
     ("best-fit packing", stages.best_fit_packing),
 ]
 
