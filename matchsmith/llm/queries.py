@@ -91,7 +91,7 @@ WITH rows AS (
 sized AS (
   SELECT *, length(text) + length(regexp_replace(text, '[^\\\[<]', '', 'g')) + CASE role
       WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
-      ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\[<]', '', 'g')) END AS chars FROM rows),
+      ELSE 16 + length(role) + length(regexp_replace(role, '[^\\\[\]<]', '', 'g')) END AS chars FROM rows),
 placed AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM sized)
 SELECT conv_id, count(*) AS n_turns,

@@ -26,7 +26,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition,
                                     IsNotNull, StringStartsWith, WriterCommitMessage)
@@ -249,6 +249,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def base32_of_hex(digest: Column) -> Column:
+    """Base32 of a SHA-1 in hex, five hex digits to four letters."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    parts = []
+    for i in range(8):
+        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
+        parts += [F.substring(letters, F.shiftright(bits, 5 * (3 - j)).bitwiseAND(31) + 1, F.lit(1)) for j in range(4)]
+    return F.concat(*parts)
+
+
 def deduplicated(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0,
                  salts: int = 32) -> DataFrame:
     """Rows to write: of equal payloads of ``least_bytes`` or more, that with the largest key is a
@@ -266,8 +276,7 @@ def deduplicated(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__key", "url"), F.lit(salts)).cast("int"))
     rows = rows.join(shared, ["__hex", "__salt"], "left")
     again = F.col("__top").isNotNull() & ~F.col("__key").eqNullSafe(F.col("__top"))
-    to_base32 = F.udf(base32_sha1, "string")
     return rows.select(
         F.col("__key").cast("string").alias("record_id"), "url", F.when(~again, F.col("payload")).alias("payload"),
-        to_base32("__hex").alias("payload_digest"), "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        base32_of_hex(F.col("__hex")).alias("payload_digest"), "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("__top").cast("string")).alias("refers_to"))
