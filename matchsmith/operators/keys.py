@@ -85,11 +85,11 @@ def random_ranks(df: DataFrame, key: str, seed, group_by: list[str] | None = Non
                  out: str = "rank", chunk: int = RANK_CHUNK) -> DataFrame:
     """Seeded random permutation rank 0..n-1 of the rows of each group, fully declarative.
 
-    The order is (bucket, md5('seed|key'), key) with bucket = first 8 hex digits of the md5
-    modulo ceil(n / chunk): for groups of at most ``chunk`` rows that is exactly the md5
-    order. A hot group is cut into bounded buckets ranked in parallel; bucket offsets come
-    from a (group x bucket) count table. Deterministic for any partitioning, so no checkpoint
-    is needed."""
+    The order is (md5('seed|key'), key) at any size. A group of n rows is cut into
+    k = ceil(n / chunk) buckets by the leading 32 bits of the md5, ``floor(bits * k / 2^32)``,
+    which rises with the md5: ``chunk`` only says how many rows one task ranks. Bucket offsets
+    come from a (group x bucket) count table. Deterministic for any partitioning, so no
+    checkpoint is needed."""
     from matchsmith.functions.text import seeded_key
     g = list(group_by or [])
     gcols = g or [F.lit(0).alias("_g0")]
@@ -99,7 +99,7 @@ def random_ranks(df: DataFrame, key: str, seed, group_by: list[str] | None = Non
     sizes = base.groupBy(*gnames).agg(F.count(F.lit(1)).alias("_n"))
     d = base.join(sizes, gnames).withColumn("_h", h)
     k = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(chunk)))
-    d = d.withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), k))
+    d = d.withColumn("_b", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * k, 32))
     counts = d.groupBy(*gnames, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(*gnames).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0)))

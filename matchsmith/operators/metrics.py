@@ -45,15 +45,15 @@ def per_class_metrics(df: DataFrame, truth: str = "truth", pred: str = "pred",
     """Precision, recall, F1 and support per class (0 where the divisor is 0); ``extra_keys``
     computes them per group (for example per fold)."""
     keys = list(extra_keys or [])
-    base = df.select(*keys, F.col(truth).alias("t"), F.col(pred).alias("p"))
-    classes = base.select(*keys, F.col("t").alias("cls")).union(
-        base.select(*keys, F.col("p").alias("cls"))).distinct()
-    tp = base.where(F.col("t") == F.col("p")).groupBy(*keys, F.col("t").alias("cls")) \
-        .agg(F.count(F.lit(1)).alias("tp"))
-    sup = base.groupBy(*keys, F.col("t").alias("cls")).agg(F.count(F.lit(1)).alias("support"))
-    prd = base.groupBy(*keys, F.col("p").alias("cls")).agg(F.count(F.lit(1)).alias("predicted"))
-    m = (classes.join(tp, [*keys, "cls"], "left").join(sup, [*keys, "cls"], "left")
-         .join(prd, [*keys, "cls"], "left").na.fill(0, ["tp", "support", "predicted"]))
+    cells = df.groupBy(*keys, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    # a cell counts for its true class and for its predicted one
+    sides = F.explode(F.array(
+        F.struct(F.col("t").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(F.lit(0)).alias("tp")),
+        F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("long").alias("tp"))))
+    m = (cells.select(*keys, sides.alias("s")).groupBy(*keys, F.col("s.cls").alias("cls"))
+         .agg(*[F.sum(f"s.{c}").alias(c) for c in ("support", "predicted", "tp")]))
     prec = _safe_div(F.col("tp"), F.col("predicted"))
     rec = _safe_div(F.col("tp"), F.col("support"))
     m = m.withColumn("precision", prec).withColumn("recall", rec)

@@ -122,9 +122,9 @@ def exclude_pairs(cands: DataFrame, excluded: DataFrame) -> DataFrame:
     return c.join(ex, ["_a", "_b"], "left_anti").drop("_a", "_b")
 
 
-def run_rounds(scope: DataFrame, run_round, settled_expr, grow: int = 4,
-               max_rounds: int = 64) -> DataFrame:
-    """Drive budgeted rounds until every group is settled.
+def run_rounds(scope: DataFrame, run_round, settled_expr, grow: int = 4) -> DataFrame:
+    """Drive budgeted rounds until every group is settled. Budgets grow by ``grow``, so they
+    pass any group's number of pairs, at which it counts as settled: the loop always ends.
 
     ``run_round(scope) -> (rows, per_group_counts)``; ``settled_expr(scope_with_counts)`` is a
     Column. Each round's output is checkpointed so the loop keeps a short lineage and a lost
@@ -132,7 +132,7 @@ def run_rounds(scope: DataFrame, run_round, settled_expr, grow: int = 4,
     """
     done: list[DataFrame] = []
     scope = checkpoint(scope)
-    for _ in range(max_rounds):
+    while True:
         rows, counts = run_round(scope)
         rows = checkpoint(rows)
         flagged = scope.join(counts(rows), _key_cols(scope), "left").na.fill(0, ["_n"])

@@ -29,18 +29,20 @@ def _skip_for_matcher(c: str) -> bool:
     return "id_" in c or "_id" in c or c == "label" or "identifier" in c
 
 
-def flatten_for_matcher(df: DataFrame, key: str = "pair_id", label: str = "label") -> DataFrame:
+def flatten_for_matcher(df: DataFrame, key: str = "pair_id", label: str = "label",
+                        carry: list[str] | None = None) -> DataFrame:
     """``id, label, left_<attr>..., right_<attr>...`` in input column order; id-like columns
-    dropped; values reduced to alphanumeric words. A column must end in _left or _right."""
+    dropped; values reduced to alphanumeric words. A column must end in _left or _right;
+    ``carry`` names columns that are passed on in front as they are."""
     cols = []
     for c in df.columns:
-        if _skip_for_matcher(c):
+        if _skip_for_matcher(c) or c in (carry or []):
             continue
         m = _SIDE.match(c)
         if not m:
             raise ValueError(f"column {c!r} ends in neither _left nor _right")
         cols.append(alnum_only(F.col(c).cast("string")).alias(f"{m.group(2)}_{m.group(1)}"))
-    return df.select(F.col(key).alias("id"), F.col(label).alias("label"), *cols)
+    return df.select(*(carry or []), F.col(key).alias("id"), F.col(label).alias("label"), *cols)
 
 
 def side_prefix(df: DataFrame, side: str) -> DataFrame:
@@ -84,48 +86,45 @@ def pairs_from_tables(table_a: DataFrame, table_b: DataFrame, pairs: DataFrame,
         g = t.groupBy(k).agg(F.max_by(F.struct(*cols), F.col("_row")).alias("v"))
         return g.select(k, *[F.col(f"v.{c}").alias(c) for c in cols])
     a, b = dedup(table_a, a_key), dedup(table_b, b_key)
-    if check:
-        miss_a = pairs.join(a.select(F.col(a_key).alias(left)), left, "left_anti").limit(1).count()
-        miss_b = pairs.join(b.select(F.col(b_key).alias(right)), right, "left_anti").limit(1).count()
-        if miss_a or miss_b:
-            raise ValueError("pair table names an id missing from an entity table")
     la = side_prefix(a, "left").withColumnRenamed(f"left_{a_key}", left)
     rb = side_prefix(b, "right").withColumnRenamed(f"right_{b_key}", right)
     extra = [c for c in order if c not in (left, right, label)]
     p = surrogate_ids(pairs.select(left, right, F.col(label).alias("label"), *extra),
                       order, "id", start=1)
-    j = p.join(la, left).join(rb, right)
+    if check:  # an unmatched id fails the query that reads the row; no pass of its own
+        for t, name in ((la, "_in_a"), (rb, "_in_b")):
+            key = left if t is la else right
+            p = p.join(t.withColumn(name, F.lit(True)), key, "left")
+        missing = F.raise_error(F.lit("pair table names an id missing from an entity table"))
+        j = p.withColumn("id", F.when(F.col("_in_a") & F.col("_in_b"), F.col("id")).otherwise(missing.cast("long")))
+    else:
+        j = p.join(la, left).join(rb, right)
     return j.select("id", "label", F.col(left).alias(f"left_{a_key}"),
                     *[c for c in la.columns if c != left],
                     F.col(right).alias(f"right_{b_key}"), *[c for c in rb.columns if c != right])
 
 
+# What each kept column of a pair table is recognised by.
+_NAME_MARKS, _WORDS_MARK = ("_name", "_title"), "mtname"
+
+
 def keep_name_only(df: DataFrame) -> DataFrame:
-    """id, label, the first name-or-title column of each side, and category-word columns."""
-    left_n = right_n = left_mt = right_mt = None
-    for c in df.columns:
-        h = c.lower()
-        if "_name" in h and "left_" in h and left_n is None:
-            left_n = c
-        elif "_title" in h and "left_" in h and left_n is None:
-            left_n = c
-        elif "_name" in h and "right_" in h and right_n is None:
-            right_n = c
-        elif "_title" in h and "right_" in h and right_n is None:
-            right_n = c
-        elif "mtname" in h and "left_" in h:
-            left_mt = c
-        elif "mtname" in h and "right_" in h:
-            right_mt = c
-    cols = [df.columns[0], df.columns[1]]
-    out = [F.col(cols[0]).alias("id"), F.col(cols[1]).alias("label"),
-           F.col(left_n).alias("left_Name")]
-    if left_mt:
-        out.append(F.col(left_mt).alias("left_mtname"))
-    out.append(F.col(right_n).alias("right_Name"))
-    if right_mt:
-        out.append(F.col(right_mt).alias("right_mtname"))
-    return df.select(*out)
+    """Reduce a wide pair table to names: its first two columns as ``id`` and ``label``, then by
+    side the first column that is a name or a title (``<side>_Name``) and, where there is one,
+    the last of the category words (``<side>_mtname``). Column names are compared in lower case."""
+    def candidates(side: str, marks: tuple[str, ...]) -> list[str]:
+        return [c for c in df.columns if f"{side}_" in c.lower() and any(x in c.lower() for x in marks)]
+
+    key, label = df.columns[:2]
+    kept = [F.col(key).alias("id"), F.col(label).alias("label")]
+    for side in ("left", "right"):
+        names = candidates(side, _NAME_MARKS)
+        if not names:
+            raise ValueError(f"no {side} name or title among {df.columns}")
+        words = [c for c in candidates(side, (_WORDS_MARK,)) if c != names[0]]
+        kept.append(F.col(names[0]).alias(f"{side}_Name"))
+        kept += [F.col(c).alias(f"{side}_mtname") for c in words[-1:]]
+    return df.select(*kept)
 
 
 def line_aligned_join(a: DataFrame, b: DataFrame, a_order: list, b_order: list) -> DataFrame:
@@ -148,9 +147,10 @@ def name_lookup(pairs: DataFrame, names: DataFrame, left: str, right: str,
                       left, "left")
            .join(tb.select(F.col(name).alias(right), F.col("_w").alias(f"{right}_words")),
                  right, "left"))
-    if check and out.where(F.col(f"{left}_words").isNull()
-                           | F.col(f"{right}_words").isNull()).limit(1).count():
-        raise ValueError("a name has no category words")
+    if check:  # an unknown name fails the query that reads the row
+        for side in (f"{left}_words", f"{right}_words"):
+            out = out.withColumn(side, F.coalesce(F.col(side), F.raise_error(
+                F.lit("a name has no category words")).cast("string")))
     return out
 
 

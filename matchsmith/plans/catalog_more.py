@@ -303,11 +303,7 @@ _ALNUM = "trim(regexp_replace(coalesce(CAST({c} AS VARCHAR), ''), '[^0-9a-zA-Z]+
                       for a in ("title", "description", "brand") for s in ("left", "right"))
           + " FROM splits_v")
 def flatten_for_matcher(spark, sf):
-    s = FX.splits(spark, sf)
-    flat = SH.flatten_for_matcher(s.drop("split"), "pair_id", "label")
-    keyed = s.select("pair_id", "split")
-    return flat.join(keyed, flat.id == keyed.pair_id).drop("pair_id") \
-        .select("split", *flat.columns)
+    return SH.flatten_for_matcher(FX.splits(spark, sf), "pair_id", "label", carry=["split"])
 
 
 def _tables(spark, sf):

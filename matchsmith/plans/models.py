@@ -114,13 +114,13 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, params: dict | Non
 
 
 def feature_importance(model, names: list[str], top: int = 100) -> list[tuple[str, float]]:
-    """Coefficients (linear) or impurity importances (trees) by feature name, top ``top`` by
-    absolute weight."""
+    """Coefficients (linear) or impurity importances (trees) by feature name, the ``top``
+    largest first (signed: a linear model's negative weights come last)."""
     if hasattr(model, "coefficients"):
         w = model.coefficients.toArray()
     else:
         w = model.featureImportances.toArray()
-    pairs = sorted(zip(names, [float(x) for x in w]), key=lambda kv: -abs(kv[1]))
+    pairs = sorted(zip(names, [float(x) for x in w]), key=lambda kv: -kv[1])
     return pairs[:top]
 
 

@@ -52,7 +52,7 @@ FIXTURE_CTES = r"""
 offers_v AS (
   SELECT doc_id AS id, lang || '/' || source AS cluster_id,
          regexp_extract(text, '^\s*(\S+(?:\s+\S+){0,11})', 1) AS title,
-         regexp_extract(text, '^\s*(?:\S+\s+){12}((?:\S+\s+){0,39}\S+)', 1) AS description,
+         regexp_replace(text, '^\s*\S+(?:\s+\S+){0,11}\s*', '') AS description,
          source AS brand
   FROM documents),
 pair_ids_v AS (

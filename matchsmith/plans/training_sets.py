@@ -134,9 +134,10 @@ def positive_plan(ranked: DataFrame, gold_norm: DataFrame, n: int) -> DataFrame:
               .alias("gold_good")))
     p = counts.join(g, "cluster_id", "left").na.fill(0, ["gold_in", "gold_good"])
     m, gg = F.col("m").cast("long"), F.col("g").cast("long")
-    p = p.withColumn("T", m * (m - 1) / 2).withColumn("T", F.col("T").cast("long"))
+    half = lambda x: F.call_function("div", x * (x - 1), F.lit(2).cast("long"))
+    p = p.withColumn("T", half(m))
     p = p.withColumn("total", F.col("T") - F.col("gold_in"))
-    p = p.withColumn("good_total", (gg * (gg - 1) / 2).cast("long") - F.col("gold_good"))
+    p = p.withColumn("good_total", half(gg) - F.col("gold_good"))
     p = p.withColumn("S", F.least(F.lit(n).cast("long"), F.col("total")))
     p = p.withColumn("cap", F.floor(F.col("S") / 2))
     p = p.withColumn("ach", F.least(F.col("S"), F.col("good_total") + F.least(

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from matchsmith.operators.keys import next_in_order
 from matchsmith.session import materialize, read_table, session_memo
 
+# The title is a document's first words (twelve at most), the description all text after them.
 TITLE_RE = r"^\s*(\S+(?:\s+\S+){0,11})"
-DESCRIPTION_RE = r"^\s*(?:\S+\s+){12}((?:\S+\s+){0,39}\S+)"
+TITLE_PREFIX_RE = r"^\s*\S+(?:\s+\S+){0,11}\s*"
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.concat_ws("/", "lang", "source").alias("cluster_id"),
         F.regexp_extract("text", TITLE_RE, 1).alias("title"),
-        F.regexp_extract("text", DESCRIPTION_RE, 1).alias("description"),
+        F.regexp_replace("text", TITLE_PREFIX_RE, "").alias("description"),
         F.col("source").alias("brand"),
     )
 

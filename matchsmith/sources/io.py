@@ -37,9 +37,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: TY.StructType | None
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",",
-             schema: TY.StructType | None = None) -> DataFrame:
-    """CSV with a header row and double-quote escaping; missing values become ''."""
-    r = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+             schema: TY.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header row and double-quote escaping; missing values become ''. Values with
+    line breaks need ``multi_line``, for which Spark reads a file in one task."""
+    r = (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
          .option("sep", delimiter))
     df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
     string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, TY.StringType)]

@@ -16,10 +16,10 @@ def clean_offer_stream(stream: DataFrame, stop_words: list[str] | None = None) -
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint_location: str):
-    """Append each micro-batch to parquet under ``path``, with a streaming checkpoint in a
-    shared folder so a restarted query resumes where it stopped."""
+    """Write each micro-batch to its own ``epoch=`` folder of the parquet table under ``path``,
+    with a streaming checkpoint in a shared folder so a restarted query resumes where it
+    stopped. A batch that is replayed overwrites its folder, so no row is there twice."""
     def land(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch") \
-            .parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
     return (stream.writeStream.foreachBatch(land)
             .option("checkpointLocation", checkpoint_location).start())
