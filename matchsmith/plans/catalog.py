@@ -289,7 +289,7 @@ def similarity_by_rank(spark, sf):
 
 
 def _load_all() -> None:
-    from matchsmith.plans import catalog_ml, catalog_more  # noqa: F401  (register queries)
+    from matchsmith.plans import catalog_io, catalog_ml, catalog_more  # noqa: F401  (register queries)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -80,6 +80,11 @@ def materialize(df: DataFrame, sort_within: list[str] | None = None) -> DataFram
     return df.sparkSession.read.parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared checkpoint folder, for files that a query writes and rereads."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/matchsmith-files/{label}-{uuid.uuid4().hex}"
+
+
 _MEMO: dict[tuple, object] = {}
 
 
