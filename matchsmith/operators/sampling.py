@@ -1,21 +1,18 @@
-"""Seeded, capped pair sampling (W6) over pair sequences that are generated, never enumerated.
+"""Seeded, capped pair sampling (W6) in one round, without listing candidate pairs.
 
 A cluster of m offers has m(m-1)/2 candidate match pairs and two clusters m1*m2 non-match
-pairs. Neither is materialised. Offers get a seeded dense rank inside their cluster
-(``keys.dense_positions``), and the candidate pairs of a cluster (or cluster pair) are laid out
-in a fixed *pair sequence* that can be produced from any prefix length:
-
-* within one cluster, position ``(d-1)*m + i`` holds ranks ``(i, (i+d) mod m)`` for offsets
-  ``d = 1..floor(m/2)`` (for even m the last offset only for ``i < m/2``): every unordered pair
-  exactly once, and consecutive positions spread over all offers;
-* across clusters o and x, position ``d*m_o + i`` holds ranks ``(i, (i+d) mod m_x)`` for
-  ``d = 0..m_x-1``: the whole m_o x m_x grid exactly once.
-
-Because ranks are random, a prefix of the sequence is a random set of pairs. The capped sample
-of a group (``capped_sample``) only ever looks at positions below a per-group *budget*. After
-each round the groups whose answer is already fixed by their prefix are settled; the others
-get a four times larger budget. So the result is exact (the same as over the full sequence)
-while the work per group is bounded by what the sample needs, not by the group size squared.
+pairs. Neither is materialised. Offers are ranked in their cluster, those without a gold title
+("clean") before the others, so that the clean pairs and the bad pairs (an offer with a gold
+title) of a group are two index ranges. Gold pairs are taken out of the ranges by their sorted
+indices. Each range is drawn in a seeded order of its own, a full-cycle walk over its indices:
+
+    index(t) = (stride * t + offset) mod size,   t = 0, 1, 2, ...
+
+with a prime stride larger than any size (chosen, like the offset, by hash), so every pair
+comes exactly once and with the same chance at every t. The two orders are merged in proportion
+to their sizes; ``pos`` is the place in the merged order. A sample of S pairs with at most
+``cap`` bad ones needs at most the first S clean and the first ``cap`` bad draws: the work
+follows the sample, however large the group and however rare its clean pairs are.
 """
 
 from __future__ import annotations
@@ -23,7 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchsmith.session import checkpoint
+from matchsmith.functions.text import seeded_key
+
+# Primes over 2^60, the strides of the walks. Sizes stay below 2^50, draws below 2^12
+# times that, so products fit a long.
+STRIDES = (1152921504606847009, 1152921504606847067, 1152921504606847081, 1152921504606847123)
 
 
 def capped_sample(cands: DataFrame, group: list[str], pos: str = "pos", bad: str = "bad",
@@ -45,72 +46,96 @@ def capped_sample(cands: DataFrame, group: list[str], pos: str = "pos", bad: str
     return normal.unionByName(fb).drop("_rb")
 
 
-def _half(m: Column) -> Column:
-    return F.floor(m / 2)
+def _div(a: Column, b) -> Column:
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("long"))
 
 
-def within_cluster_prefix(ranked: DataFrame, scope: DataFrame) -> DataFrame:
-    """Candidate pairs at positions below ``budget`` of each cluster's pair sequence.
+def _half_product(n: Column) -> Column:
+    return _div(n * (n - 1), 2)
+
+
+def _hash60(*parts) -> Column:
+    """The leading 60 bits of a seeded md5."""
+    return F.conv(F.substring(seeded_key(*parts), 1, 15), 16, 10).cast("long")
+
+
+def walk(size: Column, t: Column, h: Column) -> Column:
+    """Index of draw ``t`` of a range of ``size`` under the hash ``h``."""
+    stride = F.element_at(F.array(*[F.lit(x) for x in STRIDES]), (F.pmod(h, F.lit(len(STRIDES))) + 1).cast("int"))
+    return F.pmod(F.pmod(stride, size) * t + F.pmod(_div(h, len(STRIDES)), size), size)
+
+
+def merged_position(t: Column, own: Column, other: Column, after_ties: Column) -> Column:
+    """Place of draw ``t`` of ``own`` draws among ``other`` draws when both are spread evenly: t
+    plus the number of the others' draws b with (2b+1)/other below (2t+1)/own (or equal, where
+    ``after_ties``)."""
+    ours, step = (2 * t + 1) * other, 2 * own
+    # others' draws at or under the mark: (2b + 1) * own <= ours, less one unit without ties
+    mark = F.when(after_ties, ours).otherwise(ours - 1)
+    before = F.when(mark >= own, _div(mark - own, step) + 1).otherwise(F.lit(0).cast("long"))
+    return t + F.least(before, other)
+
+
+def draws(groups: DataFrame, seed, keys: list[str], clean: str = "n_clean", bad: str = "n_bad",
+          size: str = "S", cap: str = "cap") -> DataFrame:
+    """The draws a capped sample can need of each group (columns of ``groups`` are kept): ``bad``
+    says of which range, ``idx`` which pair of it, ``pos`` the place in the merged order."""
+    kinds = F.explode(F.array(
+        F.struct(F.lit(False).alias("bad"), F.col(clean).alias("n"), F.col(bad).alias("o"), F.least(clean, size).alias("take")),
+        F.struct(F.lit(True).alias("bad"), F.col(bad).alias("n"), F.col(clean).alias("o"),
+                 F.least(F.col(bad), F.greatest(F.col(cap), F.lit(1))).alias("take"))))
+    k = groups.withColumn("_k", kinds).where("_k.take > 0")
+    k = k.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k.take") - 1)))
+    h = _hash60(seed, *keys, F.col("_k.bad").cast("string"))
+    k = k.withColumns({"bad": F.col("_k.bad"), "idx": walk(F.col("_k.n"), F.col("_t"), h),
+                       "pos": merged_position(F.col("_t"), F.col("_k.n"), F.col("_k.o"), F.col("_k.bad"))})
+    return k.drop("_k", "_t")
+
+
+def past_gold(idx: Column, gold: Column) -> Column:
+    """Index in the whole range of the ``idx``-th pair that isn't in the sorted array ``gold``."""
+    return idx + F.size(F.filter(gold, lambda g, i: g - i <= idx))
 
-    ranked: ``cluster_id, rank, id, bad``; scope: ``cluster_id, m, budget`` (one row per
-    cluster). Returns ``cluster_id, pos, id_left, id_right, bad`` with id_left < id_right.
-    """
-    sc = scope.select("cluster_id", "m", "budget")
-    ranked = _below_max_budget(ranked, sc, "budget")
-    left = ranked.join(sc, "cluster_id").where(F.col("rank") < F.col("budget"))
-    d_hi = F.least(_half(F.col("m")),
-                   F.floor((F.col("budget") - 1 - F.col("rank")) / F.col("m")) + 1)
-    left = left.withColumn("_dhi", d_hi).where(F.col("_dhi") >= 1)
-    left = left.withColumn("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_dhi"))))
-    left = left.where((2 * F.col("d") != F.col("m")) | (F.col("rank") < F.col("d")))
-    left = left.withColumn("j", F.pmod(F.col("rank") + F.col("d"), F.col("m")))
-    # partner ranks are below budget + offsets used, so only that slice of the cluster is read
-    partner = (ranked.join(sc, "cluster_id")
-               .where(F.col("rank") < F.col("budget") + F.ceil(F.col("budget") / F.col("m")))
-               .select("cluster_id", F.col("rank").alias("j"), F.col("id").alias("id_j"),
-                       F.col("bad").alias("bad_j")))
-    p = left.join(partner, ["cluster_id", "j"])
-    return p.select(
-        "cluster_id",
-        ((F.col("d") - 1) * F.col("m") + F.col("rank")).alias("pos"),
-        F.least("id", "id_j").alias("id_left"),
-        F.greatest("id", "id_j").alias("id_right"),
-        (F.col("bad") | F.col("bad_j")).alias("bad"))
-
-
-def cross_cluster_prefix(ranked: DataFrame, lists: DataFrame) -> DataFrame:
-    """Candidate pairs at grid positions below ``budget`` for each (owner, other) list.
-
-    lists: ``owner, other, m_o, m_x, budget``. Returns ``owner, other, pos, id_left, id_right,
-    bad`` where id_left is the owner-side offer.
-    """
-    ls = lists.select("owner", "other", "m_o", "m_x", "budget")
-    ranked = _below_max_budget(ranked, ls, "budget")
-    left = (ranked.select(F.col("cluster_id").alias("owner"), "rank", "id", "bad")
-            .join(ls, "owner").where(F.col("rank") < F.col("budget")))
-    d_hi = F.least(F.col("m_x") - 1,
-                   F.floor((F.col("budget") - 1 - F.col("rank")) / F.col("m_o")))
-    left = left.withColumn("_dhi", d_hi).where(F.col("_dhi") >= 0)
-    left = left.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_dhi"))))
-    left = left.withColumn("j", F.pmod(F.col("rank") + F.col("d"), F.col("m_x")))
-    partner = (ranked.select(F.col("cluster_id").alias("other"), F.col("rank").alias("j"),
-                             F.col("id").alias("id_j"), F.col("bad").alias("bad_j"))
-               .join(ls.select("owner", "other", "budget", "m_o"), "other")
-               .where(F.col("j") < F.col("budget") + F.ceil(F.col("budget") / F.col("m_o")))
-               .drop("budget", "m_o"))
-    p = left.join(partner, ["owner", "other", "j"])
-    return p.select(
-        "owner", "other",
-        (F.col("d") * F.col("m_o") + F.col("rank")).alias("pos"),
-        F.col("id").alias("id_left"), F.col("id_j").alias("id_right"),
-        (F.col("bad") | F.col("bad_j")).alias("bad"))
-
-
-def _below_max_budget(ranked: DataFrame, scope: DataFrame, budget: str) -> DataFrame:
-    """A literal bound on ``rank`` that the scan can push down: no pair at positions below a
-    budget B touches a rank of 2B or more (see the partner bounds above)."""
-    mx = scope.agg(F.max(budget)).first()[0] or 0
-    return ranked.where(F.col("rank") < F.lit(2 * int(mx) + 1))
+
+def pair_of_index(idx: Column) -> tuple[Column, Column]:
+    """Ranks (i, j), i < j, of the ``idx``-th pair of a cluster, by j and then i."""
+    j = F.floor((F.sqrt(8.0 * idx + 1.0) + 1) / 2)
+    j = j - F.when(_half_product(j) > idx, 1).otherwise(0)  # the root is a double: mend its last place
+    j = j + F.when(_half_product(j + 1) <= idx, 1).otherwise(0)
+    return idx - _half_product(j), j
+
+
+def index_of_pair(a: Column, b: Column) -> Column:
+    """Inverse of ``pair_of_index`` for two different ranks in either order."""
+    return _half_product(F.greatest(a, b)) + F.least(a, b)
+
+
+def cross_of_index(idx: Column, bad: Column, m_x: Column, g_o: Column, g_x: Column) -> tuple[Column, Column]:
+    """Ranks (owner, other) of a pair across two clusters: clean pairs row by row; bad ones the
+    clean owners with the others' bad offers, then the bad owners with all."""
+    bad_x = F.greatest(m_x - g_x, F.lit(1))
+    first = g_o * (m_x - g_x)
+    later = idx - first
+    clean_i, clean_j = _div(idx, F.greatest(g_x, F.lit(1))), F.pmod(idx, F.greatest(g_x, F.lit(1)))
+    i = F.when(~bad, clean_i).when(idx < first, _div(idx, bad_x)).otherwise(g_o + _div(later, m_x))
+    j = F.when(~bad, clean_j).when(idx < first, g_x + F.pmod(idx, bad_x)).otherwise(F.pmod(later, m_x))
+    return i, j
+
+
+def index_of_cross(i: Column, j: Column, m_x: Column, g_o: Column, g_x: Column) -> Column:
+    """Inverse of ``cross_of_index`` within the pair's own range."""
+    clean = (i < g_o) & (j < g_x)
+    return F.when(clean, i * g_x + j).when(i < g_o, i * (m_x - g_x) + j - g_x) \
+        .otherwise(g_o * (m_x - g_x) + (i - g_o) * m_x + j)
+
+
+def fetch_pair(drawn: DataFrame, ranked: DataFrame, left: str, right: str) -> DataFrame:
+    """Ids of ranks ``i`` of cluster ``left`` and ``j`` of cluster ``right`` (``id_i``, ``id_j``): two
+    joins on unique (cluster, rank) keys."""
+    for rank, cluster in (("i", left), ("j", right)):
+        side = ranked.select(F.col("cluster_id").alias("_c"), F.col("rank").alias("_r"), F.col("id").alias(f"id_{rank}"))
+        drawn = drawn.join(side, (F.col(cluster) == F.col("_c")) & (F.col(rank) == F.col("_r"))).drop("_c", "_r")
+    return drawn
 
 
 def exclude_pairs(cands: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -120,34 +145,3 @@ def exclude_pairs(cands: DataFrame, excluded: DataFrame) -> DataFrame:
     c = cands.withColumn("_a", F.least("id_left", "id_right")) \
              .withColumn("_b", F.greatest("id_left", "id_right"))
     return c.join(ex, ["_a", "_b"], "left_anti").drop("_a", "_b")
-
-
-def run_rounds(scope: DataFrame, run_round, settled_expr, grow: int = 4) -> DataFrame:
-    """Drive budgeted rounds until every group is settled. Budgets grow by ``grow``, so they
-    pass any group's number of pairs, at which it counts as settled: the loop always ends.
-
-    ``run_round(scope) -> (rows, per_group_counts)``; ``settled_expr(scope_with_counts)`` is a
-    Column. Each round's output is checkpointed so the loop keeps a short lineage and a lost
-    executor only recomputes the current round.
-    """
-    done: list[DataFrame] = []
-    scope = checkpoint(scope)
-    while True:
-        rows, counts = run_round(scope)
-        rows = checkpoint(rows)
-        flagged = scope.join(counts(rows), _key_cols(scope), "left").na.fill(0, ["_n"])
-        flagged = flagged.withColumn("_settled", settled_expr(flagged))
-        ok = flagged.where("_settled").select(*_key_cols(scope))
-        done.append(rows.join(ok, _key_cols(scope), "left_semi"))
-        nxt = flagged.where(~F.col("_settled")).drop("_settled", "_n")
-        if nxt.isEmpty():
-            break
-        scope = checkpoint(nxt.withColumn("budget", F.col("budget") * grow))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def _key_cols(scope: DataFrame) -> list[str]:
-    return [c for c in scope.columns if c in ("cluster_id", "owner")]

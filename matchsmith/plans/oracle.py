@@ -103,7 +103,8 @@ def training_ctes(seed: int = 42, min_words: int = 5) -> list[str]:
         "gtitles AS (SELECT DISTINCT title FROM gold_offers)",
         "ranked AS (SELECT e.cluster_id, e.id, e.title,"
         " (e.title IN (SELECT title FROM gtitles)) AS bad,"
-        f" row_number() OVER (PARTITION BY e.cluster_id ORDER BY {seeded(seed, 'e.id')}, e.id) - 1"
+        f" row_number() OVER (PARTITION BY e.cluster_id ORDER BY (e.title IN (SELECT title FROM gtitles)),"
+        f" {seeded(seed, 'e.id')}, e.id) - 1"
         " AS rank FROM eligible e WHERE e.cluster_id IN (SELECT cluster_id FROM gclusters))",
         "msize AS (SELECT cluster_id, count(*) AS m FROM ranked GROUP BY cluster_id)",
     ]
@@ -125,17 +126,31 @@ def capped_sql(src: str, group: str, pos: str, size: str, cap: str, fallback: st
       ) c WHERE _k = 1"""
 
 
-def positives_ctes(n: int = 15) -> list[str]:
+def walk_sql(src: str, keys: list[str], seed: int) -> str:
+    """Every pair of the ranges ``src`` (keys, bad, n, nall) with its draw number's place ``k`` in
+    the range and ``pos`` in the merged order."""
+    key = ", ".join(keys)
+    strides = "[1152921504606847009, 1152921504606847067, 1152921504606847081, 1152921504606847123]"
+    return f"""
+      SELECT {key}, bad, CAST((CAST({strides}[1 + h % 4] % n AS HUGEINT) * t + (h // 4) % n) % n AS BIGINT) AS k,
+             t + least(CASE WHEN mark >= n THEN (mark - n) // (2 * n) + 1 ELSE 0 END, nall - n) AS pos
+      FROM (SELECT *, (2 * t + 1) * (nall - n) - CASE WHEN bad THEN 0 ELSE 1 END AS mark FROM (
+        SELECT *, unnest(generate_series(0, n - 1)) AS t,
+               CAST('0x' || substr({seeded(seed, *keys, 'bad')}, 1, 15) AS BIGINT) AS h
+        FROM (SELECT DISTINCT {key}, bad, n, nall FROM {src}) r0) r1) r2"""
+
+
+def positives_ctes(n: int = 15, seed: int = 42) -> list[str]:
     return [
-        # every unordered pair of a cluster with its position in the pair sequence
-        "allpos AS (SELECT a.cluster_id, s.m, least(a.id, b.id) AS id_left,"
-        " greatest(a.id, b.id) AS id_right, (a.bad OR b.bad) AS bad,"
-        " CASE WHEN 2 * (b.rank - a.rank) <= s.m THEN (b.rank - a.rank - 1) * s.m + a.rank"
-        " ELSE (s.m - (b.rank - a.rank) - 1) * s.m + b.rank END AS pos"
-        " FROM ranked a JOIN ranked b ON a.cluster_id = b.cluster_id AND a.rank < b.rank"
-        " JOIN msize s ON s.cluster_id = a.cluster_id)",
-        "pcand AS (SELECT p.* FROM allpos p ANTI JOIN gnorm g"
-        " ON g.id_left = p.id_left AND g.id_right = p.id_right)",
+        # every unordered pair of a cluster, by the higher rank and then the lower one
+        "allpos AS (SELECT a.cluster_id, least(a.id, b.id) AS id_left,"
+        " greatest(a.id, b.id) AS id_right, (a.bad OR b.bad) AS bad, a.rank AS i, b.rank AS j"
+        " FROM ranked a JOIN ranked b ON a.cluster_id = b.cluster_id AND a.rank < b.rank)",
+        "pcand0 AS (SELECT p.*, row_number() OVER (PARTITION BY cluster_id, bad ORDER BY j, i) - 1 AS k,"
+        " count(*) OVER (PARTITION BY cluster_id, bad) AS n, count(*) OVER (PARTITION BY cluster_id) AS nall"
+        " FROM allpos p ANTI JOIN gnorm g ON g.id_left = p.id_left AND g.id_right = p.id_right)",
+        "pcand AS (SELECT c.cluster_id, c.id_left, c.id_right, c.bad, w.pos FROM pcand0 c JOIN ("
+        + walk_sql("pcand0", ["cluster_id"], seed) + ") w ON w.cluster_id = c.cluster_id AND w.bad = c.bad AND w.k = c.k)",
         "pplan AS (SELECT cluster_id, count(*) AS total, sum(CASE WHEN NOT bad THEN 1 ELSE 0 END)"
         f" AS good_total, least({n}, count(*)) AS S FROM pcand GROUP BY cluster_id)",
         "pplan2 AS (SELECT *, S // 2 AS cap, least(S, good_total + least(S // 2,"
@@ -173,11 +188,12 @@ def negatives_ctes(n: int = 45, k: int = 10, seed: int = 42) -> list[str]:
         " greatest(cluster_id, other) AS kb FROM topk GROUP BY ALL)",
         "owned2 AS (SELECT owner, CASE WHEN owner = ka THEN kb ELSE ka END AS other FROM owned)",
         "ngrid AS (SELECT w.owner, w.other, a.id AS id_left, b.id AS id_right,"
-        " (a.bad OR b.bad) AS bad, (((b.rank - a.rank) % sx.m + sx.m) % sx.m) * so.m + a.rank AS pos"
+        " (a.bad OR b.bad) AS bad, a.rank AS i, b.rank AS j"
         " FROM owned2 w JOIN ranked a ON a.cluster_id = w.owner"
-        " JOIN ranked b ON b.cluster_id = w.other"
-        " JOIN msize so ON so.cluster_id = w.owner JOIN msize sx ON sx.cluster_id = w.other)",
-        "ncand AS (SELECT p.* FROM ngrid p ANTI JOIN gnorm g"
+        " JOIN ranked b ON b.cluster_id = w.other)",
+        "ncand AS (SELECT p.*, row_number() OVER (PARTITION BY owner, other, bad ORDER BY i, j) - 1 AS k,"
+        " count(*) OVER (PARTITION BY owner, other, bad) AS n, count(*) OVER (PARTITION BY owner, other) AS nall"
+        " FROM ngrid p ANTI JOIN gnorm g"
         " ON g.id_left = least(p.id_left, p.id_right) AND g.id_right = greatest(p.id_left, p.id_right))",
         "lists AS (SELECT w.owner, w.other, coalesce(c.L, 0) AS L FROM owned2 w LEFT JOIN"
         " (SELECT owner, other, count(*) AS L FROM ncand GROUP BY ALL) c USING (owner, other))",
@@ -185,8 +201,10 @@ def negatives_ctes(n: int = 45, k: int = 10, seed: int = 42) -> list[str]:
         " count(*) OVER (PARTITION BY owner) AS k_o,"
         f" row_number() OVER (PARTITION BY owner ORDER BY {seeded(seed, 'owner', 'other')}, other)"
         " - 1 AS slot FROM lists)",
-        "nt AS (SELECT c.*, l.min_len, l.k_o, l.slot, row_number() OVER (PARTITION BY c.owner,"
-        " c.other ORDER BY c.pos) - 1 AS t FROM ncand c JOIN lists2 l USING (owner, other))",
+        "nt AS (SELECT c.owner, c.other, c.id_left, c.id_right, c.bad, l.min_len, l.k_o, l.slot, w.pos AS t"
+        " FROM ncand c JOIN (" + walk_sql("ncand", ["owner", "other"], seed) + ") w ON w.owner = c.owner"
+        " AND w.other = c.other AND w.bad = c.bad AND w.k = c.k"
+        " JOIN lists2 l ON l.owner = c.owner AND l.other = c.other)",
         f"nu AS (SELECT *, t * k_o + slot AS u, least({n}, k_o * min_len) AS S,"
         f" least({n}, k_o * min_len) // 2 AS cap FROM nt WHERE t < min_len)",
         "nu2 AS (SELECT *, (S = 1 AND max(CASE WHEN NOT bad THEN 1 ELSE 0 END)"

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from matchsmith.functions import text as T
 from matchsmith.operators.joins import bounded_broadcast
 from matchsmith.operators.keys import random_ranks
-from matchsmith.operators.sampling import (capped_sample, cross_cluster_prefix, exclude_pairs,
-                                           run_rounds, within_cluster_prefix)
+from matchsmith.operators.sampling import (capped_sample, cross_of_index, draws, fetch_pair,
+                                           index_of_cross, index_of_pair, pair_of_index, past_gold)
 from matchsmith.session import checkpoint, materialize
 
 
@@ -32,10 +32,6 @@ class SamplingConfig:
     stats_depth: int = 50        # ranks reported by similarity_by_rank
     min_words: int = 5           # title + description must have more words than this
     hot_token_clusters: int = 256  # clusters per token above which the token is salted
-    start_budget: int | None = None
-
-    def budget(self, n: int) -> int:
-        return self.start_budget or (4 * n + 16)
 
 
 # ------------------------------------------------------------------------------ offers
@@ -97,20 +93,22 @@ def gold_titles(clean: DataFrame, gold: DataFrame) -> DataFrame:
 
 def ranked_offers(eligible: DataFrame, clusters: DataFrame, titles: DataFrame,
                   seed: int) -> DataFrame:
-    """Eligible offers of the chosen clusters with a seeded dense rank per cluster and the
-    gold-title flag. Checkpointed: every sampling round reads it."""
+    """Eligible offers of the chosen clusters with the gold-title flag and a seeded dense rank
+    per cluster, clean offers first. A stored table: the plans and the samples read it."""
     e = eligible.join(bounded_broadcast(clusters), "cluster_id", "left_semi")
     t = bounded_broadcast(titles.select("title", F.lit(True).alias("bad")))
     e = e.join(t, "title", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    r = random_ranks(e.select("cluster_id", "id", "title", "bad"), "id", seed, ["cluster_id"])
-    # parquet sorted by rank inside each file: every sampling round reads only ranks below
-    # its largest budget, and row-group statistics skip the rest of a large cluster
+    r = random_ranks(e.select("cluster_id", "id", "title", "bad"), "id", seed, ["cluster_id", "bad"])
+    clean = e.where(~F.col("bad")).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_g"))
+    r = r.join(bounded_broadcast(clean), "cluster_id", "left").withColumn(
+        "rank", F.col("rank") + F.when(F.col("bad"), F.coalesce("_g", F.lit(0))).otherwise(F.lit(0)))
     return materialize(r.select("cluster_id", "id", "title", "bad", "rank"), ["rank"])
 
 
 def _offer_side(ranked: DataFrame, suffix: str) -> DataFrame:
     return ranked.select(F.col("id").alias(f"id_{suffix}"),
                          F.col("cluster_id").alias(f"c_{suffix}"),
+                         F.col("rank").alias(f"rank_{suffix}"),
                          F.col("bad").alias(f"bad_{suffix}"))
 
 
@@ -127,17 +125,21 @@ def positive_plan(ranked: DataFrame, gold_norm: DataFrame, n: int) -> DataFrame:
     number of pairs the sample can reach."""
     counts = ranked.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("m"), F.sum(F.when(~F.col("bad"), 1).otherwise(0)).alias("g"))
-    g = (gold_pairs_located(ranked, gold_norm).where(F.col("c_left") == F.col("c_right"))
-         .groupBy(F.col("c_left").alias("cluster_id"))
-         .agg(F.count(F.lit(1)).alias("gold_in"),
-              F.sum(F.when(~F.col("bad_left") & ~F.col("bad_right"), 1).otherwise(0))
-              .alias("gold_good")))
-    p = counts.join(g, "cluster_id", "left").na.fill(0, ["gold_in", "gold_good"])
+    located = (gold_pairs_located(ranked, gold_norm).where(F.col("c_left") == F.col("c_right"))
+               .withColumn("idx", index_of_pair(F.col("rank_left"), F.col("rank_right")))
+               .withColumn("bad", F.col("bad_left") | F.col("bad_right")))
+    # hand-labelled pairs of one cluster, as sorted indices
+    g = located.groupBy(F.col("c_left").alias("cluster_id")).agg(
+        F.array_sort(F.collect_list(F.when(~F.col("bad"), F.col("idx")))).alias("gold_clean"),
+        F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("idx")))).alias("gold_bad"))
+    none = F.array().cast("array<bigint>")
+    p = counts.join(g, "cluster_id", "left").withColumns({
+        "gold_clean": F.coalesce("gold_clean", none), "gold_bad": F.coalesce("gold_bad", none)})
     m, gg = F.col("m").cast("long"), F.col("g").cast("long")
     half = lambda x: F.call_function("div", x * (x - 1), F.lit(2).cast("long"))
-    p = p.withColumn("T", half(m))
-    p = p.withColumn("total", F.col("T") - F.col("gold_in"))
-    p = p.withColumn("good_total", half(gg) - F.col("gold_good"))
+    p = p.withColumns({"T": half(m), "clean_pairs": half(gg)})
+    p = p.withColumn("total", F.col("T") - F.size("gold_clean") - F.size("gold_bad"))
+    p = p.withColumn("good_total", F.col("clean_pairs") - F.size("gold_clean"))
     p = p.withColumn("S", F.least(F.lit(n).cast("long"), F.col("total")))
     p = p.withColumn("cap", F.floor(F.col("S") / 2))
     p = p.withColumn("ach", F.least(F.col("S"), F.col("good_total") + F.least(
@@ -145,26 +147,21 @@ def positive_plan(ranked: DataFrame, gold_norm: DataFrame, n: int) -> DataFrame:
     return p.withColumn("fallback", (F.col("ach") == 0) & (F.col("total") > 0))
 
 
-def sample_positive_pairs(ranked: DataFrame, gold_norm: DataFrame, n: int,
-                          start_budget: int) -> DataFrame:
+def sample_positive_pairs(ranked: DataFrame, gold_norm: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``cluster_id, pos, id_left, id_right, bad``: the capped seeded sample per cluster."""
     plan = positive_plan(ranked, gold_norm, n).where(F.col("total") > 0)
-    scope = plan.select("cluster_id", "m", "T", "S", "cap", "ach", "fallback",
-                        F.lit(start_budget).cast("long").alias("budget"))
-
-    def run_round(sc):
-        c = exclude_pairs(within_cluster_prefix(ranked, sc), gold_norm)
-        c = c.join(sc.select("cluster_id", "S", "cap", "fallback"), "cluster_id")
-        rows = capped_sample(c, ["cluster_id"]).select("cluster_id", "pos", "id_left",
-                                                       "id_right", "bad")
-        return rows, lambda r: r.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
-
-    def settled(f):
-        return ((~F.col("fallback") & (F.col("_n") == F.col("ach")))
-                | (F.col("fallback") & (F.col("_n") >= 1))
-                | (F.col("budget") >= F.col("T")))
-
-    return run_rounds(scope, run_round, settled)
+    plan = plan.withColumns({"n_clean": F.col("good_total"), "n_bad": F.col("total") - F.col("good_total")})
+    d = draws(plan, seed, ["cluster_id"])
+    # bad pairs stand after the clean ones in the index of a cluster's pairs
+    shifted = F.transform("gold_bad", lambda g: g - F.col("clean_pairs"))
+    idx = F.when(F.col("bad"), past_gold(F.col("idx"), shifted) + F.col("clean_pairs")) \
+        .otherwise(past_gold(F.col("idx"), F.col("gold_clean")))
+    i, j = pair_of_index(F.col("idx"))
+    d = d.withColumn("idx", idx).withColumns({"i": i, "j": j})
+    d = capped_sample(d, ["cluster_id"])
+    d = fetch_pair(d.select("cluster_id", "pos", "bad", "i", "j"), ranked, "cluster_id", "cluster_id")
+    return checkpoint(d.select("cluster_id", "pos", F.least("id_i", "id_j").alias("id_left"),
+                               F.greatest("id_i", "id_j").alias("id_right"), "bad"))
 
 
 # ------------------------------------------------------------------------------ similarity
@@ -257,19 +254,28 @@ def negative_plan(ranked: DataFrame, gold_norm: DataFrame, owned: DataFrame, n:
                   seed: int) -> DataFrame:
     """Per (owner, other) list: sizes, gold pairs between the two clusters, the equal share
     ``min_len`` of the owner, the list's slot in the owner's interleaving, S and cap."""
-    m = ranked.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m"))
-    mo = m.select(F.col("cluster_id").alias("owner"), F.col("m").alias("m_o"))
-    mx = m.select(F.col("cluster_id").alias("other"), F.col("m").alias("m_x"))
+    m = ranked.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.when(~F.col("bad"), 1).otherwise(0)).alias("g"))
+    mo = m.select(F.col("cluster_id").alias("owner"), F.col("m").alias("m_o"), F.col("g").alias("g_o"))
+    mx = m.select(F.col("cluster_id").alias("other"), F.col("m").alias("m_x"), F.col("g").alias("g_x"))
     lists = (owned.join(mo, "owner", "left").join(mx, "other", "left")
-             .na.fill(0, ["m_o", "m_x"]))
-    gb = (gold_pairs_located(ranked, gold_norm).where(F.col("c_left") != F.col("c_right"))
-          .groupBy(F.least("c_left", "c_right").alias("ka"),
-                   F.greatest("c_left", "c_right").alias("kb"))
-          .agg(F.count(F.lit(1)).alias("gold_between")))
-    lists = (lists.withColumn("ka", F.least("owner", "other"))
-             .withColumn("kb", F.greatest("owner", "other"))
-             .join(gb, ["ka", "kb"], "left").drop("ka", "kb").na.fill(0, ["gold_between"]))
-    lists = lists.withColumn("L", F.col("m_o").cast("long") * F.col("m_x") - F.col("gold_between"))
+             .na.fill(0, ["m_o", "m_x", "g_o", "g_x"]))
+    located = gold_pairs_located(ranked, gold_norm).where(F.col("c_left") != F.col("c_right"))
+    both = [located.select(F.col(f"c_{a}").alias("owner"), F.col(f"c_{b}").alias("other"), F.col(f"rank_{a}").alias("_i"),
+                           F.col(f"rank_{b}").alias("_j"), (F.col("bad_left") | F.col("bad_right")).alias("_bad"))
+            for a, b in (("left", "right"), ("right", "left"))]
+    gold = both[0].unionByName(both[1]).join(lists.select("owner", "other", "m_x", "g_o", "g_x"), ["owner", "other"])
+    gold = gold.withColumn("_idx", index_of_cross(*[F.col(c) for c in ("_i", "_j", "m_x", "g_o", "g_x")]))
+    gold = gold.groupBy("owner", "other").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("_bad"), F.col("_idx")))).alias("gold_clean"),
+        F.array_sort(F.collect_list(F.when(F.col("_bad"), F.col("_idx")))).alias("gold_bad"))
+    none = F.array().cast("array<bigint>")
+    lists = lists.join(gold, ["owner", "other"], "left").withColumns({
+        "gold_clean": F.coalesce("gold_clean", none), "gold_bad": F.coalesce("gold_bad", none)})
+    clean, every = F.col("g_o").cast("long") * F.col("g_x"), F.col("m_o").cast("long") * F.col("m_x")
+    lists = lists.withColumns({"n_clean": clean - F.size("gold_clean"), "n_bad": every - clean - F.size("gold_bad")})
+    lists = lists.withColumn("gold_between", F.size("gold_clean") + F.size("gold_bad"))
+    lists = lists.withColumn("L", F.col("n_clean") + F.col("n_bad"))
     wo = Window.partitionBy("owner")
     lists = lists.withColumn("min_len", F.min("L").over(wo)) \
                  .withColumn("k_o", F.count(F.lit(1)).over(wo)) \
@@ -280,35 +286,20 @@ def negative_plan(ranked: DataFrame, gold_norm: DataFrame, owned: DataFrame, n:
 
 
 def sample_negative_pairs(ranked: DataFrame, gold_norm: DataFrame, owned: DataFrame, n: int,
-                          seed: int, start_budget: int) -> DataFrame:
+                          seed: int) -> DataFrame:
     """``owner, other, u, id_left, id_right, bad``: per owner, the capped seeded sample over
     the interleaved, equally cut lists of its cluster pairs."""
     plan = negative_plan(ranked, gold_norm, owned, n, seed).where(F.col("S") > 0)
-    scope = plan.select("owner", "other", "m_o", "m_x", "gold_between", "min_len", "k_o", "slot",
-                        "S", "cap", F.lit(start_budget).cast("long").alias("budget"))
-
-    def run_round(sc):
-        grid = sc.withColumn("budget", F.least(F.col("budget") + F.col("gold_between"),
-                                               F.col("m_o") * F.col("m_x")))
-        c = exclude_pairs(cross_cluster_prefix(ranked, grid), gold_norm)
-        c = c.join(sc.select("owner", "other", "min_len", "k_o", "slot", "S", "cap",
-                             F.col("budget").alias("tb")), ["owner", "other"])
-        c = c.withColumn("t", F.row_number().over(
-            Window.partitionBy("owner", "other").orderBy("pos")) - 1)
-        c = c.where(F.col("t") < F.least("tb", "min_len"))
-        c = c.withColumn("u", F.col("t") * F.col("k_o") + F.col("slot"))
-        wo = Window.partitionBy("owner")
-        exhausted = F.col("tb") >= F.col("min_len")
-        c = c.withColumn("fallback", (F.col("S") == 1) & exhausted
-                         & (F.max((~F.col("bad")).cast("int")).over(wo) == 0))
-        rows = capped_sample(c, ["owner"], pos="u").select(
-            "owner", "other", "u", "id_left", "id_right", "bad")
-        return rows, lambda r: r.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
-
-    def settled(f):
-        return (F.col("_n") == F.col("S")) | (F.col("budget") >= F.col("min_len"))
-
-    return run_rounds(scope, run_round, settled)
+    d = draws(plan, seed, ["owner", "other"]).where(F.col("pos") < F.col("min_len"))
+    d = d.withColumn("u", F.col("pos") * F.col("k_o") + F.col("slot"))
+    any_clean = F.max((~F.col("bad")).cast("int")).over(Window.partitionBy("owner"))
+    d = d.withColumn("fallback", (F.col("S") == 1) & (any_clean == 0))
+    d = capped_sample(d, ["owner"], pos="u")
+    idx = F.when(F.col("bad"), past_gold(F.col("idx"), F.col("gold_bad"))).otherwise(past_gold(F.col("idx"), F.col("gold_clean")))
+    i, j = cross_of_index(F.col("idx"), F.col("bad"), *[F.col(c) for c in ("m_x", "g_o", "g_x")])
+    d = d.withColumn("idx", idx).withColumns({"i": i, "j": j})
+    d = fetch_pair(d.select("owner", "other", "u", "bad", "i", "j"), ranked, "owner", "other")
+    return checkpoint(d.select("owner", "other", "u", F.col("id_i").alias("id_left"), F.col("id_j").alias("id_right"), "bad"))
 
 
 # ------------------------------------------------------------------------------ assembly
@@ -342,9 +333,8 @@ def prepare(offers: DataFrame, gold: DataFrame, cfg: SamplingConfig,
 
 def positive_sample(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
     """Sampled match pairs with their sequence position and gold-title flag."""
-    return parts.once(("positives", cfg.positives, cfg.budget(cfg.positives)),
-                      lambda: sample_positive_pairs(parts.ranked, parts.gold_norm,
-                                                    cfg.positives, cfg.budget(cfg.positives)))
+    return parts.once(("positives", cfg.positives, cfg.seed),
+                      lambda: sample_positive_pairs(parts.ranked, parts.gold_norm, cfg.positives, cfg.seed))
 
 
 def positives(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
@@ -367,11 +357,9 @@ def owned_pairs(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
 def negative_sample(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
     """Sampled non-match pairs with owner, other cluster, interleaved position and flag."""
     owned = owned_pairs(parts, cfg)
-    return parts.once(("negatives", cfg.similar_clusters, cfg.negatives, cfg.seed,
-                       cfg.budget(cfg.negatives)),
+    return parts.once(("negatives", cfg.similar_clusters, cfg.negatives, cfg.seed),
                       lambda: sample_negative_pairs(parts.ranked, parts.gold_norm, owned,
-                                                    cfg.negatives, cfg.seed,
-                                                    cfg.budget(cfg.negatives)))
+                                                    cfg.negatives, cfg.seed))
 
 
 def negatives(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:

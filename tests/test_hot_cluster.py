@@ -1,7 +1,7 @@
 """A cluster with most of the offers: the sample is exact and reads only a bounded prefix."""
 from pyspark.sql import functions as F
 
-from matchsmith.operators.sampling import within_cluster_prefix
+from matchsmith.operators.sampling import draws
 from matchsmith.plans import training_sets as TS
 
 
@@ -25,6 +25,7 @@ def test_hot_cluster_sample_is_bounded(spark):
     keys = {(r.id_left, r.id_right) for r in pos}
     assert len(keys) == 15 and all(a < b < 3000 for a, b in keys)
     assert not keys & {(0, 1), (5, 7), (2999, 3500)}
-    # a round with budget B generates at most B candidates per cluster
-    scope = spark.createDataFrame([("hot", 3000, 76)], "cluster_id string, m long, budget long")
-    assert within_cluster_prefix(parts.ranked, scope).count() == 76
+    # at most S clean and S/2 bad pairs are drawn of a cluster
+    plan = TS.positive_plan(parts.ranked, parts.gold_norm, 15).where("cluster_id = 'hot'").withColumns(
+        {"n_clean": F.col("good_total"), "n_bad": F.col("total") - F.col("good_total")})
+    assert draws(plan, 42, ["cluster_id"]).count() <= 22

@@ -2,23 +2,17 @@
 from pyspark.sql import functions as F
 
 from matchsmith.operators.joins import bounded_broadcast
-from matchsmith.operators.sampling import within_cluster_prefix
-from matchsmith.session import materialize
+from matchsmith.operators.keys import random_ranks
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_round_pushes_rank_bound_into_scan(spark):
-    rows = [("c", k, 100 + k, False) for k in range(500)]
-    ranked = materialize(spark.createDataFrame(rows, "cluster_id string, rank long, id long, bad boolean"),
-                         ["rank"])
-    scope = spark.createDataFrame([("c", 500, 20)], "cluster_id string, m long, budget long")
-    out = within_cluster_prefix(ranked, scope)
-    plan = _plan(out)
-    assert "LessThan(rank,41)" in plan
-    assert out.count() == 20
+def test_random_ranks_window_buckets_not_groups(spark):
+    df = spark.range(100).withColumn("g", F.lit(1))
+    windows = [x for x in _plan(random_ranks(df, "id", 1, ["g"], chunk=10)).splitlines() if "row_number" in x]
+    assert windows and all("_b#" in x for x in windows)
 
 
 def test_bounded_broadcast_only_under_the_bound(spark):

@@ -1,10 +1,11 @@
 import hashlib
-import itertools
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from matchsmith.operators import sampling as SM
 from matchsmith.operators.sampling import capped_sample
 from matchsmith.plans import training_sets as TS
 
@@ -50,40 +51,43 @@ def offers_fixture(spark, seed=7):
     return df, g
 
 
+def walked(pairs, seed, *keys):
+    """(pos, pair, bad) of one group's pairs, given in index order as (pair, bad)."""
+    sizes = {x: sum(b == x for _, b in pairs) for x in (False, True)}
+    marks = []
+    for bad in (False, True):
+        own = [p for p, b in pairs if b == bad]
+        h = int(md5("|".join([str(seed), *keys, "true" if bad else "false"]))[:15], 16)
+        for t in range(len(own)):
+            at = (SM.STRIDES[h % 4] % len(own) * t + (h // 4) % len(own)) % len(own)
+            marks.append((Fraction(2 * t + 1, sizes[bad]), bad, own[at]))
+    marks.sort(key=lambda m: m[:2])  # spread evenly, clean first on ties
+    return [(pos, pair, bad) for pos, (_, bad, pair) in enumerate(marks)]
+
+
 def brute_positives(spark, offers, gold, n, seed=42):
     clean = TS.clean_offers(offers)
     elig = {r.id: r for r in TS.eligible_offers(clean).collect()}
     cl = {r.id: r for r in clean.collect()}
-    gold_rows = [(min(r.id_left, r.id_right), max(r.id_left, r.id_right))
-                 for r in gold.collect() if r.id_left != r.id_right]
-    gset = set(gold_rows)
-    gold_ids = {x for p in gold_rows for x in p}
+    gset = {(min(r.id_left, r.id_right), max(r.id_left, r.id_right))
+            for r in gold.collect() if r.id_left != r.id_right}
+    gold_ids = {x for p in gset for x in p}
     gclusters = {cl[i].cluster_id for i in gold_ids if i in cl}
     gtitles = {cl[i].title for i in gold_ids if i in cl}
     out = set()
     for c in sorted(gclusters):
+        bad = lambda i: elig[i].title in gtitles
         ids = sorted((i for i, r in elig.items() if r.cluster_id == c),
-                     key=lambda i: (md5(f"{seed}|{i}"), i))
-        m = len(ids)
-        rank = {i: k for k, i in enumerate(ids)}
-        cands = []
-        for a, b in itertools.combinations(ids, 2):
-            ra, rb = sorted((rank[a], rank[b]))
-            d = rb - ra
-            pos = (d - 1) * m + ra if 2 * d <= m else (m - d - 1) * m + rb
-            key = (min(a, b), max(a, b))
-            if key in gset:
-                continue
-            bad = elig[a].title in gtitles or elig[b].title in gtitles
-            cands.append((pos, key, bad))
-        cands.sort()
+                     key=lambda i: (bad(i), md5(f"{seed}|{i}"), i))
+        pairs = [((min(a, b), max(a, b)), bad(a) or bad(b)) for j, b in enumerate(ids) for a in ids[:j]]
+        cands = walked([x for x in pairs if x[0] not in gset], seed, c)
         if not cands:
             continue
         S = min(n, len(cands))
         cap = S // 2
         kept, nb = [], 0
-        for pos, key, bad in cands:
-            if bad:
+        for pos, key, is_bad in cands:
+            if is_bad:
                 nb += 1
                 if nb > cap:
                     continue
@@ -95,28 +99,76 @@ def brute_positives(spark, offers, gold, n, seed=42):
     return out
 
 
-@pytest.mark.parametrize("n,budget", [(1, None), (3, None), (15, None), (3, 1), (50, 2)])
-def test_positive_sample_matches_brute_force(spark, n, budget):
+@pytest.mark.parametrize("n", [1, 3, 15, 50, 1000])
+def test_positive_sample_matches_brute_force(spark, n):
     offers, gold = offers_fixture(spark)
-    cfg = TS.SamplingConfig(positives=n, start_budget=budget)
+    cfg = TS.SamplingConfig(positives=n)
     parts = TS.prepare(offers, gold, cfg)
     got = {(r.cluster_id, r.id_left, r.id_right) for r in TS.positives(parts, cfg).collect()}
     assert got == brute_positives(spark, offers, gold, n)
 
 
-def test_pair_sequence_covers_every_pair_once(spark):
-    from matchsmith.operators.sampling import cross_cluster_prefix, within_cluster_prefix
-    rows = [("a", k, 100 + k, False) for k in range(7)] + [("b", k, 200 + k, False) for k in range(6)]
-    ranked = spark.createDataFrame(rows, "cluster_id string, rank long, id long, bad boolean")
-    for m, c in ((7, "a"), (6, "b")):
-        scope = spark.createDataFrame([(c, m, m * (m - 1) // 2)], "cluster_id string, m long, budget long")
-        got = [(r.pos, r.id_left, r.id_right) for r in within_cluster_prefix(ranked, scope).collect()]
-        assert sorted(p for p, _, _ in got) == list(range(m * (m - 1) // 2))
-        assert len({(a, b) for _, a, b in got}) == m * (m - 1) // 2
-    lists = spark.createDataFrame([("a", "b", 7, 6, 42)], "owner string, other string, m_o long, m_x long, budget long")
-    got = cross_cluster_prefix(ranked, lists).collect()
-    assert sorted(r.pos for r in got) == list(range(42))
-    assert len({(r.id_left, r.id_right) for r in got}) == 42
+def test_draws_are_a_permutation(spark):
+    """All draws of a group give every pair of both ranges once and every merged place once."""
+    groups = [(f"g{a}-{b}", a, b, a + b, a + b) for a in (0, 1, 2, 5, 7, 36) for b in (0, 1, 3, 4, 12, 35) if a + b]
+    df = spark.createDataFrame(groups, "g string, n_clean long, n_bad long, S long, cap long")
+    rows = SM.draws(df, 1, ["g"]).collect()
+    for g, a, b, n, _ in groups:
+        mine = [r for r in rows if r.g == g]
+        assert sorted(r.pos for r in mine) == list(range(n))
+        for bad, size in ((False, a), (True, b)):
+            assert sorted(r.idx for r in mine if r.bad == bad) == list(range(size))
+
+
+def test_pair_indices_invert(spark):
+    c = F.col
+    rows = [(i, j) for j in range(9) for i in range(j)] + [(10 ** 6, 10 ** 6 + 1), (5, 94_906_267), (94_906_266, 94_906_267)]
+    df = spark.createDataFrame(rows, "a long, b long").withColumn("idx", SM.index_of_pair(c("b"), c("a")))
+    i, j = SM.pair_of_index(c("idx"))
+    assert df.where((i != c("a")) | (j != c("b"))).count() == 0
+    assert sorted(r.idx for r in df.where("b < 9").collect()) == list(range(36))
+    for m_o, g_o, m_x, g_x in ((3, 2, 4, 1), (2, 0, 3, 3), (4, 4, 2, 2), (3, 3, 2, 0)):
+        cells = [(i, j, m_x, g_o, g_x) for i in range(m_o) for j in range(m_x)]
+        df = spark.createDataFrame(cells, "i long, j long, m_x long, g_o long, g_x long")
+        names = [c(x) for x in ("m_x", "g_o", "g_x")]
+        df = df.withColumn("idx", SM.index_of_cross(c("i"), c("j"), *names)).withColumn("bad", (c("i") >= c("g_o")) | (c("j") >= c("g_x")))
+        i, j = SM.cross_of_index(c("idx"), c("bad"), *names)
+        assert df.where((i != c("i")) | (j != c("j"))).count() == 0
+        assert sorted(r.idx for r in df.where("not bad").collect()) == list(range(g_o * g_x))
+        assert sorted(r.idx for r in df.where("bad").collect()) == list(range(m_o * m_x - g_o * g_x))
+
+
+def test_gold_pairs_are_passed_over(spark):
+    df = spark.range(7).select(SM.past_gold(F.col("id"), F.array(*[F.lit(x).cast("long") for x in (0, 2, 3, 9)])).alias("x"))
+    assert sorted(r.x for r in df.collect()) == [1, 4, 5, 6, 7, 8, 10]
+
+
+def test_offer_degrees_look_uniform(spark):
+    """Over many clusters a pair is drawn as often as any other: no offer is favoured by its rank."""
+    n_clusters, m, take = 400, 12, 11
+    df = spark.createDataFrame([(f"c{k}", m * (m - 1) // 2, 0, take, 0) for k in range(n_clusters)],
+                               "g string, n_clean long, n_bad long, S long, cap long")
+    i, j = SM.pair_of_index(F.col("idx"))
+    rows = SM.draws(df, 3, ["g"]).select("g", i.alias("i"), j.alias("j")).collect()
+    degree, pairs = [0] * m, {}
+    for r in rows:
+        degree[r.i] += 1
+        degree[r.j] += 1
+        pairs[r.i, r.j] = pairs.get((r.i, r.j), 0) + 1
+    expected = 2 * n_clusters * take / m
+    assert all(abs(d - expected) < 0.12 * expected for d in degree)
+    assert len(pairs) == 66 and max(pairs.values()) < 2 * n_clusters * take / 66
+
+
+def test_rare_clean_pairs_need_few_draws(spark):
+    """1,500 offers of which two have no gold title: one round of at most 2 S draws, the clean pair kept."""
+    rows = [("c", k, 100 + k, k >= 2) for k in range(1500)]
+    ranked = spark.createDataFrame(rows, "cluster_id string, rank long, id long, bad boolean").withColumn("title", F.lit("t"))
+    gold = spark.createDataFrame([], "id_left long, id_right long")
+    plan = TS.positive_plan(ranked, gold, 15).withColumns({"n_clean": F.col("good_total"), "n_bad": F.col("total") - F.col("good_total")})
+    assert SM.draws(plan, 42, ["cluster_id"]).count() <= 30
+    got = TS.sample_positive_pairs(ranked, gold, 15).collect()
+    assert len(got) == 8 and (100, 101) in {(r.id_left, r.id_right) for r in got}
 
 
 def test_sample_is_deterministic_across_partitionings(spark):
@@ -149,19 +201,18 @@ def test_capped_sample_sizes(spark):
 
 
 @pytest.mark.parametrize("n", [1, 45])
-def test_negative_rounds_are_exact(spark, n):
+def test_negative_sample_rules(spark, n):
     offers, gold = offers_fixture(spark)
-    ref_cfg = TS.SamplingConfig(negatives=n, similar_clusters=3, start_budget=10_000)
-    small_cfg = TS.SamplingConfig(negatives=n, similar_clusters=3, start_budget=1)
-    ref = TS.negatives(TS.prepare(offers, gold, ref_cfg), ref_cfg)
-    got = TS.negatives(TS.prepare(offers, gold, small_cfg), small_cfg)
-    a = {tuple(r) for r in ref.collect()}
-    b = {tuple(r) for r in got.collect()}
-    assert a == b and len(a) > 0
-    # never a gold pair, always across two different clusters
+    cfg = TS.SamplingConfig(negatives=n, similar_clusters=3)
+    parts = TS.prepare(offers, gold, cfg)
+    rows = {tuple(r) for r in TS.negatives(parts, cfg).collect()}
     g = {(min(r.id_left, r.id_right), max(r.id_left, r.id_right)) for r in gold.collect()}
-    assert not {(min(x[2], x[3]), max(x[2], x[3])) for x in a} & g
-    assert all(x[0] != x[1] for x in a)
+    pairs = {(min(x[2], x[3]), max(x[2], x[3])) for x in rows}
+    assert rows and len(pairs) == len(rows) and not pairs & g
+    cluster = {r.id: r.cluster_id for r in offers.collect()}
+    assert all(cluster[x[2]] == x[0] != x[1] == cluster[x[3]] for x in rows)
+    flags = TS.negative_sample(parts, cfg).groupBy("owner").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"))
+    assert all(r.n <= n and (r.bad <= n // 2 or r.n == 1) for r in flags.collect())
 
 
 def test_capped_sample_matches_rule_on_random_groups(spark):
