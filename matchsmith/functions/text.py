@@ -132,10 +132,12 @@ def alnum_only(c: Column) -> Column:
 def normalize_name(c: Column, empty_as_none: bool = True) -> Column:
     """Remove links; non-word runs to one space; trim, lower; tokens mixing letters and digits
     to LETTERNUMBER; stand-alone numbers to NUMBER; optionally '' to NONE."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), LINK_PATTERN, "")
+    s = F.coalesce(c, F.lit(""))
+    # the costly patterns run only on texts that hold what they need
+    s = F.when(s.contains("://"), F.regexp_replace(s, LINK_PATTERN, "")).otherwise(s)
     s = F.lower(F.trim(F.regexp_replace(s, NON_WORD_RUN, " ")))
-    s = F.regexp_replace(s, MIXED_TOKEN, "LETTERNUMBER")
-    s = F.trim(F.regexp_replace(s, NUMBER_TOKEN, "NUMBER"))
+    numbered = F.trim(F.regexp_replace(F.regexp_replace(s, MIXED_TOKEN, "LETTERNUMBER"), NUMBER_TOKEN, "NUMBER"))
+    s = F.when(s.rlike(r"[\p{Nd}@]"), numbered).otherwise(s)
     if not empty_as_none:
         return s
     return F.when(F.length(s) == 0, F.lit("NONE")).otherwise(s)
