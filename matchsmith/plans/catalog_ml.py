@@ -307,7 +307,27 @@ register("forest_predictions")(_predict("random_forest"))
 register("gbt_predictions")(_predict("gradient_boosting"))
 
 
-@register("nb_predictions")
+@register("nb_predictions", O.with_fixtures(*_VEC_CTES) + """,
+co AS (SELECT s.split, s.pair_id, s.label, list_intersect(l.idx, r.idx) AS shared
+       FROM splits_v s JOIN vec l ON l.id = s.id_left AND l.combo = 'td'
+       JOIN vec r ON r.id = s.id_right AND r.combo = 'td'),
+nc AS (SELECT label, count(*) AS n_c FROM co WHERE split = 'train' GROUP BY label),
+cnt AS (SELECT label, feature, count(*) AS n_cj FROM
+        (SELECT label, unnest(shared) AS feature FROM co WHERE split = 'train') x GROUP BY ALL),
+theta AS (SELECT n.label, v.idx AS feature, ln((coalesce(c.n_cj, 0) + 1.0) / (n.n_c + 2.0)) AS lp
+          FROM vocab v CROSS JOIN nc n LEFT JOIN cnt c ON c.label = n.label AND c.feature = v.idx
+          WHERE v.combo = 'td'),
+base AS (SELECT t.label, sum(ln(1 - exp(t.lp))) + max(ln(n.n_c / (SELECT sum(n_c) FROM nc))) AS s
+         FROM theta t JOIN nc n USING (label) GROUP BY t.label),
+gain AS (SELECT x.pair_id, t.label, sum(t.lp - ln(1 - exp(t.lp))) AS g
+         FROM (SELECT pair_id, unnest(shared) AS feature FROM co WHERE split = 'test') x
+         JOIN theta t USING (feature) GROUP BY ALL),
+sc AS (SELECT c.pair_id, c.label, max(CASE WHEN b.label = 0 THEN b.s + coalesce(g.g, 0) END) AS s0,
+              max(CASE WHEN b.label = 1 THEN b.s + coalesce(g.g, 0) END) AS s1
+       FROM co c CROSS JOIN base b LEFT JOIN gain g ON g.pair_id = c.pair_id AND g.label = b.label
+       WHERE c.split = 'test' GROUP BY c.pair_id, c.label)
+SELECT pair_id, label, CAST(CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS INTEGER) AS prediction,
+       round(CASE WHEN s0 - s1 > 700 THEN 0.0 ELSE 1 / (1 + exp(s0 - s1)) END, 6) AS score FROM sc""")
 def nb_predictions(spark, sf):
     """Bernoulli naive Bayes on word co-occurrence: parameters from the train split, scoring
     of the test split from the parameter table (both distributed)."""
@@ -321,6 +341,30 @@ def nb_predictions(spark, sf):
                        F.round("score", 6).alias("score"))
 
 
+def _cooc_vectors(spark, sf):
+    """Word co-occurrence of every pair as a sparse binary vector, with balanced class weights."""
+    c, _ = _cooc_train(spark, sf)
+    return MD.balanced_weights(MD.hashed_words(c, "shared_words").withColumn("label", F.col("label").cast("double")),
+                               F.col("split") == "train")
+
+
+def _cooc_predict(name):
+    def run(spark, sf):
+        data = _cooc_vectors(spark, sf)
+        out, _ = MD.fit_predict(name, data.where(F.col("split") == "train"), data.where(F.col("split") == "test"),
+                                weight="weight")
+        return out.withColumn("score", F.round("score", 6))
+    run.__name__ = f"cooc_{name}_predictions"
+    return run
+
+
+register("cooc_lr_predictions")(_cooc_predict("logistic_regression"))
+register("cooc_svm_predictions")(_cooc_predict("linear_svm"))
+register("cooc_tree_predictions")(_cooc_predict("decision_tree"))
+register("cooc_forest_predictions")(_cooc_predict("random_forest"))
+register("cooc_gbt_predictions")(_cooc_predict("gradient_boosting"))
+
+
 @register("search_results")
 def search_results(spark, sf):
     """Random search per learner on the predefined validation fold (F1 of class 1)."""

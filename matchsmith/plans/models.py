@@ -16,7 +16,7 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,26 @@ def assemble(df: DataFrame, feature_cols: list[str], out: str = "features") -> D
     return va.transform(filled).withColumn("label", F.col("label").cast("double"))
 
 
+# Places of a hashed word vector: words share a place only beyond this vocabulary size's reach, and
+# no vocabulary goes to the driver.
+HASHED_WORDS = 1 << 14
+
+
+def hashed_words(df: DataFrame, words: str, out: str = "features", places: int = HASHED_WORDS) -> DataFrame:
+    """Sparse binary vector of a word array, each word at its hash's place."""
+    return HashingTF(numFeatures=places, binary=True, inputCol=words, outputCol=out).transform(df)
+
+
+def balanced_weights(df: DataFrame, train, label: str = "label", out: str = "weight") -> DataFrame:
+    """Weight n / (classes x rows of the class) over the rows of ``train``, so that both classes
+    count alike in a fit."""
+    n = df.where(train).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a class
+    total, weight = sum(r["n"] for r in n), F.lit(1.0)
+    for r in n:
+        weight = F.when(F.col(label) == r[label], F.lit(total / (len(n) * r["n"]))).otherwise(weight)
+    return df.withColumn(out, weight)
+
+
 def f1_class1() -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
                                              labelCol="label", predictionCol="prediction")
@@ -98,9 +118,11 @@ def score_column(predictions: DataFrame) -> F.Column:
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, params: dict | None = None,
-                key: str = "pair_id") -> tuple[DataFrame, dict]:
+                key: str = "pair_id", weight: str | None = None) -> tuple[DataFrame, dict]:
     make, _ = LEARNERS[name]
     est = make()
+    if weight:
+        est = est.setWeightCol(weight)
     if params:
         est = est.copy(params)
     t0 = time.time()

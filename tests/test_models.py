@@ -66,3 +66,14 @@ def test_learners_predict_separable_data(spark):
         assert top[0][0] == "a"
     out, _ = MD.fit_predict("random_forest", train, test)
     assert all(0.0 <= r.score <= 1.0 for r in out.collect())
+
+
+def test_balanced_weights_and_hashed_words(spark):
+    from pyspark.sql import functions as F
+    from matchsmith.plans import models as MD
+    df = spark.createDataFrame([(1.0, "train", ["a", "b"])] * 1 + [(0.0, "train", ["a"])] * 3 + [(1.0, "test", [])],
+                               "label double, split string, w array<string>")
+    rows = MD.balanced_weights(MD.hashed_words(df, "w"), F.col("split") == "train").collect()
+    weights = {(r["label"]): r["weight"] for r in rows}
+    assert weights == {1.0: 2.0, 0.0: 4 / 6}
+    assert sorted(r["features"].numNonzeros() for r in rows) == [0, 1, 1, 1, 2]
