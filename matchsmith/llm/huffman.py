@@ -221,7 +221,8 @@ def read_block(raw: bytes, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _bounds(df: DataFrame, key: str, parts: int) -> list:
     if parts <= 1:
         return []
-    return df.filter(F.col(key).isNotNull()).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (8 * parts))
+    found = df.filter(F.col(key).isNotNull()).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (8 * parts))
+    return [int(b) for b in found]
 
 
 def write(ids: DataFrame, key: str, folder: str, width: int, max_bits: int = MAX_BITS, file_ids: int = FILE_IDS) -> DataFrame:
@@ -238,7 +239,7 @@ def write(ids: DataFrame, key: str, folder: str, width: int, max_bits: int = MAX
     lengths = code_lengths(freq, max_bits)
     shared = spark.sparkContext.broadcast(lengths)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(freq.sum()) // file_ids)
-    bounds = spark.sparkContext.broadcast(np.array(_bounds(ids, key, parts), np.float64))
+    bounds = spark.sparkContext.broadcast(np.array(_bounds(ids, key, parts), np.int64))
     dtype = f"<u{width}"
 
     def coded(batches):
