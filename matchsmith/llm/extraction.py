@@ -53,6 +53,8 @@ WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar foo
                   "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
                   "newsletter subscribe subscription signup comment comments reply replies disqus related recommended share sharing "
                   "social widget pagination pager toolbar login search copyright skip".split())
+# Beginnings of such words in compounds (``commentlist``, ``footerlinks``).
+BEGINNINGS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "footer", "sponsor", "subscri", "navig", "popup")
 # Such words that an article's own head may bear.
 PAGE_WORDS = frozenset(("header", "masthead", "topbar"))
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
@@ -123,7 +125,7 @@ class Lines(HTMLParser):
                 return True
             if name == "class" or name == "id":
                 words = {w.lower() for w in _SPLIT.split(value)}
-                if words & WORDS or (not self.own and tag != "article" and words & PAGE_WORDS):
+                if words & WORDS or any(w.startswith(BEGINNINGS) for w in words) or (not self.own and tag != "article" and words & PAGE_WORDS):
                     return True
         return False
 
