@@ -74,12 +74,22 @@ def materialize(df: DataFrame, sort_within: list[str] | None = None) -> DataFram
     table supports column pruning and filter pushdown; ``sort_within`` orders rows inside each
     file so row-group statistics let range filters skip most of it."""
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/matchsmith-tables/{uuid.uuid4().hex}"
+    path = f"{base}/matchsmith-tables/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     w = df.sortWithinPartitions(*sort_within) if sort_within else df
     w.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release_materialized(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote in this application, and forget the stages
+    that ``session_memo`` keeps over them. Call it when no DataFrame over them is read any more."""
+    app = spark.sparkContext.applicationId
+    for k in [k for k in _MEMO if k[0] == app]:
+        del _MEMO[k]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/matchsmith-tables/{app}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder under the shared checkpoint folder, for files that a query writes and rereads."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/matchsmith-files/{label}-{uuid.uuid4().hex}"
@@ -105,7 +115,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     try:
         par = spark.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD access: keep the scan as it is)
+    except (AttributeError, NotImplementedError):  # no RDD access: keep the scan as it is
         return df
     if splits < par:
         df = df.repartition(2 * par)

@@ -43,3 +43,14 @@ def test_local_fallback_and_cluster_refusal():
     assert d and d.startswith("/tmp") or "matchsmith-ckpt-" in d
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(_Spark("spark://host:7077"))
+
+
+def test_materialized_tables_can_be_released(spark):
+    import os
+    from matchsmith.session import materialize, release_materialized, session_memo
+    table = session_memo(spark, ("released",), lambda: materialize(spark.range(5)))
+    path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert table.count() == 5 and os.path.exists(path)
+    release_materialized(spark)
+    assert not os.path.exists(path)
+    assert session_memo(spark, ("released",), lambda: materialize(spark.range(7))).count() == 7
