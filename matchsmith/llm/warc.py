@@ -4,7 +4,9 @@ Reader, ``spark.read.format("warc")``: plans partitions by files (small ones tog
 filters on record type and headers down, parses a record's headers first, and reads or decodes
 its block only if the record passes and the payload is asked for; otherwise it skips ahead.
 Writer, ``df.write.format("warc")``: one file a task, named by attempt; the commit writes the
-list of files, so archives of lost or repeated attempts are never read.
+list of files, so archives of lost or repeated attempts are never read. A record is a gzip
+member of its own (option ``compression``: ``gzip`` or ``none``) whose ``sl`` extra field gives the
+lengths of its data, so that a record can be left after its headers.
 
 Records: an HTTP response's head and payload as block (``response``), or an empty block that
 refers to an equal payload (``revisit``). Block and payload digests are bare base32 SHA-1 in
@@ -21,7 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import sys
+import zlib
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -42,6 +46,7 @@ WRITE_COLUMNS = ["record_id", "url", "payload", "payload_digest", "payload_bytes
 SPLIT_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
+HEAD_BYTES = 4096
 FILE_LIST = "_files"
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -75,7 +80,7 @@ class WarcDataSource(DataSource):
                           int(self.options.get("splitbytes", SPLIT_BYTES)))
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], [f.name for f in schema.fields])
+        return WarcWriter(self.options["path"], [f.name for f in schema.fields], self.options.get("compression", "gzip") == "gzip")
 
 
 class Files(InputPartition):
@@ -131,36 +136,81 @@ class WarcReader(DataSourceReader):
                     yield _batch(rows)
 
     def _records(self, f):
-        buffer, at = b"", 0  # at: place in the file of the buffer's first byte
-        while True:
-            end = buffer.find(b"\r\n\r\n")
-            while end < 0:
-                more = f.read(READ_BYTES)
-                if not more:
-                    if buffer.strip():
-                        raise ValueError("a record's headers break off")
-                    return
-                buffer += more
-                end = buffer.find(b"\r\n\r\n")
-            headers = parse_headers(buffer[:end])
-            size = int(headers["content-length"])
-            row = self._row(headers)
-            start, stop = end + 4, end + 4 + size + 4
-            wanted = row is not None and size and (self.payload or self.verify)
-            if stop > len(buffer):
-                if wanted:
-                    buffer += f.read(stop - len(buffer))
-                else:  # leave the block unread
-                    f.seek(f.tell() + stop - len(buffer))
-                    buffer, stop = b"", 0
+        stream = Buffered(f)
+        while stream.peek(1):
+            yield from (self._member(stream) if stream.peek(2) == b"\x1f\x8b" else self._plain(stream))
+
+    def _plain(self, stream):
+        """A record that isn't compressed."""
+        raw = stream.until(b"\r\n\r\n")
+        if raw is None:
+            if stream.peek(1 << 16).strip():
+                raise ValueError("a record's headers break off")
+            stream.skip(1 << 16)
+            return
+        headers = parse_headers(raw)
+        size, row = int(headers["content-length"]), self._row(headers)
+        if row is not None and (self.payload or self.verify):
+            yield self._finished(row, stream.take(size))
+            stream.skip(4)
+        else:  # leave the block unread
+            stream.skip(size + 4)
             if row is not None:
-                payload = None
-                if wanted:
-                    payload = buffer[buffer.find(b"\r\n\r\n", start, start + size) + 4:start + size]
-                    if self.verify and (len(payload) != row[5] or base32_sha1(hashlib.sha1(payload).hexdigest()) != row[4]):
-                        raise ValueError(f"record {row[0]}: payload and digest differ")
-                yield (*row, payload if self.payload else None)
-            buffer = buffer[stop:]
+                yield (*row, None)
+
+    def _member(self, stream):
+        """A record in a gzip member: inflated as far as its headers, and whole if it is wanted."""
+        packed, _ = gzip_head(stream)
+        inflate, raw, used = zlib.decompressobj(-15), b"", 0
+
+        def more(limit: int) -> bool:
+            nonlocal raw, used
+            if inflate.eof:
+                return False
+            piece = inflate.unconsumed_tail
+            if not piece:
+                piece = stream.take(min(HEAD_BYTES, packed - used) if packed else HEAD_BYTES)
+                used += len(piece)
+                if not piece:
+                    raise ValueError("a member breaks off")
+            raw += inflate.decompress(piece, limit)
+            return True
+
+        while (end := raw.find(b"\r\n\r\n")) < 0:
+            if not more(HEAD_BYTES):
+                raise ValueError("a record's headers break off")
+        headers = parse_headers(raw[:end])
+        size, row = int(headers["content-length"]), self._row(headers)
+        if row is not None and (self.payload or self.verify):
+            parts, raw = [raw], b""
+            if packed:  # the rest at once
+                rest = inflate.unconsumed_tail + stream.take(packed - used)
+                used = packed
+                parts.append(inflate.decompress(rest))
+            while not packed and more(0):
+                parts.append(raw)
+                raw = b""
+            block = b"".join(parts)[end + 4:end + 4 + size]
+            if len(block) < size:
+                raise ValueError("a member breaks off")
+            yield self._finished(row, block)
+        elif row is not None:
+            yield (*row, None)
+        if packed:
+            stream.skip(packed - used + 8)
+            return
+        while not inflate.eof:
+            more(0)
+            raw = b""
+        stream.back(len(inflate.unused_data))
+        stream.skip(8)
+
+    def _finished(self, row: tuple, block: bytes) -> tuple:
+        payload = block[block.find(b"\r\n\r\n") + 4:] if block else None
+        if self.verify and payload is not None and (
+                len(payload) != row[5] or base32_sha1(hashlib.sha1(payload).hexdigest()) != row[4]):
+            raise ValueError(f"record {row[0]}: payload and digest differ")
+        return (*row, payload if self.payload else None)
 
     def _row(self, headers: dict):
         value = {c: unquote(headers[h]) if h in headers else None for c, h in _HEADER_OF.items()}
@@ -174,6 +224,75 @@ class WarcReader(DataSourceReader):
                 int(length) if length else None, headers)
 
 
+class Buffered:
+    """Bytes of a file in order, read ``READ_BYTES`` at a time; long skips aren't read."""
+
+    def __init__(self, f):
+        self.f, self.data, self.at = f, b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.data) - self.at < n:
+            more = self.f.read(max(READ_BYTES, n))
+            if not more:
+                break
+            self.data, self.at = self.data[self.at:] + more, 0
+        return self.data[self.at:self.at + n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.at += len(out)
+        return out
+
+    def skip(self, n: int) -> None:
+        held = len(self.data) - self.at
+        if n <= held:
+            self.at += n
+        else:
+            self.f.seek(self.f.tell() + n - held)
+            self.data, self.at = b"", 0
+
+    def back(self, n: int) -> None:
+        """Give the last ``n`` bytes taken back."""
+        self.at -= n
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes before the next mark, which is passed; nothing is taken if there is none."""
+        while (end := self.data.find(mark, self.at)) < 0:
+            held = len(self.data) - self.at
+            if len(self.peek(held + READ_BYTES)) == held:
+                return None
+        out, self.at = self.data[self.at:end], end + len(mark)
+        return out
+
+
+def gzip_head(stream: Buffered) -> tuple[int, int]:
+    """Passes a member's head; (packed, full) length of its data, 0 if the head doesn't say."""
+    flags = stream.take(10)[3]
+    lengths = (0, 0)
+    if flags & 4:
+        extra = stream.take(struct.unpack("<H", stream.take(2))[0])
+        while len(extra) >= 4:
+            n = struct.unpack_from("<H", extra, 2)[0]
+            if extra[:2] == b"sl" and n == 8:
+                lengths = struct.unpack_from("<II", extra, 4)
+            extra = extra[4 + n:]
+    for flag in (8, 16):  # name, comment
+        if flags & flag:
+            stream.until(b"\0")
+    if flags & 2:
+        stream.skip(2)
+    return lengths
+
+
+def gzip_member(raw: bytes, level: int = 1) -> bytes:
+    """One gzip member with its lengths in an ``sl`` field (left out beyond 4 GB)."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, -15)
+    data = pack.compress(raw) + pack.flush()
+    said = b"sl" + struct.pack("<HII", 8, len(data), len(raw)) if max(len(data), len(raw)) < 1 << 32 else b""
+    head = b"\x1f\x8b\x08" + (b"\x04" if said else b"\x00") + b"\0\0\0\0\x04\xff" + (struct.pack("<H", len(said)) + said if said else b"")
+    return head + data + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
 _ARROW = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()),
                     ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
                     ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
@@ -212,8 +331,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.at = path, [columns.index(c) for c in WRITE_COLUMNS]
+    def __init__(self, path: str, columns: list[str], packed: bool):
+        self.path, self.packed, self.at = path, packed, [columns.index(c) for c in WRITE_COLUMNS]
 
     def write(self, batches):
         size = 0
@@ -223,6 +342,7 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in batches:
                 for row in zip(*[batch.column(i).to_pylist() for i in self.at]):
                     raw = record_bytes(*row)
+                    raw = gzip_member(raw) if self.packed else raw
                     size += len(raw)
                     yield raw
 
@@ -230,7 +350,7 @@ class WarcWriter(DataSourceArrowWriter):
         first = next(stream, None)
         if first is None:
             return Written(None, 0)
-        name = write_file(self.path, "part.warc", (c for part in ((first,), stream) for c in part))
+        name = write_file(self.path, "part.warc.gz" if self.packed else "part.warc", (c for part in ((first,), stream) for c in part))
         return Written(name, size)
 
     def commit(self, messages):
