@@ -4,10 +4,11 @@ A public vocabulary was fitted on ordinary prose, so text that it cuts into unus
 repetitive or byte-level pieces is unlike prose: symbol noise, shouting, tables, binary debris.
 Per document: characters per token, share of byte-fallback pieces, and entropy of its tokens.
 Each is held against a band of the document's language (or, without one, its script) and
-length class. Bands come from all documents that pass the base rules: the median less or plus
+length class. Bands come from all distinct texts that pass the base rules, one vote a text however
+many copies it has: the median less or plus
 so many spreads, the spread being the upper half's, which junk on the low side doesn't widen.
-Groups of under ``MIN_GROUP`` documents use the band of all lengths of their language, then
-that of all documents.
+Groups of under ``MIN_GROUP`` texts use the band of all lengths of their language, then
+that of all texts.
 
 Base measures take words ``[^\\x20\\x09-\\x0D]+``. Null texts have no words. Empty tables give
 empty results; repeated rows give repeated results. Columns besides the named ones aren't read.
@@ -123,11 +124,13 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
                _duplicate_lines(col), _repeats(codes, rows, n), _row_sums(first[raw], offsets), lens,
                _row_sums(v.is_byte[ids], at)]
         cols = [part.column(0), pc.fill_null(part.column(2).cast(pa.string()), "")] + [pa.array(g.astype(np.int64)) for g in got]
-        return pa.RecordBatch.from_arrays(cols + [pa.array(_entropy(ids, lens))], [key, "lang", *names, "token_entropy"])
+        return pa.RecordBatch.from_arrays(cols + [pa.array(_entropy(ids, lens)), part.column(3)],
+                                          [key, "lang", *names, "token_entropy", "text_hash"])
 
-    schema = f"`{key}` {kind}, lang string, " + ", ".join(f"{c} long" for c in names) + ", token_entropy double"
-    chosen = df.select(key, text, (F.col(lang) if lang and lang in df.columns else F.lit(None).cast("string")).alias("_lang"))
-    out = map_texts(chosen, [key, text, "_lang"], text, schema, step)
+    schema = f"`{key}` {kind}, lang string, " + ", ".join(f"{c} long" for c in names) + ", token_entropy double, text_hash long"
+    chosen = df.select(key, text, (F.col(lang) if lang and lang in df.columns else F.lit(None).cast("string")).alias("_lang"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
+    out = map_texts(chosen, [key, text, "_lang", "_hash"], text, schema, step)
     return out.withColumns({
         "chars_per_token": F.col("n_chars") / F.greatest(F.col("n_tokens"), F.lit(1)),
         "byte_share": F.col("n_bytes") / F.greatest(F.col("n_tokens"), F.lit(1)),
@@ -137,11 +140,16 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
 
 def bands(rows: DataFrame) -> DataFrame:
     """Bands by language and length class; a null class or language stands for all of them."""
-    good = rows.filter(~F.col("base_failed")).withColumn("size_class", _size_class())
+    good = (rows.filter(~F.col("base_failed")).withColumn("size_class", _size_class())
+            .groupBy("lang", "text_hash").agg(F.min("size_class").alias("size_class"), *[F.min(m).alias(m) for m in BANDS]))
     quartiles = [F.percentile_approx(m, [0.5, 0.75], 1000).alias(m) for m in BANDS]
-    groups = good.groupingSets([["lang", "size_class"], ["lang"], []], "lang", "size_class").agg(
+    groups = good.groupingSets([["lang", "size_class"], ["lang"]], "lang", "size_class").agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"), *quartiles)
-    out = groups.filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 3))
+    # a text that stands under several languages votes once in the band of all texts
+    texts = good.groupBy("text_hash").agg(*[F.min(m).alias(m) for m in BANDS])
+    whole = texts.agg(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("size_class"),
+                      F.count(F.lit(1)).alias("n"), F.lit(3).cast("long").alias("level"), *quartiles)
+    out = groups.unionByName(whole).filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 3))
     for m, (low, high, least) in BANDS.items():
         spread = F.greatest((F.col(m)[1] - F.col(m)[0]) / 0.6745, F.lit(least))
         out = out.withColumns({
@@ -171,7 +179,7 @@ def verdicts(rows: DataFrame, table: DataFrame, max_bands: int = 100_000) -> Dat
         low, high = (F.coalesce(F.col(f"f_{m}_{s}"), F.col(f"m_{m}_{s}"), F.lit(edge[f"w_{m}_{s}"]))
                      for s in ("low", "high"))
         inside = inside & F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
-    return out.withColumn("kept", inside).select(*rows.columns, "kept")
+    return out.withColumn("kept", inside).select(*[c for c in rows.columns if c != "text_hash"], "kept")
 
 
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang",

@@ -75,3 +75,26 @@ def test_repeats_of_many_words():
     rows = np.array([0, 0, 0, 0, 0, 0, 0, 1, 1, 1])
     assert quality._repeats(codes, rows, 2).tolist() == [6, 0]
     assert quality._repeats(codes + (1 << 22), rows, 2).tolist() == [6, 0]  # too many words for packed keys
+
+
+def prose(spark, n, lang="en"):
+    """Clean texts of ``n`` documents of the given tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(f"lang = '{lang}'")
+    good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1")
+    rows = docs.join(good, "doc_id").filter("size(split(text, ' ')) between 100 and 140").orderBy("doc_id").dropDuplicates(["text"])
+    return [r["text"] for r in rows.limit(n).collect()]
+
+
+def test_copies_have_one_vote(spark):
+    """A group of copies larger than its class decides neither on itself nor on others."""
+    clean = prose(spark, 60)
+    assert len(clean) >= 40
+    junk = " ".join(f"#{i}$%&|x<{i * 7919 % 1000}>*" for i in range(40)) + " " + " ".join(f"q{i}z{i}" for i in range(20))
+    schema = "doc_id long, text string, lang string"
+    alone = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + [junk])], schema)
+    copied = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + [junk] * 300 + [clean[0]] * 300)], schema)
+    once = {r["doc_id"]: r["kept"] for r in quality.quality(alone).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(copied).collect()}
+    n = len(clean)
+    assert not once[n] and sum(once.values()) > 0.9 * n
+    assert all(got[i] == once[min(i, n)] for i in range(n + 300)) and all(got[i] == once[0] for i in range(n + 300, n + 600))
