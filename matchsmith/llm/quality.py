@@ -4,11 +4,13 @@ A public vocabulary was fitted on ordinary prose, so text that it cuts into unus
 repetitive or byte-level pieces is unlike prose: symbol noise, shouting, tables, binary debris.
 Per document: characters per token, share of byte-fallback pieces, and entropy of its tokens.
 Each is held against a band of the document's language (or, without one, its script) and
-length class. Bands come from all distinct texts that pass the base rules, one vote a text however
+length class. The script is that of most of its letters, by code points; a text without letters
+takes that of its language, or of the corpus, and has no vote in bands. Bands come from all distinct texts that pass the base rules, one vote a text however
 many copies it has: the median less or plus
 so many spreads, the spread being the upper half's, which junk on the low side doesn't widen.
-Groups of under ``MIN_GROUP`` texts use the band of all lengths of their language, then
-that of all texts.
+Groups of under ``MIN_GROUP`` texts use the band of all lengths of their language and script, then
+those of their script. No band of another script rejects a text: one whose script has under
+``MIN_GROUP`` texts is judged by the base rules alone, unless it is the corpus's most frequent script.
 
 Base measures take words ``[^\\x20\\x09-\\x0D]+``. Null texts have no words. Empty tables give
 empty results; repeated rows give repeated results. Columns besides the named ones aren't read.
@@ -17,6 +19,8 @@ empty results; repeated rows give repeated results. Columns besides the named on
 from __future__ import annotations
 
 import sys
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,47 @@ def _byte_flags() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, first * (1 - space), first
 
 
+@cache
+def _script_runs() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(first code points of runs, their scripts' numbers, names); number 0 is no script. Names are
+    first words of letters' names; kana count as Han, since Japanese text mixes them."""
+    starts, codes, names = [0], [0], [""]
+    merged = {"CJK": "HAN", "HIRAGANA": "HAN", "KATAKANA": "HAN", "KATAKANA-HIRAGANA": "HAN"}
+    for cp in range(0x110000):
+        c, code = chr(cp), 0
+        # modifier letters, letter-like symbols, ordinals and mathematical alphabets are of no script
+        if (unicodedata.category(c)[0] == "L" and cp not in (0xAA, 0xB5, 0xBA)
+                and not any(a <= cp <= b for a, b in ((0x2B0, 0x2FF), (0x2100, 0x214F), (0x1D400, 0x1D7FF), (0x1EE00, 0x1EEFF)))):
+            words = unicodedata.name(c, "UNNAMED").split()  # Tangut
+            name = words[words[0] in ("FULLWIDTH", "HALFWIDTH")].split("-")[0]
+            name = merged.get(name, name)
+            if name not in names:
+                names.append(name)
+            code = names.index(name)
+        if code != codes[-1]:
+            starts.append(cp)
+            codes.append(code)
+    return np.array(starts), np.array(codes), names
+
+
+def _scripts(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, codes: np.ndarray, n_scripts: int) -> np.ndarray:
+    """Number of the script of most letters of each row of UTF-8; 0 without letters."""
+    n = len(offsets) - 1
+    ascii_letter = np.zeros(256, np.int8)
+    ascii_letter[[*range(65, 91), *range(97, 123)]] = 1
+    at = np.flatnonzero(raw >= 0xC0)  # first bytes of longer characters
+    b = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32)
+    b0, b1, b2, b3 = b[at], b[at + 1] & 63, b[at + 2] & 63, b[at + 3] & 63
+    cp = np.where(b0 < 0xE0, (b0 & 31) << 6 | b1,
+                  np.where(b0 < 0xF0, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+    code = codes[np.searchsorted(starts, cp, "right") - 1]
+    rows = np.searchsorted(offsets, at, "right") - 1
+    counts = np.bincount(rows * n_scripts + code, minlength=n * n_scripts).reshape(n, n_scripts)
+    counts[:, codes[np.searchsorted(starts, 65, "right") - 1]] += _row_sums(ascii_letter[raw], offsets)
+    counts[:, 0] = 0
+    return counts.argmax(1)
+
+
 def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return sums[offsets[1:]] - sums[offsets[:-1]]
@@ -104,6 +149,7 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
     blob = df.sparkSession.sparkContext.broadcast(read_bytes(df.sparkSession, path))
     kind = df.schema[key].dataType.simpleString()
     symbol, worded, first = _byte_flags()
+    starts, codes_of, scripts = _script_runs()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_tokens", "n_bytes"]
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -124,10 +170,11 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
                _duplicate_lines(col), _repeats(codes, rows, n), _row_sums(first[raw], offsets), lens,
                _row_sums(v.is_byte[ids], at)]
         cols = [part.column(0), pc.fill_null(part.column(2).cast(pa.string()), "")] + [pa.array(g.astype(np.int64)) for g in got]
-        return pa.RecordBatch.from_arrays(cols + [pa.array(_entropy(ids, lens)), part.column(3)],
-                                          [key, "lang", *names, "token_entropy", "text_hash"])
+        return pa.RecordBatch.from_arrays(cols + [pa.array(_entropy(ids, lens)), part.column(3),
+                                           pa.array(scripts, pa.string()).take(pa.array(_scripts(raw, offsets, starts, codes_of, len(scripts))))],
+                                          [key, "lang", *names, "token_entropy", "text_hash", "script"])
 
-    schema = f"`{key}` {kind}, lang string, " + ", ".join(f"{c} long" for c in names) + ", token_entropy double, text_hash long"
+    schema = f"`{key}` {kind}, lang string, " + ", ".join(f"{c} long" for c in names) + ", token_entropy double, text_hash long, script string"
     chosen = df.select(key, text, (F.col(lang) if lang and lang in df.columns else F.lit(None).cast("string")).alias("_lang"),
                        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
     out = map_texts(chosen, [key, text, "_lang", "_hash"], text, schema, step)
@@ -139,23 +186,28 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Bands by language and length class; a null class or language stands for all of them."""
-    good = (rows.filter(~F.col("base_failed")).withColumn("size_class", _size_class())
-            .groupBy("lang", "text_hash").agg(F.min("size_class").alias("size_class"), *[F.min(m).alias(m) for m in BANDS]))
+    """Bands by language, script and length class, one row a group: ``level`` 0 lang, script and
+    size_class, 1 lang and script, 2 script and size_class, 3 script. Of ``n`` texts each, which
+    ``verdicts`` holds against ``MIN_GROUP``."""
+    good = (rows.filter(~F.col("base_failed") & (F.col("script") != "")).withColumn("size_class", _size_class())
+            .groupBy("lang", "script", "text_hash").agg(F.min("size_class").alias("size_class"), *[F.min(m).alias(m) for m in BANDS]))
+    # a text that stands under several languages votes once in its script's bands
+    texts = good.groupBy("script", "text_hash").agg(F.min("size_class").alias("size_class"), *[F.min(m).alias(m) for m in BANDS])
     quartiles = [F.percentile_approx(m, [0.5, 0.75], 1000).alias(m) for m in BANDS]
-    groups = good.groupingSets([["lang", "size_class"], ["lang"]], "lang", "size_class").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"), *quartiles)
-    # a text that stands under several languages votes once in the band of all texts
-    texts = good.groupBy("text_hash").agg(*[F.min(m).alias(m) for m in BANDS])
-    whole = texts.agg(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("size_class"),
-                      F.count(F.lit(1)).alias("n"), F.lit(3).cast("long").alias("level"), *quartiles)
-    out = groups.unionByName(whole).filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 3))
+
+    def groups(of: DataFrame, keys: list[str], level: int) -> DataFrame:
+        got = of.groupingSets([[*keys, "size_class"], keys], *keys, "size_class").agg(
+            F.count(F.lit(1)).alias("n"), (F.grouping("size_class") + F.lit(level)).cast("int").alias("level"), *quartiles)
+        lang = F.col("lang") if "lang" in keys else F.lit(None).cast("string").alias("lang")
+        return got.select(lang, "script", "size_class", "n", "level", *BANDS)
+
+    out = groups(good, ["lang", "script"], 0).unionByName(groups(texts, ["script"], 2))
     for m, (low, high, least) in BANDS.items():
         spread = F.greatest((F.col(m)[1] - F.col(m)[0]) / 0.6745, F.lit(least))
         out = out.withColumns({
             f"{m}_low": F.col(m)[0] - spread * F.lit(low) if low is not None else F.lit(float("-inf")),
             f"{m}_high": F.col(m)[0] + spread * F.lit(high)})
-    return out.drop(*BANDS, "n")
+    return out.drop(*BANDS)
 
 
 def _size_class():
@@ -166,24 +218,28 @@ def _size_class():
 def verdicts(rows: DataFrame, table: DataFrame, max_bands: int = 100_000) -> DataFrame:
     """Add ``kept``: not base_failed and every measure inside its band."""
     names = [f"{m}_{side}" for m in BANDS for side in ("low", "high")]
-    fine = table.filter("level = 0").select("lang", "size_class", *[F.col(c).alias(f"f_{c}") for c in names])
-    mid = table.filter("level = 1").select("lang", *[F.col(c).alias(f"m_{c}") for c in names])
-    whole = table.filter("level = 3").agg(*[F.first(c).alias(f"w_{c}") for c in names])
-    spark = rows.sparkSession
-    out = rows.withColumn("size_class", _size_class())
-    out = out.join(bounded_broadcast(fine, max_bands), ["lang", "size_class"], "left")
-    out = out.join(bounded_broadcast(mid, max_bands), ["lang"], "left")
-    edge = whole.head()  # one row
+    by = {0: ["lang", "script", "size_class"], 1: ["lang", "script"], 2: ["script", "size_class"], 3: ["script"]}
+    # the scripts that texts without letters take
+    leading = table.filter("level = 1 and lang != ''").groupBy("lang").agg(F.max_by("script", F.struct("n", "script")).alias("__leading"))
+    edge = table.filter("level = 3").orderBy(F.desc("n"), F.desc("script")).select("script").head()
+    top = F.lit(edge[0] if edge else "")
+    out = rows.withColumn("size_class", _size_class()).join(bounded_broadcast(leading, max_bands), ["lang"], "left")
+    out = out.withColumn("script", F.when(F.col("script") != "", F.col("script")).otherwise(F.coalesce("__leading", top)))
+    enough = F.col("n") >= MIN_GROUP
+    for level, keys in by.items():
+        fit = table.filter(F.col("level") == level).filter(enough | (F.col("script") == top) if level == 3 else enough)
+        fit = fit.select(*keys, *[F.col(c).alias(f"__{level}_{c}") for c in names])
+        out = out.join(bounded_broadcast(fit, max_bands), keys, "left")
     inside = ~F.col("base_failed")
     for m in BANDS:
-        low, high = (F.coalesce(F.col(f"f_{m}_{s}"), F.col(f"m_{m}_{s}"), F.lit(edge[f"w_{m}_{s}"]))
-                     for s in ("low", "high"))
+        low, high = (F.coalesce(*[F.col(f"__{level}_{m}_{s}") for level in by]) for s in ("low", "high"))
         inside = inside & F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
-    return out.withColumn("kept", inside).select(*[c for c in rows.columns if c != "text_hash"], "kept")
+    return out.withColumn("kept", inside).select(*[c for c in rows.columns if c not in ("text_hash", "script")], "kept")
 
 
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang",
             model: str | None = None) -> DataFrame:
     """Measures and verdict of each row."""
-    rows = Scratch(df.sparkSession, "quality").table(measures(df, key, text, lang, model), "measures")
-    return verdicts(rows, bands(rows))
+    scratch = Scratch(df.sparkSession, "quality")
+    rows = scratch.table(measures(df, key, text, lang, model), "measures")
+    return verdicts(rows, scratch.table(bands(rows), "bands"))

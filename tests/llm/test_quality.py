@@ -98,3 +98,35 @@ def test_copies_have_one_vote(spark):
     n = len(clean)
     assert not once[n] and sum(once.values()) > 0.9 * n
     assert all(got[i] == once[min(i, n)] for i in range(n + 300)) and all(got[i] == once[0] for i in range(n + 300, n + 600))
+
+
+def in_script(text, first):
+    """The text with its Latin letters replaced by those from ``first``."""
+    return text.lower().translate({97 + i: first + i for i in range(26)})
+
+
+def test_scripts_of_texts(spark):
+    texts = ["plain words", "ελληνικά and one", "русский текст", "हिन्दी पाठ", "日本語のテキスト", "12 34 #$%", "", None, "ﬁne ＡＢＣ 😀",
+             "العربية", "한국어 글", "µª 1"]
+    rows = quality.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert [r["script"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [
+        "LATIN", "GREEK", "CYRILLIC", "DEVANAGARI", "HAN", "", "", "", "LATIN", "ARABIC", "HANGUL", ""]
+
+
+def test_no_band_of_another_script_rejects(spark):
+    """Clean texts in a rare script stay, with a language, without one, and under a wrong one; symbols without letters go."""
+    clean = prose(spark, 60)
+    rows = [(t, "en") for t in clean]
+    n = len(rows)
+    rows += [(in_script(t, 0x3B1), "el") for t in clean[:5]] + [(in_script(t, 0x430), None) for t in clean[:5]]
+    rows += [(in_script(t, 0x627), "en") for t in clean[:5]]
+    many = len(rows)
+    rows += [(in_script(t, 0x905), None) for t in clean[:40]]
+    symbols = len(rows)
+    rows += [(" ".join(f"#{i}$%&|{i * 7919 % 1000}*" for i in range(j, j + 90)), lang) for j, lang in ((0, "en"), (100, None))]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")).collect()}
+    assert sum(kept[i] for i in range(n)) > 0.9 * n
+    assert all(kept[i] for i in range(n, many))
+    assert sum(kept[i] for i in range(many, symbols)) >= 36
+    assert not kept[symbols] and not kept[symbols + 1]
