@@ -108,20 +108,23 @@ class JsonVocabulary:
 
     A text may be cut before a space unless white space stands on both sides of it: the
     pre-tokenizers take such a space with the word after it, or drop it. A word's trailing
-    punctuation is a pre-token of its own, so letters are segmented once for all endings.
+    punctuation is a pre-token of its own, so letters are segmented once for all endings. Special
+strings in a text get their own ids, as the library's default has it.
     """
 
     def __init__(self, definition: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(definition.decode("utf-8"))
-        self.tok.encode_special_tokens = True
         spec = json.loads(definition)
         self.size = self.tok.get_vocab_size()
         kinds = json.dumps([spec.get("pre_tokenizer"), spec.get("normalizer")])
+        # added tokens are matched before any cut, so texts that hold one are not cut
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        plain = not any(t["normalized"] and spec.get("normalizer") for t in spec.get("added_tokens") or [])
         self.drops_space = '"Removed"' in kinds
         self.lowers = '"Lowercase"' in kinds
-        self.by_word = spec["model"]["type"] == "BPE" and '"add_prefix_space": true' not in kinds and (
+        self.by_word = plain and spec["model"]["type"] == "BPE" and '"add_prefix_space": true' not in kinds and (
             self.drops_space or (spec.get("normalizer") is None and '"use_regex": true' in kinds))
         self.words = ChunkTable(self._split_words)
         self.parts = ChunkTable(self._segment)
@@ -160,7 +163,20 @@ class JsonVocabulary:
         """(flat ids, number by row), without end ids."""
         if not self.by_word:
             return self._segment(pc.fill_null(col, "").to_pylist())
-        return self.encoder.encode(pc.fill_null(col.cast(pa.string()), ""))
+        col = pc.fill_null(col.cast(pa.string()), "")
+        holds = np.zeros(len(col), bool)
+        for content in self.added:
+            holds |= pc.match_substring(col, content).to_numpy(zero_copy_only=False).astype(bool)
+        if not holds.any():
+            return self.encoder.encode(col)
+        ids, lens = self.encoder.encode(pc.if_else(pa.array(holds), "", col))
+        whole, sizes = self._segment(col.filter(pa.array(holds)).to_pylist())
+        # the others' ids keep their order; a row held back has none among them
+        total = lens.astype(np.int64)
+        total[holds] = sizes
+        out, ours = np.empty(int(total.sum()), np.int32), np.repeat(holds, total)
+        out[ours], out[~ours] = whole, ids
+        return out, total
 
 
 def vocabulary(kind: type, blob: bytes, name: str):

@@ -225,3 +225,30 @@ def test_op9_query(spark, small):
     for r in rows.itertuples():
         ids = (v.tok.encode(docs[r.doc_id], add_special_tokens=False).ids + [1])[r.start:r.start + r.length]
         assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and r.start == 4096 * r.piece
+
+
+@pytest.mark.parametrize("name", [huffman.VOCABULARY, packing.VOCABULARY])
+def test_special_strings_have_the_librarys_ids(name):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(vocabulary_path(name))
+    v = JsonVocabulary(open(vocabulary_path(name), "rb").read())
+    texts = ["one document ends. <|endoftext|> the next", "<|endoftext|>", "a<|endoftext|>b", "<|startoftext|>Word, <|endoftext|><|endoftext|>.",
+             "no such string", "(<|endoftext|>)!", "  <|endoftext|>  x", "<|ENDOFTEXT|>", "<|endoftext", None, ""] + fuzz()
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert rows_of(*v.encode(pa.array(texts))) == want
+    assert max(want[0]) == tok.token_to_id("<|endoftext|>")
+
+
+def test_special_strings_in_token_files_and_packing(spark):
+    from tokenizers import Tokenizer
+    texts = {1: "one document ends. <|endoftext|> the next", 2: "<|endoftext|>", 3: "plain words"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    folder = Scratch(spark, "special").path("files")
+    huffman.store_ids(docs, folder)
+    tok = Tokenizer.from_file(vocabulary_path(huffman.VOCABULARY))
+    rows = {r["doc_id"]: r["ids"] for r in huffman.read(spark, folder).collect()}
+    for i, t in texts.items():
+        assert np.frombuffer(bytes(rows[i]), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
+    tok = Tokenizer.from_file(vocabulary_path(packing.VOCABULARY))
+    for r in packing.pieces(docs).collect():
+        assert r["length"] == len(tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1
