@@ -1,9 +1,10 @@
 """Main text of HTML pages: parser events, text-to-tag ratios, smoothing, threshold clustering.
 
 One pass of the standard library's parser turns a page into lines, one a block of text, each
-with its characters, its link characters and the tags it took. Lines inside elements that say
-what they are (nav, footer, aside, form, script, hidden ones, roles, class or id words such as
-``sidebar``, ``cookie``, ``comment``) are out at once. The others' text-to-tag ratios are
+with its characters, its link characters and the tags it took. Scripts, hidden elements and the like
+are out at once. Lines inside elements that say what they are (nav, footer, aside, form, roles, class
+or id words such as ``sidebar``, ``cookie``, ``comment``) are out too, unless such an element turns
+out to wrap the page's text (``layout has-sidebar``): see ``_named_apart``. The others' text-to-tag ratios are
 smoothed by a Gaussian over neighbouring lines, and lines at or over ``THRESHOLD`` standard
 deviations form the content cluster. The cluster selects regions, not lines: the article is the
 innermost container that holds nearly all of the cluster's text (an ``article`` or ``main``
@@ -33,8 +34,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THRESHOLD = 0.5
 SIGMA = 1.0
-# A container is the article if it has this share of the cluster's text; an article element, this.
+# Shares of a page's text by which an element named apart wraps it.
 NEARLY_ALL, MOST = 0.8, 0.5
+# What may stand in a head; anything else ends one without an end tag.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+# Elements of ``OUT`` that may wrap a page.
+WRAPPERS = frozenset("nav footer aside form menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LINK_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,12 +69,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Blocks of a page: ``text``, ``container``, ``tags``, ``linked`` (characters)."""
+    """Blocks of a page: ``text``, ``container``, ``tags``, ``linked`` (characters), level of a heading or 0."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.parents, self.kinds = [-1], ["page"]  # of containers
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.parents, self.kinds, self.apart = [-1], ["page"], [0]  # of containers; apart: 1 by part of a name, 2 by name
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container, out, in an article
         self.container, self.out, self.own = 0, False, False
         self.parts: list[str] = []
@@ -78,7 +84,8 @@ class Lines(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.container, self.tags, self.linked))
+                level = next((int(t[1]) for t, *_ in reversed(self.stack) if t in HEADINGS), 0)
+                self.lines.append((text, self.container, self.tags, self.linked, level))
             self.parts = []
         self.tags = self.linked = 0
 
@@ -88,7 +95,12 @@ class Lines(HTMLParser):
                 self.parts.append(" ")
             self.tags += 1
             return
-        block = tag in BLOCKS
+        if tag == "body" or (tag not in HEAD and self.stack and self.stack[-1][0] == "head"):
+            self._end_head()
+        apart = 0
+        if not self.out:
+            apart = self._named_apart(tag, attrs)
+        block = tag in BLOCKS or (apart and "-" in tag)
         if block:
             self.flush()
             self._close(("p",))
@@ -100,34 +112,49 @@ class Lines(HTMLParser):
         self.stack.append((tag, self.container, self.out, self.own))
         if tag == "a":
             self.links += 1
-        if block and tag in CONTAINERS:
+        if block and (tag in CONTAINERS or apart):
             self.parents.append(self.container)
             self.kinds.append(tag)
+            self.apart.append(apart)
             self.container = len(self.kinds) - 1
             if tag == "article" or tag == "main":
                 self.own = True
         if not self.out:
-            self.out = tag in OUT or (tag == "header" and not self.own) or (bool(attrs) and self._named_out(tag, attrs))
+            self.out = (tag in OUT and tag not in WRAPPERS) or (bool(attrs) and self._hidden(tag, attrs)) or (apart > 0 and not block)
+
+    def _end_head(self) -> None:
+        for at, held in enumerate(self.stack):
+            if held[0] == "head":
+                self.parts = []
+                self._pop(at)
+                return
 
-    def _named_out(self, tag, attrs) -> bool:
+    @staticmethod
+    def _hidden(tag, attrs) -> bool:
         if tag in ("html", "body", "main"):
             return False
+        return any(name == "hidden" or (name == "aria-hidden" and (value or "").strip().lower() == "true")
+                   or (name == "style" and "display:none" in (value or "").replace(" ", "").lower()) for name, value in attrs)
+
+    def _named_apart(self, tag, attrs) -> int:
+        """2 for an element that names itself something other than the article, 1 if only a part of
+        a class or id does."""
+        if tag in ("html", "body", "main"):
+            return 0
+        if tag in WRAPPERS or (tag == "header" and not self.own):
+            return 2
+        found = 0
         for name, value in attrs:
-            if name == "hidden":
-                return True
             if not value:
                 continue
-            if name == "aria-hidden" and value.strip().lower() == "true":
-                return True
             if name == "role" and value.strip().lower() in ROLES:
-                return True
-            if name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
+                return 2
             if name == "class" or name == "id":
-                words = {w.lower() for w in _SPLIT.split(value)}
-                if words & WORDS or any(w.startswith(BEGINNINGS) for w in words) or (not self.own and tag != "article" and words & PAGE_WORDS):
-                    return True
-        return False
+                for whole in value.split():
+                    words = {w.lower() for w in _SPLIT.split(whole)}
+                    if words & WORDS or any(w.startswith(BEGINNINGS) for w in words) or (not self.own and tag != "article" and words & PAGE_WORDS):
+                        found = max(found, 2 if len(words) == 1 else 1)
+        return found
 
     def _pop(self, at: int) -> None:
         while len(self.stack) > at:
@@ -156,6 +183,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.out and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.out:
             self.parts.append(data)
             if self.links:
@@ -181,13 +210,58 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach:reach + len(ratios)]
 
 
+def _plain(page: Lines, c: int) -> bool:
+    """Whether an article element isn't one of comments, teasers or the like by its own whole name, nor by
+    part of its name inside another element named apart."""
+    if page.apart[c] == 1:
+        while page.parents[c] >= 0:
+            c = page.parents[c]
+            if page.apart[c]:
+                return False
+        return True
+    return not page.apart[c]
+
+
+def _left(page: Lines, containers: np.ndarray, prose: np.ndarray, headings: np.ndarray) -> np.ndarray:
+    """Containers whose lines are judged: all outside elements named apart, and those in such elements
+    that wrap the page's text. One wraps it if it holds most of the text and the page's first heading,
+    an article or a main element; without any of these on the page, nearly all of the text, or all
+    that there is."""
+    n = len(page.kinds)
+    held = np.bincount(containers, weights=prose, minlength=n)
+    marks = np.bincount(containers, weights=headings == 1, minlength=n)
+    marks += [kind == "main" or (kind == "article" and _plain(page, c)) for c, kind in enumerate(page.kinds)]
+    for c in range(n - 1, 0, -1):
+        held[page.parents[c]] += held[c]
+        marks[page.parents[c]] += marks[c]
+    left = np.ones(n, bool)
+    for c in range(1, n):
+        left[c] = left[page.parents[c]]
+        if left[c] and page.apart[c]:
+            if held[0] == held[c] > 0 and page.kinds[c] not in ("nav", "footer", "menu"):
+                continue
+            if marks[0]:
+                wraps = held[c] >= MOST * held[0] and marks[c] > 0 and (page.apart[c] == 1 or marks[c] == marks[0])
+            else:
+                wraps = page.apart[c] == 1 and held[c] >= NEARLY_ALL * held[0]
+            left[c] = wraps and held[c] > 0
+    return left
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = lines_of(html)
     if not page.lines:
         return ""
-    texts, containers, tags, linked = zip(*page.lines)
+    if any(page.apart):
+        _, containers, _, linked, headings = map(np.array, zip(*page.lines))
+        chars = np.array([len(line[0]) for line in page.lines], float)
+        left = _left(page, containers, np.maximum(chars - linked, 0), headings)
+        page.lines = [line for line in page.lines if left[line[1]]]
+        if not page.lines:
+            return ""
+    texts, containers, tags, linked, headings = zip(*page.lines)
     chars = np.array([len(t) for t in texts], float)
     linked = np.minimum(np.array(linked, float), chars)
     ratio = smoothed((chars - linked) / np.maximum(np.array(tags, float), 1))

@@ -231,3 +231,22 @@ def test_op10_query(spark, small):
     own = got.set_index("conv_id").loc[-7]
     assert own["n_turns"] == 2 and own["loss_chars"] == len(queries.CONTROL_TEXT)
     assert chat.digests(chat.format_turns(talks(spark).limit(0))).count() == 0
+
+
+P = ["This paragraph number %d of the article is long enough to be taken for running prose by any measure of it." % i for i in range(12)]
+BODY = "".join(f"<p>{p}</p>" for p in P)
+
+
+def test_class_words_of_wrappers():
+    from matchsmith.llm.extraction import main_text
+    nav = "<nav><a href=/>Home</a></nav>"
+    want = "\n".join(["Title", *P])
+    for page in (f"<body>{nav}<div class='layout has-sidebar'><h1>Title</h1>{BODY}</div></body>",
+                 f"<body>{nav}<div id='page' class='with-sidebar'><article><h1>Title</h1>{BODY}</article><div class=sidebar>Aside text</div></div></body>",
+                 f"<body>{nav}<article class='post comments-open'><h1>Title</h1>{BODY}</article><footer>Foot</footer></body>",
+                 f"<body><form id=aspnetForm><h1>Title</h1>{BODY}</form></body>",
+                 f"<head><title>T</title><meta charset=utf-8><body>{nav}<article><h1>Title</h1>{BODY}</article></body>",
+                 f"<html><head><title>T</title><div><h1>Title</h1>{BODY}</div></html>"):
+        assert main_text(page) == want, page[:80]
+    long = "<div class='comment-list'>" + "".join(f"<article class='comment-body'><p>{p} Indeed, {p}</p></article>" for p in P * 3) + "</div>"
+    assert main_text(f"<body><article><h1>Title</h1>{BODY}</article>{long}</body>") == want
