@@ -7,9 +7,8 @@ or id words such as ``sidebar``, ``cookie``, ``comment``) are out too, unless su
 out to wrap the page's text (``layout has-sidebar``): see ``_named_apart``. The others' text-to-tag ratios are
 smoothed by a Gaussian over neighbouring lines, and lines at or over ``THRESHOLD`` standard
 deviations form the content cluster. The cluster selects regions, not lines: the article is the
-innermost container that holds nearly all of the cluster's text (an ``article`` or ``main``
-element that holds most of it, if there is one), and all its lines are kept, short ones too,
-but for inner containers without a line of the cluster that are mostly links.
+innermost container that holds all lines of the cluster (the ``article`` or ``main`` element around it, if
+there is one; else with a heading before it), and all its lines are kept, short ones too, but for inner containers without a line of the cluster that are mostly links.
 
 Character references are decoded; white space inside a block becomes one space; blocks are
 joined in page order by a line feed. Null and empty pages, and pages without text, give the empty
@@ -272,22 +271,31 @@ def main_text(html: str | None) -> str:
         weight = chars
     n = len(page.kinds)
     held = np.bincount(containers, weights=weight, minlength=n)
+    cluster = (weight > 0) & (linked <= LINK_SHARE * chars)
+    lines = np.bincount(containers, weights=cluster if cluster.any() else weight > 0, minlength=n)
     for c in range(n - 1, 0, -1):  # a container comes after the one around it
         held[page.parents[c]] += held[c]
-    total = held[0]
-    region = 0
-    articles = [c for c in range(n) if page.kinds[c] in ("article", "main") and held[c] >= MOST * total]
-    if articles:
-        region = articles[-1]  # the innermost
+        lines[page.parents[c]] += lines[c]
+    region = int(np.flatnonzero(lines == lines[0])[-1])  # the innermost that holds all of the cluster's lines
+    around = region
+    while around >= 0 and page.kinds[around] not in ("article", "main"):
+        around = page.parents[around]
+    before = range(0)  # a heading before the region, with the lines between
+    if around >= 0:
+        region = around
     else:
-        children: dict[int, list[int]] = {}
-        for c in range(1, n):
-            children.setdefault(page.parents[c], []).append(c)
-        while children.get(region):
-            best = max(children[region], key=lambda c: (held[c], -c))
-            if held[best] < NEARLY_ALL * total:
-                break
-            region = best
+        up, within = region, {region}
+        for c in range(region + 1, n):
+            if page.parents[c] in within:
+                within.add(c)
+        first = next((i for i, c in enumerate(containers) if c in within), 0)
+        while not before and page.parents[up] >= 0:
+            up = page.parents[up]
+            at = first
+            while at > 0 and containers[at - 1] == up:
+                at -= 1
+                if headings[at]:
+                    before = range(at, first)
     inside = np.zeros(n, bool)
     inside[region] = True
     all_chars = np.bincount(containers, weights=chars, minlength=n)
@@ -297,7 +305,7 @@ def main_text(html: str | None) -> str:
         all_links[page.parents[c]] += all_links[c]
     for c in range(region + 1, n):
         inside[c] = inside[page.parents[c]] and not (held[c] == 0 and all_links[c] > LINK_SHARE * all_chars[c])
-    return "\n".join(t for t, c in zip(texts, containers) if inside[c])
+    return "\n".join(t for i, (t, c) in enumerate(zip(texts, containers)) if inside[c] or i in before)
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -250,3 +250,17 @@ def test_class_words_of_wrappers():
         assert main_text(page) == want, page[:80]
     long = "<div class='comment-list'>" + "".join(f"<article class='comment-body'><p>{p} Indeed, {p}</p></article>" for p in P * 3) + "</div>"
     assert main_text(f"<body><article><h1>Title</h1>{BODY}</article>{long}</body>") == want
+    assert main_text(f"<body><h1>Title</h1><div>{BODY}</div><div class=comments>{BODY * 3}</div></body>") == want
+
+
+def test_regions_without_article_hold_the_whole_cluster():
+    from matchsmith.llm.extraction import main_text
+    lead = "A lead that says in one sentence what the whole of the article below is going to be about."
+    many = "".join(f"<li>{p}</li>" for p in P * 5)
+    cases = [(f"<div class=post><h1>Title</h1><p>{lead}</p><div class=body>{BODY}</div></div>", ["Title", lead, *P]),
+             (f"<div class=post><h1>Title</h1><p>By A.</p><div class=body>{BODY}</div></div>", ["Title", "By A.", *P]),
+             (f"<div><h1>Title</h1><p>{P[0]}</p><p>{P[1]}</p><ul>{many}</ul><p>{P[2]}</p></div>", ["Title", P[0], P[1], *P * 5, P[2]]),
+             (f"<main><article>{BODY}</article><section><p>{P[0]}</p><p>{P[1]}</p></section></main>", [*P, P[0], P[1]]),
+             (f"<div><article>{BODY}</article><div><p>{P[0]}</p><p>{P[1]}</p></div></div>", [*P, P[0], P[1]])]
+    for page, want in cases:
+        assert main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>").split("\n") == want, page[:80]
