@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchsmith.llm import chat, extraction, fingerprints, huffman, near_join, packing, pieces, quality, secret_scans, warc
+from matchsmith.llm import (chat, exact_search, extraction, fill_middle, fingerprints, hard_negatives, huffman, near_join, packing,
+                            pieces, quality, secret_scans, warc)
 from matchsmith.llm.common import Scratch
 from matchsmith.session import read_table
 
@@ -103,6 +104,79 @@ SELECT conv_id, count(*) AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
+
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in three and rearranged, and rebuilt from the output."""
+    out = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(c1, c2)], '') AS p,
+    array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of every query row among all others."""
+    return exact_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_VECTORS_SQL = r"""vectors AS (
+  SELECT row_number() OVER () AS r, {columns}, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+
+OP12_SQL = "WITH " + _VECTORS_SQL.format(columns="vec_id", scale=64) + r""",
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.r AS cr, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor row and each of its positives, labels corrupted where the id is divisible by 7."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = "WITH " + _VECTORS_SQL.format(
+    columns="vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", scale=256) + r""",
+scored AS (
+  SELECT q.r, q.vec_id AS anchor_id, c.r AS cr, c.vec_id, q.label = c.label AS same,
+    CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.r <> c.r AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0 AND q.label IS NOT NULL AND c.label IS NOT NULL),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr) AS nth FROM scored WHERE same),
+mined AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.r, p.nth ORDER BY n.score DESC, n.vec_id NULLS LAST, n.cr) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+  WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 10
+"""
+
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_sentencepiece, op3_secrets, op4_quality, op5_token_files, op6_fingerprints, op7_near_join, op8_warc, op9_packing,
-                                  op10_chat_format)}
-ORACLES: dict[str, str] = {"op10_chat_format": OP10_SQL}
+                                  op10_chat_format, op11_fill_middle, op12_exact_search, op13_hard_negatives)}
+ORACLES: dict[str, str] = {"op10_chat_format": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_exact_search": OP12_SQL,
+                           "op13_hard_negatives": OP13_SQL}
