@@ -4,13 +4,14 @@
    n-gram), a digest of the set, and band hashes. Band and row counts follow from the threshold
    and the target recall (``banding``).
 2. Texts of one n-gram set are one class; its document of least id stands for it.
-3. Band hashes of classes are shuffled; classes that share one are candidates, linked to the
-   least of their bucket, and connected into candidate groups.
-4. The texts of candidates go to blocks of about ``BLOCK`` classes of their group, and every pair
-   of blocks of a group to one place, which compares all pairs on full n-gram sets. It gives
-   each class its number of linked documents, and a spanning forest of the links: rows follow
-   the classes, never the pairs, so no group is listed pair by pair, and no link is lost.
-5. Components of the links are near-duplicate classes.
+3. Classes that share a band hash are a bucket. Buckets of the very same classes count once: the one of
+   the lowest band stays, so the lowest band that two classes share is always there.
+4. The texts of a bucket go to one place, or, if it holds more than ``BLOCK`` classes, to one place a
+   pair of its blocks. A place compares, on full n-gram sets, the pairs whose lowest shared band is
+   the bucket's, so a pair is compared once and only if it shares a band. It gives each class its
+   number of linked documents, and each linked class the least of those it is connected with there:
+   rows follow the classes, never the pairs, and no link is lost.
+5. Components of these are near-duplicate classes.
 
 Rows: ``doc_id, class_id`` (least id of the class of near copies), ``copy_id`` (least id with
 the same n-gram set), ``n_links`` (other documents with similarity at or over the threshold).
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchsmith.llm.common import Scratch, map_texts, texts_of
-from matchsmith.llm.components import connected_components
+from matchsmith.llm.components import connected_components, local_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -139,9 +140,8 @@ def signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: int
     return map_texts(df, [key, text], text, f"`{key}` {kind}, digest binary, bands array<long>", step, SLICE)
 
 
-def similar_pairs(sets: list[np.ndarray], cross: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets with Jaccard similarity at or over the threshold; with ``cross``, only
-    pairs of one of the first ``cross`` sets and one of the others."""
+def similar_pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j, among those ``wanted`` marks, of sets with Jaccard similarity at or over the threshold."""
     sizes = np.array([len(s) for s in sets], np.int64)
     n = len(sets)
     owner = np.repeat(np.arange(n), sizes)
@@ -157,43 +157,30 @@ def similar_pairs(sets: list[np.ndarray], cross: int | None, threshold: float) -
         held[owner[lo:hi], code[lo:hi] - start] = 1
         common += held @ held.T
     union = sizes[:, None] + sizes[None, :] - common
-    near = common >= threshold * union - 1e-9
-    i, j = np.nonzero(np.triu(near, 1))
-    if cross is not None:
-        inside = (i < cross) & (j >= cross)
-        i, j = i[inside], j[inside]
-    return i, j
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the nodes as all given links do, n - 1 at most."""
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+    return np.nonzero(wanted & (common >= threshold * union - 1e-9))
+
+
+def first_shared(bands: np.ndarray, side: np.ndarray, paired: bool) -> np.ndarray:
+    """Pairs i < j (of both sides, if ``paired``) that share none of the earlier ``bands``."""
+    n = len(bands)
+    own = np.triu(np.ones((n, n), bool), 1)
+    if paired:
+        own &= side[:, None] != side[None, :]
+    for b in bands.T:
+        own &= b[:, None] != b[None, :]
+    return own
 
 
 def verified(placed: DataFrame, n: int, threshold: float) -> DataFrame:
-    """From rows ``place, side, paired, id, digest, members, text``, sorted by place: rows
-    ``id, links, other``: either a class's number of linked documents, or a link of the forest."""
-    schema = "id long, links long, other long"
+    """From rows ``place, side, paired, id, digest, members, earlier, text``, sorted by place: rows
+    ``id, links, least``: of a class with links there, the documents it links to, and the least
+    class it is connected with (null if it is that itself)."""
+    schema = "id long, links long, least long"
 
     def run(batches):
         held, place = [], None
         for batch in batches:
-            cols = [batch.column(c) for c in range(batch.num_columns)]
-            keys = cols[0].to_pylist()
+            keys = batch.column("place").to_pylist()
             start = 0
             for at in range(1, len(keys) + 1):
                 if at == len(keys) or keys[at] != keys[start]:
@@ -207,34 +194,37 @@ def verified(placed: DataFrame, n: int, threshold: float) -> DataFrame:
 
     def compared(held):
         rows = pa.Table.from_batches(held).combine_chunks()
-        texts = rows.column("text").combine_chunks()
-        flat, count = ngrams(texts, n)
+        bands = np.array(rows["earlier"].to_pylist(), np.int64).reshape(rows.num_rows, -1)
+        own = first_shared(bands, rows["side"].to_numpy(), bool(rows["paired"][0].as_py()))
+        rows = rows.append_column("at", pa.array(np.arange(rows.num_rows))).filter(pa.array(own.any(axis=0) | own.any(axis=1)))
+        if not rows.num_rows:
+            return
+        flat, count = ngrams(rows["text"].combine_chunks(), n)
         at = _offsets(count)
         digest = _digests(flat, count)
-        mine = [k for k, d in enumerate(rows.column("digest").to_pylist()) if d == digest[k]]
-        if not mine:
+        mine = np.array([k for k, d in enumerate(rows["digest"].to_pylist()) if d == digest[k]], np.int64)
+        if not len(mine):
             return
-        side, ids = rows.column("side").to_numpy()[mine], rows.column("id").to_numpy()[mine]
-        members = rows.column("members").to_numpy()[mine]
-        order = np.lexsort((ids, side))
-        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # a repeated row is one class
-        ids, members, side = ids[order], members[order], side[order]
-        sets = [flat[at[mine[k]]:at[mine[k] + 1]] for k in order]
-        paired = bool(rows.column("paired")[0].as_py())
-        if len(sets) < 2:
+        ids = rows["id"].to_numpy()[mine]
+        _, first = np.unique(ids, return_index=True)  # a repeated row is one class; ids rise
+        mine = mine[first]
+        ids, members = rows["id"].to_numpy()[mine], rows["members"].to_numpy()[mine]
+        if len(ids) < 2:
             return
-        i, j = similar_pairs(sets, int((side == 0).sum()) if paired else None, threshold)
+        place = rows["at"].to_numpy()[mine]
+        wanted = own[np.ix_(place, place)]
+        i, j = similar_pairs([flat[at[k]:at[k + 1]] for k in mine], wanted | wanted.T, threshold)
+        i, j = i[i < j], j[i < j]
         if not len(i):
             return
         links = np.bincount(i, weights=members[j], minlength=len(ids)) + np.bincount(j, weights=members[i], minlength=len(ids))
         linked = np.flatnonzero(links)
-        tree = forest(len(ids), i, j)
+        least = ids[local_components(len(ids), i, j)][linked]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([ids[linked], ids[[a for a, _ in tree]]])),
-             pa.array([*links[linked].astype(np.int64).tolist(), *[None] * len(tree)], pa.int64()),
-             pa.array([*[None] * len(linked), *ids[[b for _, b in tree]].tolist()], pa.int64())], ["id", "links", "other"])
+            [pa.array(ids[linked]), pa.array(links[linked].astype(np.int64)), pa.array(least, mask=least == ids[linked])],
+            ["id", "links", "least"])
 
-    return placed.select("place", "side", "paired", "id", "digest", "members", "text").mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
@@ -249,25 +239,27 @@ def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     by_doc = known.groupBy("id").agg(F.min("digest").alias("digest"))
     classes = scratch.table(by_doc.groupBy("digest").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("members")), "classes")
 
-    bucketed = (known.join(classes.select("digest", F.col("copy_id").alias("id")), ["digest", "id"], "left_semi")
-                .select("id", F.posexplode("bands").alias("band", "bucket")).groupBy("band", "bucket", "id").agg(F.lit(1).alias("one")))
-    least = bucketed.groupBy("band", "bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = bucketed.join(least, ["band", "bucket"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    groups = scratch.table(connected_components(stars, scratch), "groups")
-
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    wanted = (groups.join(sizes, "component").join(classes.select(F.col("copy_id").alias("id"), "digest", "members"), "id")
-              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    texts = docs.join(wanted, "id")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    placed = texts.withColumn("partner", other).withColumns({
-        "place": F.concat_ws("/", "component", F.least("block", "partner"), F.greatest("block", "partner")),
-        "side": (F.col("block") > F.col("partner")).cast("int"), "paired": F.col("block") != F.col("partner")})
-    placed = placed.repartition("place").sortWithinPartitions("place", "side", "id")
-    found = scratch.table(verified(placed, words, threshold), "links")
-
-    links = found.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    near = connected_components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
+    signed_classes = known.join(classes.select("digest", F.col("copy_id").alias("id"), "members"), ["digest", "id"])
+    in_buckets = signed_classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 31)))
+    buckets = (in_buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"),
+                                                        part(0).alias("mark0"), part(1).alias("mark1"))
+               .filter("n > 1 and least < most"))
+    kept = (buckets.groupBy("n", "least", "most", "mark0", "mark1").agg(F.min(F.struct("band", "bucket")).alias("b"))
+            .select("b.band", "b.bucket", F.ceil(F.col("n") / F.lit(block)).alias("blocks")))
+    wanted = scratch.table(
+        in_buckets.join(kept, ["band", "bucket"]).distinct().groupBy("id").agg(F.collect_list(F.struct("band", "bucket", "blocks")).alias("buckets"))
+        .join(signed_classes.dropDuplicates(["id"]), "id"), "wanted")
+    texts = docs.join(wanted, "id").select("*", F.explode("buckets").alias("b"))
+    own = F.pmod(F.xxhash64("id"), F.col("b.blocks"))
+    placed = (texts.select("*", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b.blocks") - 1)).alias("partner"))
+              .select(F.concat_ws("/", "b.band", "b.bucket", F.least("block", "partner"), F.greatest("block", "partner")).alias("place"),
+                      (F.col("block") > F.col("partner")).cast("int").alias("side"), (F.col("block") != F.col("partner")).alias("paired"),
+                      "id", "digest", "members", F.slice("bands", F.lit(1), F.col("b.band")).alias("earlier"), "text"))
+    found = scratch.table(verified(placed.repartition("place").sortWithinPartitions("place", "id"), words, threshold), "links")
+
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    near = connected_components(found.filter("least is not null").select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)
     table = (classes.withColumn("id", F.col("copy_id")).join(links, "id", "left").join(near, "id", "left")
              .select("digest", "copy_id", F.coalesce("component", "copy_id").alias("class_id"),
                      (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchsmith.llm import fingerprints, near_join, queries, secret_scans
 from matchsmith.llm.common import Scratch
-from matchsmith.llm.components import connected_components
+from matchsmith.llm.components import connected_components, contracted, local_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -113,11 +113,53 @@ def test_similar_pairs_in_column_chunks(monkeypatch):
     sets = [np.unique(rng.integers(0, 12, 10)).astype(np.uint64) for _ in range(20)]
     want = {(i, j) for i in range(20) for j in range(i + 1, 20)
             if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
-    assert set(zip(*[x.tolist() for x in near_join.similar_pairs(sets, None, 0.5)])) == want
-    cross = set(zip(*[x.tolist() for x in near_join.similar_pairs(sets, 8, 0.5)]))
+    upper = np.triu(np.ones((20, 20), bool), 1)
+    assert set(zip(*[x.tolist() for x in near_join.similar_pairs(sets, upper, 0.5)])) == want
+    upper[8:, 8:] = upper[:8, :8] = False
+    cross = set(zip(*[x.tolist() for x in near_join.similar_pairs(sets, upper, 0.5)]))
     assert cross == {(i, j) for i, j in want if i < 8 <= j}
 
 
+def test_a_pair_is_compared_in_its_lowest_shared_band():
+    rng = np.random.default_rng(4)
+    bands, side = rng.integers(0, 3, (30, 6)), rng.integers(0, 2, 30)
+    for b in range(6):
+        for paired in (False, True):
+            own = near_join.first_shared(bands[:, :b], side, paired)
+            assert all(own[i, j] == (i < j and not (bands[i, :b] == bands[j, :b]).any() and (not paired or side[i] != side[j]))
+                       for i in range(30) for j in range(30))
+
+
+def test_long_chain_of_near_copies(spark):
+    """20,000 texts, each like its neighbours in the chain only: one class, links counted, no all-pairs work."""
+    words = [f"w{i * 7919 % 100003}" for i in range(20_000 * 2 + 60)]
+    docs = {i: " ".join(words[2 * i:2 * i + 60]) for i in range(20_000)}
+    got = joined(spark, docs)
+    # 56 n-grams a text, 2 of them new: k texts on 56 - 2k are shared of 56 + 2k, at least 0.8 for k up to 3
+    assert set(c for c, _ in got.values()) == {0}
+    missed = sum(min(i, 3) + min(19_999 - i, 3) - got[i][1] for i in range(20_000))
+    assert all(got[i][1] <= min(i, 3) + min(19_999 - i, 3) for i in got) and missed <= 120_000 * 0.001
+
+
+def test_local_components_and_contraction(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    i, j = (np.array(c) for c in zip(*edges))
+    assert local_components(300, i, j).tolist() == [find(x) for x in range(300)]
+    one_task = contracted(spark.createDataFrame(edges, "u long, v long").coalesce(1)).collect()
+    assert {(r.u, r.v) for r in one_task} == {(x, find(x)) for e in edges for x in e if find(x) != x}
+
+
 def test_connected_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
