@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 from matchsmith.llm.chunk_table import ChunkEncoder, ChunkTable, flatten, gather
-from matchsmith.llm.common import worker_state
+from matchsmith.llm.common import text_bytes, worker_state
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -100,6 +100,9 @@ class PieceVocabulary:
         return out
 
 
+# Unknown words that the library gets as one text.
+WORDS_OF_A_TEXT = 1000
+
 _PUNCTUATION = string.punctuation.replace("'", "")
 
 
@@ -108,8 +111,10 @@ class JsonVocabulary:
 
     A text may be cut before a space unless white space stands on both sides of it: the
     pre-tokenizers take such a space with the word after it, or drop it. A word's trailing
-    punctuation is a pre-token of its own, so letters are segmented once for all endings. Special
-strings in a text get their own ids, as the library's default has it.
+    punctuation is a pre-token of its own, so letters are segmented once for all endings. Unknown
+    words of letters, each a pre-token, are handed to the library many to a text, and the ids are
+    dealt back by the bytes that they spell, or by the ids that end words. Special strings in a text
+    get their own ids, as the library's default has it.
     """
 
     def __init__(self, definition: bytes):
@@ -126,12 +131,51 @@ strings in a text get their own ids, as the library's default has it.
         self.lowers = '"Lowercase"' in kinds
         self.by_word = plain and spec["model"]["type"] == "BPE" and '"add_prefix_space": true' not in kinds and (
             self.drops_space or (spec.get("normalizer") is None and '"use_regex": true' in kinds))
+        model, self.bytes_of, self.ends_word = spec["model"], None, None
+        ids, pieces = np.array(list(model["vocab"].values())), list(model["vocab"])
+        if self.by_word and self.drops_space and model.get("end_of_word_suffix"):
+            self.ends_word = np.zeros(self.size, bool)
+            self.ends_word[ids] = [p.endswith(model["end_of_word_suffix"]) for p in pieces]
+        elif self.by_word and not self.drops_space:  # a character of a piece stands for a byte
+            self.bytes_of = np.zeros(self.size, np.int64)
+            self.bytes_of[ids] = [len(p) for p in pieces]
         self.words = ChunkTable(self._split_words)
         self.parts = ChunkTable(self._segment)
         self.encoder = ChunkEncoder(self.words, _before_space, None if self.drops_space else _MIDDLE_SPACE,
                                     self._careful)
 
     def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        col = pa.array(chunks, pa.string())
+        if self.ends_word is not None:
+            plain = pc.and_(pc.utf8_is_alpha(col), pc.invert(pc.match_substring(col, "\u0130")))
+        elif self.bytes_of is not None:
+            plain = pc.and_(pc.starts_with(col, " "), pc.utf8_is_alpha(pc.utf8_slice_codeunits(col, 1)))
+        else:
+            return self._one_by_one(chunks)
+        plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        groups = [[chunks[i] for i in order[at:min(at + WORDS_OF_A_TEXT, n)]] for at in range(0, n, WORDS_OF_A_TEXT)]
+        encoded = self.tok.encode_batch_fast([("" if self.ends_word is None else " ").join(g) for g in groups], add_special_tokens=False)
+        parts = [self._dealt(g, np.array(e.ids, np.int32)) for g, e in zip(groups, encoded)]
+        parts.append(self._one_by_one([chunks[i] for i in order[n:]]))
+        flat, lens = (np.concatenate(c) for c in zip(*parts))
+        back = np.empty(len(chunks), np.int64)
+        back[order] = np.arange(len(chunks))
+        return gather(flat, (np.cumsum(lens) - lens)[back], lens[back]), lens[back]
+
+    def _dealt(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that were encoded as one text, and their number by word."""
+        if self.ends_word is not None:
+            last = np.flatnonzero(self.ends_word[ids])
+            fits = len(last) == len(words)
+        else:
+            stop, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(text_bytes(pa.array(words, pa.string())))
+            last = np.searchsorted(stop, wanted)
+            fits = last[-1] < len(stop) and bool((stop[last] == wanted).all())
+        return (ids, np.diff(last, prepend=-1)) if fits else self._one_by_one(words)
+
+    def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flatten([e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)])
 
     def _careful(self, text: str) -> list[str]:
@@ -139,21 +183,21 @@ strings in a text get their own ids, as the library's default has it.
 
     def _split_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks by their letters and their trailing punctuation."""
-        heads, tails = [], []
-        for c in chunks:
-            stem = c.rstrip(_PUNCTUATION)
-            letters = stem[1:] if stem[:1] == " " else stem
-            if letters.isalpha() and (not self.lowers or letters.lower().isalpha()):
-                if self.drops_space:
-                    stem = letters
-                if self.lowers and stem.isascii():
-                    stem = stem.lower()
-                heads.append(stem)
-                tails.append(c[len(c.rstrip(_PUNCTUATION)):])
-            else:
-                heads.append(c)
-                tails.append("")
-        both = pa.array(heads + tails, pa.string()).dictionary_encode()
+        whole = pa.array(chunks, pa.string())
+        stem = pc.ascii_rtrim(whole, characters=_PUNCTUATION)
+        letters = pc.if_else(pc.starts_with(stem, " "), pc.utf8_slice_codeunits(stem, 1), stem)
+        split = pc.utf8_is_alpha(letters)
+        if self.lowers:  # the one letter whose lower case holds a mark
+            split = pc.and_(split, pc.invert(pc.match_substring(letters, "\u0130")))
+        heads = letters if self.drops_space else stem
+        heads = pc.if_else(split, pc.ascii_lower(heads) if self.lowers else heads, whole)
+        split = split.to_numpy(zero_copy_only=False).astype(bool)
+        size = text_bytes(whole)
+        tail = np.where(split, size - text_bytes(stem), 0)
+        stop = np.cumsum(size)
+        spelt = gather(np.frombuffer("".join(chunks).encode(), np.uint8), stop - tail, tail)
+        tails = pa.StringArray.from_buffers(len(chunks), pa.py_buffer(np.concatenate([[0], np.cumsum(tail)]).astype(np.int32)), pa.py_buffer(spelt))
+        both = pa.concat_arrays([heads, tails]).dictionary_encode()
         ids, start, lens = self.parts.ids_of(both.dictionary)
         at = both.indices.to_numpy().reshape(2, -1).T.ravel()  # head, tail, head, tail, ...
         lens = lens[at].astype(np.int64)
@@ -162,7 +206,7 @@ strings in a text get their own ids, as the library's default has it.
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number by row), without end ids."""
         if not self.by_word:
-            return self._segment(pc.fill_null(col, "").to_pylist())
+            return self._one_by_one(pc.fill_null(col, "").to_pylist())
         col = pc.fill_null(col.cast(pa.string()), "")
         holds = np.zeros(len(col), bool)
         for content in self.added:
@@ -170,7 +214,7 @@ strings in a text get their own ids, as the library's default has it.
         if not holds.any():
             return self.encoder.encode(col)
         ids, lens = self.encoder.encode(pc.if_else(pa.array(holds), "", col))
-        whole, sizes = self._segment(col.filter(pa.array(holds)).to_pylist())
+        whole, sizes = self._one_by_one(col.filter(pa.array(holds)).to_pylist())
         # the others' ids keep their order; a row held back has none among them
         total = lens.astype(np.int64)
         total[holds] = sizes

@@ -53,7 +53,30 @@ def test_piece_ids_and_decoding_equal_the_library(piece):
     assert piece.decode(flat, offsets).to_pylist() == [piece.sp.decode(g) for g in ids]
 
 
-def test_full_chunk_table_starts_anew():
+@pytest.mark.parametrize("name", [huffman.VOCABULARY, packing.VOCABULARY])
+def test_many_new_words_equal_the_library(name):
+    """Words that go to the library many to a text, of several alphabets, with and without a space."""
+    rng = random.Random(8)
+    letters = ["abcdefgh", "äöüßéÀ", "αβγΣς", "жзий", "字漢語", "한글", "İıſ", "ﬁﬂ", "नमस्ते"]
+    words = ["".join(rng.choice(a) for _ in range(rng.randint(1, 9))) for a in letters for _ in range(400)]
+    rng.shuffle(words)
+    texts = [" ".join(w + rng.choice(["", ",", "...", "'s", "-x", "7"]) for w in words[i:i + 40]) for i in range(0, len(words), 40)]
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(vocabulary_path(name))
+    v = JsonVocabulary(open(vocabulary_path(name), "rb").read())
+    assert rows_of(*v.encode(pa.array(texts))) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_full_chunk_table_keeps_the_most_used():
+    asked = []
+    table = ChunkTable(lambda xs: asked.extend(xs) or (np.array([ord(x) for x in xs], np.int32), np.ones(len(xs), np.int64)), limit=8)
+    for word in ("ab", "ab", "abc", "def", "gh", "ij", "ab"):
+        ids, start, lens = table.ids_of(pa.array(list(word)))
+        assert [chr(ids[s]) for s in start] == list(word) and (lens == 1).all() and len(table.h0) <= 8
+    assert asked.count("a") == asked.count("b") == 1
+
+
+def test_full_chunk_table_keeps_ids():
     table = ChunkTable(lambda xs: (np.array([ord(x) for x in xs], np.int32), np.ones(len(xs), np.int64)), limit=3)
     for word in ("ab", "cd", "ea", "abcde", "xyz"):
         ids, start, lens = table.ids_of(pa.array(list(word)))
