@@ -52,13 +52,39 @@ def multiset_jaccard_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame
 
 # ------------------------------------------------------------------------------ token sets
 
+def _padded(s: Column, q: int) -> Column:
+    return F.concat(F.lit("#" * (q - 1)), F.coalesce(s, F.lit("")), F.lit("$" * (q - 1)))
+
+
+def _runs(units: Column, n: Column, q: int, join) -> Column:
+    """Every run of ``q`` consecutive elements joined into one: a zip a place, linear in the length."""
+    runs = units
+    for k in range(1, q):
+        runs = F.zip_with(runs, F.slice(units, F.lit(k + 1), F.greatest(F.size(units), F.lit(0))), join)
+    return F.slice(runs, F.lit(1), n)
+
+
 def qgrams(s: Column, q: int = 3) -> Column:
-    """Character q-grams of a string padded with ``#`` / ``$`` (q-1 each side)."""
-    padded = F.concat(F.lit("#" * (q - 1)), F.coalesce(s, F.lit("")), F.lit("$" * (q - 1)))
-    n = F.length(padded) - q + 1
-    return F.when(F.length(F.coalesce(s, F.lit(""))) == 0, F.array().cast("array<string>")) \
-        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                               lambda i: F.substring(padded, i, q)))
+    """Character q-grams of a string padded with ``#`` / ``$`` (q-1 each side), in order; [] of an
+    empty or null string."""
+    padded = _padded(s, q)
+    runs = _runs(F.split(padded, ""), F.greatest(F.length(padded) - q + 1, F.lit(1)), q, F.concat)
+    return F.when(F.length(F.coalesce(s, F.lit(""))) == 0, F.array().cast("array<string>")).otherwise(runs)
+
+
+# A code point fits 21 bits, so three of them fit a long.
+CODE_BITS = 21
+
+
+def qgram_codes(s: Column, q: int = 3) -> Column:
+    """The q-grams of ``qgrams`` as longs, one for one (q up to 3): their code points side by side.
+    Sets of longs cost an eighth of sets of strings, and Spark compares them unboxed."""
+    if q > 63 // CODE_BITS:
+        raise ValueError("a long holds three code points")
+    padded = _padded(s, q)
+    codes = F.transform(F.split(padded, ""), lambda c: F.ascii(c).cast("long"))
+    runs = _runs(codes, F.greatest(F.length(padded) - q + 1, F.lit(1)), q, lambda x, y: F.shiftleft(x, CODE_BITS).bitwiseOR(y))
+    return F.when(F.length(F.coalesce(s, F.lit(""))) == 0, F.array().cast("array<bigint>")).otherwise(runs)
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

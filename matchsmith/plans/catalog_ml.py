@@ -134,25 +134,8 @@ def _features(spark, sf, include_align=True):
 
 
 # Measures in SQL for the oracle (same definitions as features.measure).
-def _qg(x: str) -> str:
-    p = f"('##' || {x} || '$$')"
-    return f"list_distinct(list_transform(range(1, length({p}) - 1), lambda i: substr({p}, i, 3)))"
-
-
-def _ws(x: str) -> str:
-    return "list_distinct(" + O.split_ws_sql(x) + ")"
-
-
 def _measure_sql(m: str, a: str, b: str) -> str:
-    if m == "jaccard_qgm3":
-        v = (f"len(list_intersect({_qg(a)}, {_qg(b)})) /"
-             f" len(list_distinct(list_concat({_qg(a)}, {_qg(b)})))")
-    elif m == "cosine_dlm":
-        v = f"len(list_intersect({_ws(a)}, {_ws(b)})) / sqrt(len({_ws(a)}) * len({_ws(b)}))"
-    elif m == "jaccard_dlm":
-        v = (f"len(list_intersect({_ws(a)}, {_ws(b)})) /"
-             f" len(list_distinct(list_concat({_ws(a)}, {_ws(b)})))")
-    elif m == "lev_dist":
+    if m == "lev_dist":
         v = f"CAST(levenshtein({a}, {b}) AS DOUBLE)"
     elif m == "lev_sim":
         v = f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))"
@@ -168,14 +151,46 @@ def _measure_sql(m: str, a: str, b: str) -> str:
             f" ELSE {v} END")
 
 
+def _features_sql() -> list[str]:
+    """CTEs up to ``feat_v``: the planned measures of every pair. Token sets once an entity, as
+    rows; what two entities share by a join and a count."""
+    ctes, joins, cols = [], [], []
+    for a, m in _SQL_PLAN:
+        x, y = f"s.{a}_left", f"s.{a}_right"
+        if m not in FE._SET_TOKENS:
+            cols.append(f"{_measure_sql(m, x, y)} AS {a}_{m}")
+            continue
+        k = FE._SET_TOKENS[m]
+        name = f"{a}_{k}"
+        if not any(c.startswith(f"{name} AS") for c in ctes):
+            if k == "qg3":
+                tok = (f"SELECT DISTINCT id, c || c2 || c3 AS tok FROM (SELECT id, c, lead(c) OVER w AS c2, lead(c, 2) OVER w AS c3 FROM"
+                       f" (SELECT id, unnest(string_split('##' || {a} || '$$', '')) AS c, generate_subscripts(string_split('##' || {a} || '$$', ''), 1) AS i"
+                       f" FROM ents_all WHERE {a} <> '') WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE c3 IS NOT NULL")
+            else:
+                tok = f"SELECT DISTINCT id, unnest({O.split_ws_sql(a)}) AS tok FROM ents_all"
+            ctes += [f"{name} AS MATERIALIZED ({tok})", f"{name}_n AS (SELECT id, count(*) AS n FROM {name} GROUP BY id)",
+                     f"{name}_i AS (SELECT p.pair_id, count(*) AS n FROM splits_v p JOIN {name} l ON l.id = p.id_left"
+                     f" JOIN {name} r ON r.id = p.id_right AND r.tok = l.tok GROUP BY p.pair_id)"]
+            joins.append(f"LEFT JOIN {name}_n {name}_l ON {name}_l.id = s.id_left LEFT JOIN {name}_n {name}_r ON {name}_r.id = s.id_right"
+                         f" LEFT JOIN {name}_i ON {name}_i.pair_id = s.pair_id")
+        i, n, o = f"coalesce({name}_i.n, 0)", f"coalesce({name}_l.n, 0)", f"coalesce({name}_r.n, 0)"
+        v = f"{i} / nullif(sqrt({n} * {o}), 0)" if m == "cosine_dlm" else f"{i} / nullif({n} + {o} - {i}, 0)"
+        cols.append(f"CASE WHEN {x} IS NULL OR {y} IS NULL OR {x} = '' OR {y} = '' THEN NULL ELSE {v} END AS {a}_{m}")
+    return [*ctes, f"feat_v AS MATERIALIZED (SELECT s.split, s.pair_id, s.label, {', '.join(cols)} FROM splits_v s {' '.join(joins)})"]
+
+
 # Plan the sf0.01 attribute types give (pinned by the attribute_types query above).
 _SQL_TYPES = {"title": "str_gt_10w", "description": "str_gt_10w", "brand": "str_eq_1w"}
 _SQL_PLAN = FE.feature_plan(_SQL_TYPES)
 
 
-@register("pair_features", O.with_fixtures(_SPLITS_CTE) + "\nSELECT split, pair_id, label, "
-          + ", ".join(f"round({_measure_sql(m, a + '_left', a + '_right')}, 6) AS {a}_{m}"
-                      for a, m in _SQL_PLAN) + " FROM splits_v")
+_FEAT_CTES = [*_VEC_CTES[:2], *_features_sql()]
+_FEAT_NAMES = [f"{a}_{m}" for a, m in _SQL_PLAN]
+
+
+@register("pair_features", O.with_fixtures(*_FEAT_CTES) + "\nSELECT split, pair_id, label, "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in _FEAT_NAMES) + " FROM feat_v")
 def pair_features(spark, sf):
     f, plan = _features(spark, sf)
     return f.select("split", "pair_id", "label",
@@ -266,14 +281,16 @@ def nb_bernoulli_model(spark, sf):
     return p.select("label", "feature", F.round("log_prob", 6).alias("log_prob"))
 
 
-@register("nb_gaussian_model", O.with_fixtures(_SPLITS_CTE) + """,
-f AS (SELECT label, """ + ", ".join(
-    f"coalesce({_measure_sql(m, a + '_left', a + '_right')}, 0.0) AS {a}_{m}"
-    for a, m in _SQL_PLAN) + """ FROM splits_v WHERE split = 'train'),
-u AS (UNPIVOT f ON """ + ", ".join(f"{a}_{m}" for a, m in _SQL_PLAN) + """
-      INTO NAME feature VALUE value)
-SELECT label, feature, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS var
-FROM u GROUP BY label, feature""")
+_GAUSS_CTES = [
+    *_FEAT_CTES,
+    "filled AS (SELECT split, pair_id, label, " + ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in _FEAT_NAMES) + " FROM feat_v)",
+    "unp AS (UNPIVOT filled ON " + ", ".join(_FEAT_NAMES) + " INTO NAME feature VALUE value)",
+    "gauss AS (SELECT label, feature, avg(value) AS mean, var_pop(value) AS var FROM unp WHERE split = 'train'"
+    " GROUP BY label, feature)"]
+
+
+@register("nb_gaussian_model", O.with_fixtures(*_GAUSS_CTES) + """
+SELECT label, feature, round(mean, 6) AS mean, round(var, 6) AS var FROM gauss""")
 def nb_gaussian_model(spark, sf):
     f, plan = _features(spark, sf)
     names = [f"{a}_{m}" for a, m in plan]

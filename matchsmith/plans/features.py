@@ -13,6 +13,7 @@ from pyspark.sql import types as TY
 
 from matchsmith.functions import similarity as S
 from matchsmith.functions.text import split_ws, word_count
+from matchsmith.session import materialize
 
 # Average-word cut-offs of the string types, and the measures planned per type.
 TYPE_CUTOFFS = [(1, "str_eq_1w"), (5, "str_bt_1w_5w"), (10, "str_bt_5w_10w")]
@@ -68,7 +69,7 @@ def measure(name: str, a: Column, b: Column) -> Column:
     """Column expression of one measure; null when either side is null or ''."""
     from matchsmith.functions import align as AL
     if name == "jaccard_qgm3":
-        v = S.set_jaccard(S.qgrams(a, 3), S.qgrams(b, 3))
+        v = S.set_jaccard(S.qgram_codes(a, 3), S.qgram_codes(b, 3))
     elif name == "cosine_dlm":
         v = S.set_cosine(_words(a), _words(b))
     elif name == "jaccard_dlm":
@@ -101,7 +102,7 @@ _SET_TOKENS = {"jaccard_qgm3": "qg3", "cosine_dlm": "ws", "jaccard_dlm": "ws"}
 
 
 def _token_set(kind: str, c: Column) -> Column:
-    return F.array_distinct(S.qgrams(c, 3) if kind == "qg3" else _words(c))
+    return F.array_distinct(S.qgram_codes(c, 3) if kind == "qg3" else _words(c))
 
 
 def _set_measure(name: str, a: Column, b: Column) -> Column:
@@ -113,34 +114,40 @@ def _set_measure(name: str, a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(None).cast("double")).otherwise(inter / union)
 
 
+def token_sets(entities: DataFrame, plan: list[tuple[str, str]]) -> DataFrame:
+    """``id`` and, for each set measure of the plan, the entity's token set: q-grams as longs, words
+    as strings. One linear pass an entity, whatever number of pairs it is in."""
+    sets = sorted({(a, _SET_TOKENS[m]) for a, m in plan if m in _SET_TOKENS})
+    return entities.select("id", *[_token_set(k, F.col(a).cast("string")).alias(f"_{a}_{k}") for a, k in sets])
+
+
 def pair_features(pairs: DataFrame, plan: list[tuple[str, str]], keep: list[str],
                   left: str = "{}_left", right: str = "{}_right",
                   entities: DataFrame | None = None) -> DataFrame:
-    """One ``select``: every planned measure for every pair, named ``<attr>_<measure>``.
+    """Every planned measure for every pair, named ``<attr>_<measure>``.
 
     With ``entities`` (``id`` + attributes), token sets of the set measures are built once
-    per entity and joined to both sides of each pair (an entity is in many pairs), instead of
-    being rebuilt for every pair side."""
+    per entity and stored; only ids go with them through the two joins, and the pair's own columns
+    meet the few numbers that come out of them. Without, each pair builds its own."""
     sets = sorted({(a, _SET_TOKENS[m]) for a, m in plan if m in _SET_TOKENS})
     if entities is None or not sets:
         cols = [measure(m, F.col(left.format(a)).cast("string"),
                         F.col(right.format(a)).cast("string")).alias(f"{a}_{m}")
                 for a, m in plan]
         return pairs.select(*keep, *cols)
-    ent = entities.select("id", *[_token_set(k, F.col(a).cast("string")).alias(f"_{a}_{k}")
-                                  for a, k in sets])
+    ent = materialize(token_sets(entities, plan))
     lt = ent.select(*[F.col(c).alias(f"{c}_l" if c != "id" else "id_left") for c in ent.columns])
     rt = ent.select(*[F.col(c).alias(f"{c}_r" if c != "id" else "id_right") for c in ent.columns])
-    j = pairs.join(lt, "id_left", "left").join(rt, "id_right", "left")
+    j = pairs.select("id_left", "id_right").distinct().join(lt, "id_left").join(rt, "id_right")
+    of_sets = [(a, m) for a, m in plan if m in _SET_TOKENS]
+    shared = j.select("id_left", "id_right", *[
+        _set_measure(m, F.col(f"_{a}_{_SET_TOKENS[m]}_l"), F.col(f"_{a}_{_SET_TOKENS[m]}_r")).alias(f"_{a}_{m}") for a, m in of_sets])
     cols = []
     for a, m in plan:
         x, y = F.col(left.format(a)).cast("string"), F.col(right.format(a)).cast("string")
         if m in _SET_TOKENS:
-            k = _SET_TOKENS[m]
-            v = _set_measure(m, F.col(f"_{a}_{k}_l"), F.col(f"_{a}_{k}_r"))
             missing = x.isNull() | y.isNull() | (x == "") | (y == "")
-            cols.append(F.when(missing, F.lit(None).cast("double")).otherwise(v)
-                        .alias(f"{a}_{m}"))
+            cols.append(F.when(missing, F.lit(None).cast("double")).otherwise(F.col(f"_{a}_{m}")).alias(f"{a}_{m}"))
         else:
             cols.append(measure(m, x, y).alias(f"{a}_{m}"))
-    return j.select(*keep, *cols)
+    return pairs.join(shared, ["id_left", "id_right"], "left").select(*keep, *cols)
