@@ -60,7 +60,7 @@ def _runs(units: Column, n: Column, q: int, join) -> Column:
     """Every run of ``q`` consecutive elements joined into one: a zip a place, linear in the length."""
     runs = units
     for k in range(1, q):
-        runs = F.zip_with(runs, F.slice(units, F.lit(k + 1), F.greatest(F.size(units), F.lit(0))), join)
+        runs = F.zip_with(runs, F.slice(units, F.lit(k + 1), F.size(units)), join)
     return F.slice(runs, F.lit(1), n)
 
 
@@ -68,7 +68,7 @@ def qgrams(s: Column, q: int = 3) -> Column:
     """Character q-grams of a string padded with ``#`` / ``$`` (q-1 each side), in order; [] of an
     empty or null string."""
     padded = _padded(s, q)
-    runs = _runs(F.split(padded, ""), F.greatest(F.length(padded) - q + 1, F.lit(1)), q, F.concat)
+    runs = _runs(F.split(padded, ""), F.greatest(F.length(padded) - q + 1, F.lit(1)), q, lambda x, y: F.concat(x, y))
     return F.when(F.length(F.coalesce(s, F.lit(""))) == 0, F.array().cast("array<string>")).otherwise(runs)
 
 

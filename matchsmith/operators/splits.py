@@ -96,3 +96,10 @@ def seeded_shuffle(df: DataFrame, key: str, seed) -> DataFrame:
     """Rows in a seeded pseudo-random order (a distributed sort on md5('seed|key'))."""
     from matchsmith.functions.text import seeded_key
     return df.orderBy(seeded_key(seed, key), key)
+
+
+def seeded_positions(df: DataFrame, key: str, seed, out: str = "position") -> DataFrame:
+    """Each row's place (from 0) in the order of ``seeded_shuffle``, without a sort of all rows in one task."""
+    from matchsmith.functions.text import seeded_key
+    keyed = df.withColumns({"_order": seeded_key(seed, key), "_all": F.lit(0)})
+    return dense_positions(keyed, ["_order", key], ["_all"], out).drop("_order", "_all")

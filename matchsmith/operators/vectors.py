@@ -1,9 +1,8 @@
 """Word-occurrence vectorising: vocabulary per feature combination (document frequency >= 2
 over distinct entities), binary word vectors, and word co-occurrence of a pair.
 
-Vectors are sorted ``array<long>`` word indices (a sparse binary vector) with their words;
-naive Bayes over them is fitted and scored from parameter tables (``plans.models``), so no
-vocabulary is held on the driver. Everything is explode / aggregate / join.
+Vectors are sorted ``array<long>`` word indices (a sparse binary vector); naive Bayes over them is
+fitted and scored from parameter tables (``plans.models``), so no vocabulary is held on the driver. Everything is explode / aggregate / join.
 """
 
 from __future__ import annotations
@@ -38,28 +37,27 @@ def vocabulary(texts: DataFrame, min_df: int = 2) -> DataFrame:
 
 
 def word_vectors(texts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``combo, id, idx, words``: sorted vocabulary indices of each document and the words in
-    the same order (missing words dropped; documents without a known word get [])."""
+    """``combo, id, idx``: sorted vocabulary indices of each document (missing words dropped;
+    documents without a known word get [])."""
     w = doc_words(texts).join(vocab.select("combo", "word", "idx"), ["combo", "word"])
-    v = w.groupBy("combo", "id").agg(F.array_sort(F.collect_list(F.struct("idx", "word")))
-                                     .alias("iw"))
-    v = v.select("combo", "id", F.col("iw.idx").alias("idx"), F.col("iw.word").alias("words"))
+    v = w.groupBy("combo", "id").agg(F.array_sort(F.collect_list("idx")).alias("idx"))
     return texts.select("combo", "id").join(v, ["combo", "id"], "left") \
-        .withColumn("idx", F.coalesce("idx", F.array().cast("array<bigint>"))) \
-        .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+        .withColumn("idx", F.coalesce("idx", F.array().cast("array<bigint>")))
 
 
 def cooccurrence(pairs: DataFrame, vectors: DataFrame, left: str = "id_left",
                  right: str = "id_right") -> DataFrame:
     """Per pair and combination: the vocabulary words both offers contain (element-wise
-    product of two binary vectors), as sorted indices ``shared``."""
-    lv = vectors.select("combo", F.col("id").alias(left), F.col("idx").alias("_l"),
-                        F.col("words").alias("_lw"))
-    rv = vectors.select("combo", F.col("id").alias(right), F.col("idx").alias("_r"),
-                        F.col("words").alias("_rw"))
-    j = pairs.join(lv, left).join(rv, ["combo", right])
-    return j.withColumn("shared", F.array_sort(F.array_intersect("_l", "_r"))) \
-        .withColumn("shared_words", F.array_intersect("_lw", "_rw")).drop("_l", "_r", "_lw", "_rw")
+    product of two binary vectors), as sorted indices ``shared``. An entity's vectors of all
+    combinations go through the joins as one row, and only ids go with them."""
+    combos = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("combo", "idx"))).alias("_v"))  # a few an entity
+    ids = pairs.select(left, right).distinct()
+    j = (ids.join(combos.select(F.col("id").alias(left), F.col("_v").alias("_l")), left)
+         .join(combos.select(F.col("id").alias(right), F.col("_v").alias("_r")), right))
+    each = j.select(left, right, "_r", F.explode("_l").alias("combo", "_i"))
+    shared = each.where(F.map_contains_key("_r", F.col("combo"))).select(
+        left, right, "combo", F.array_sort(F.array_intersect("_i", F.element_at("_r", F.col("combo")))).alias("shared"))
+    return pairs.join(shared, [left, right])
 
 
 def vector_abs_diff(a: Column, b: Column) -> Column:

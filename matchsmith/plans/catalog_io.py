@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
+from pyspark.util import inheritable_thread_target
 
 from matchsmith.functions import labels as LB
 from matchsmith.functions import similarity as S
@@ -47,11 +50,33 @@ def feature_store(spark, sf):
 @register("report_lines", """SELECT o_orderpriority || '#####' || CAST(count(*) AS VARCHAR) AS line
 FROM orders GROUP BY o_orderpriority""")
 def report_lines(spark, sf):
+    """Report lines of several runs that are added side by side, each of them twice: every line once."""
     path = scratch_path(spark, "report")
-    IO.write_report(read_table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")), path)
+    rows = read_table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    part = lambda i: rows.where(F.pmod(F.xxhash64("o_orderpriority"), F.lit(3)) == i)
+    pool = ThreadPool(3)
+    pool.map(inheritable_thread_target(lambda i: IO.write_report(part(i % 3), path, f"run {i % 3}")), range(6))
+    pool.close()
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@register("settings_scan", O.with_fixtures() + """
+SELECT 'pairs' AS category, size, label, count(*) AS n FROM (
+  SELECT 'large' AS size, label FROM pairs_v UNION ALL
+  SELECT 'small', label FROM pairs_v WHERE substr(md5('small|' || pair_id), 1, 1) IN ('0', '1', '2', '3')) t GROUP BY ALL""")
+def settings_scan(spark, sf):
+    """Pair files of two categories and three sizes, read by one glob: settings come from the names, and a
+    filter on them leaves the other files unread."""
+    base, pairs = scratch_path(spark, "settings"), FX.pairs(spark, sf).select("id_left", "id_right", "label", "pair_id")
+    small = F.substring(F.md5(F.concat(F.lit("small|"), "pair_id")), 1, 1).isin("0", "1", "2", "3")
+    for name, rows in (("pairs_train_large", pairs), ("pairs_train_small", pairs.where(small)), ("pairs_train_xlarge", pairs),
+                       ("other_train_small", pairs.where("label = 1"))):
+        IO.write_pairs(rows, f"{base}/{name}.txt")
+    files = IO.with_settings(spark.read.text(f"{base}/*_train_*/")).where("category = 'pairs' and size in ('small', 'large')")
+    found = IO.parse_pair_lines(files.withColumnRenamed("value", "line"), ["category", "size"])
+    return found.groupBy("category", "size", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("numbered_lines", """SELECT p_brand AS brand, p_name AS value,
 row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line_no FROM part""")
 def numbered_lines(spark, sf):
@@ -69,7 +94,7 @@ def appended_results(spark, sf):
     path = scratch_path(spark, "results")
     for c in ("o_orderstatus", "o_orderpriority"):
         IO.append_result_row(read_table(spark, sf, "orders").groupBy(F.col(c).alias("status")).agg(F.count(F.lit(1)).alias("n")), path)
-    return IO.read_csv(spark, path, schema=TY.StructType([TY.StructField("status", TY.StringType()), TY.StructField("n", TY.LongType())]))
+    return IO.read_runs(spark, path, "status string, n long", "csv", header=True).drop("run")
 
 
 @register("null_to_empty", "SELECT doc_id, coalesce(nullif(lang, 'en'), '') AS lang, source FROM documents")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from matchsmith.functions import align as AL
-from matchsmith.operators import metrics as M
 from matchsmith.operators import shape as SH
 from matchsmith.operators import vectors as V
+from matchsmith.plans import experiments as EX
 from matchsmith.plans import features as FE
+from matchsmith.plans import model_tables as MT
 from matchsmith.plans import models as MD
 from matchsmith.plans import oracle as O
 from matchsmith.plans.catalog import register
 from matchsmith.plans.catalog_more import _SPLITS_CTE
-from matchsmith.session import materialize, read_table, session_memo
+from matchsmith.session import materialize, read_table, scratch_path, session_memo
 from matchsmith.sources import fixtures as FX
 
 COMBOS = {"t": ["title"], "td": ["title", "description"],
@@ -300,19 +304,41 @@ def nb_gaussian_model(spark, sf):
 
 
 def _model_data(spark, sf):
-    f, plan = _features(spark, sf)
-    names = [f"{a}_{m}" for a, m in plan]
-    data = MD.assemble(f, names).select("split", "pair_id", "label", "features").cache()
-    return data, names
+    """Assembled similarity features, stored once: the ML vector, the same numbers as ``values``, and
+    class weights."""
+    def build():
+        f, plan = _features(spark, sf)
+        names = [f"{a}_{m}" for a, m in plan]
+        data = MD.assemble(f, names).withColumn("values", vector_to_array("features"))
+        data = MD.balanced_weights(data, F.col("split") == "train")
+        return materialize(EX.packed(data.select("split", "pair_id", "label", "features", "values", "weight"))), names
+    return session_memo(spark, ("model_data", sf), build)
+
+
+@register("model_matrix", O.with_fixtures(*_GAUSS_CTES[:-2]) + "\nSELECT split, pair_id, CAST(label AS DOUBLE) AS label, "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in _FEAT_NAMES) + " FROM filled")
+def model_matrix(spark, sf):
+    """The assembled vectors, place by place: missing measures are 0."""
+    data, names = _model_data(spark, sf)
+    return data.select("split", "pair_id", "label", *[F.round(F.col("values")[i], 6).alias(c) for i, c in enumerate(names)])
+
+
+def _split(data, name):
+    return data.where(F.col("split") == name)
+
+
+def _scored(model, test, **features):
+    """Rows of the stored model's tables joined to the test rows."""
+    return (test.select("pair_id", F.col("label").cast("int").alias("label"))
+            .join(MT.predictions(model, test, "pair_id", **features), "pair_id").withColumn("score", F.round("score", 6)))
 
 
 def _predict(name):
     def run(spark, sf):
         data, _ = _model_data(spark, sf)
-        train = data.where(F.col("split") == "train")
-        test = data.where(F.col("split") == "test")
-        out, _ = MD.fit_predict(name, train, test)
-        return out.withColumn("score", F.round("score", 6))
+        train = _split(data, "train")
+        model = EX.estimator(name, {"class_weight": "none"}, train.count()).fit(train)
+        return _scored(model, _split(data, "test"), values="values")
     run.__name__ = f"{name}_predictions"
     return run
 
@@ -358,19 +384,29 @@ def nb_predictions(spark, sf):
                        F.round("score", 6).alias("score"))
 
 
-def _cooc_vectors(spark, sf):
-    """Word co-occurrence of every pair as a sparse binary vector, with balanced class weights."""
-    c, _ = _cooc_train(spark, sf)
-    return MD.balanced_weights(MD.hashed_words(c, "shared_words").withColumn("label", F.col("label").cast("double")),
-                               F.col("split") == "train")
+def _cooc_vectors(spark, sf, combo="td"):
+    """Word co-occurrence of every pair as a sparse binary vector over the words that training pairs
+    share, with class weights; and those words by place."""
+    def build():
+        c, vocab = _cooc_train(spark, sf, combo)
+        features = MT.known_features(c, F.col("split") == "train")
+        placed = MT.word_places(c.select("split", "pair_id", "shared", F.col("label").cast("double").alias("label")), features, "pair_id")
+        placed = MD.balanced_weights(placed.drop("shared"), F.col("split") == "train")
+        return MT.binary_vectors(EX.packed(placed), "places", max(1, features.count())), features.join(vocab.select("idx", "word"), "idx")
+    return session_memo(spark, ("cooc_vectors", sf, combo), build)
+
+
+def _cooc_model(spark, sf, name):
+    data, words = _cooc_vectors(spark, sf)
+    train = _split(data, "train")
+    return session_memo(spark, ("cooc_model", sf, name), lambda: EX.estimator(
+        name, {"class_weight": "none" if name == "naive_bayes" else "balanced"}, train.count()).fit(train)), data, words
 
 
 def _cooc_predict(name):
     def run(spark, sf):
-        data = _cooc_vectors(spark, sf)
-        out, _ = MD.fit_predict(name, data.where(F.col("split") == "train"), data.where(F.col("split") == "test"),
-                                weight="weight")
-        return out.withColumn("score", F.round("score", 6))
+        model, data, _ = _cooc_model(spark, sf, name)
+        return _scored(model, _split(data, "test"), places="places")
     run.__name__ = f"cooc_{name}_predictions"
     return run
 
@@ -382,62 +418,168 @@ register("cooc_forest_predictions")(_cooc_predict("random_forest"))
 register("cooc_gbt_predictions")(_cooc_predict("gradient_boosting"))
 
 
-@register("search_results")
-def search_results(spark, sf):
-    """Random search per learner on the predefined validation fold (F1 of class 1)."""
+@register("nb_top_words", O.with_fixtures(*_VEC_CTES) + """,
+co AS (SELECT s.pair_id, s.label, list_intersect(l.idx, r.idx) AS shared
+       FROM splits_v s JOIN vec l ON l.id = s.id_left AND l.combo = 'td'
+       JOIN vec r ON r.id = s.id_right AND r.combo = 'td' WHERE s.split = 'train'),
+nc AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM co),
+cnt AS (SELECT feature, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM
+        (SELECT label, unnest(shared) AS feature FROM co) x GROUP BY feature),
+w AS (SELECT v.word AS name, round(ln((coalesce(c1, 0) + 1.0) / (n1 + 2.0)) - ln((coalesce(c0, 0) + 1.0) / (n0 + 2.0)), 6) AS weight
+      FROM vocab v CROSS JOIN nc LEFT JOIN cnt ON cnt.feature = v.idx WHERE v.combo = 'td')
+SELECT CAST(row_number() OVER (ORDER BY weight DESC, name) AS INTEGER) AS rank, name, weight FROM w
+QUALIFY row_number() OVER (ORDER BY weight DESC, name) <= 100""")
+def nb_top_words(spark, sf):
+    """The 100 words that speak most for a match in Bernoulli naive Bayes, over the whole vocabulary."""
+    c, vocab = _cooc_train(spark, sf)
+    params = MD.bernoulli_nb_params(_split(c, "train"), "shared", vocab, 1.0)
+    weights = MD.bernoulli_nb_importance(params).select(F.col("feature").alias("place"), F.round("weight", 6).alias("weight"))
+    return MT.top_features(weights, vocab.select(F.col("idx").alias("place"), F.col("word").alias("name")))
+
+
+@register("top_features")
+def top_features(spark, sf):
+    """The 100 features of largest weight of every learner: words on co-occurrence, measures on the
+    similarity features."""
+    out = None
+    data, names = _model_data(spark, sf)
+    by_place = spark.createDataFrame(list(enumerate(names)), "place int, name string")
+    for learner in EX.LEARNERS[1:]:
+        model, _, words = _cooc_model(spark, sf, learner)
+        train = _split(data, "train")
+        on_measures = EX.estimator(learner, {"class_weight": "none"}, train.count()).fit(train)
+        for features, m, n in (("words", model, words.select("place", F.col("word").alias("name"))), ("measures", on_measures, by_place)):
+            top = MT.top_features(MT.importance_weights(m), n).select(F.lit(learner).alias("learner"), F.lit(features).alias("features"), "rank", "name",
+                                                                      F.round("weight", 6).alias("weight"))
+            out = top if out is None else out.unionByName(top)
+    return out
+
+
+# Settings that a search query draws for each learner (the reference draws up to 500; the cost of
+# one is in the README), and the shares of training rows on which it gives them up early.
+SEARCH_BUDGET, SEARCH_RUNGS = 6, (1 / 3, 1.0)
+
+
+def _store(spark, label):
+    return EX.ResultStore(spark, scratch_path(spark, label))
+
+
+def _search(spark, sf):
     data, _ = _model_data(spark, sf)
-    train = data.where(F.col("split") == "train")
-    valid = data.where(F.col("split") == "valid")
+    store = session_memo(spark, ("search_store", sf), lambda: _store(spark, "search"))
     rows = []
-    for name in ("logistic_regression", "decision_tree"):
-        rows += MD.random_search(name, train, valid, budget=3).rows
-    return spark.createDataFrame(rows, "learner string, setting int, params string, f1 double")
+    for learner in EX.LEARNERS:
+        fixed = {"modelType": "gaussian"} if learner == "naive_bayes" else {}
+        rows += EX.search(learner, _split(data, "train"), _split(data, "valid"), SEARCH_BUDGET, rungs=SEARCH_RUNGS, store=store, **fixed)
+    return rows
+
+
+@register("search_results")
+def search_results(spark, sf):
+    """Random search of every learner over its whole grid, on the predefined validation fold (F1 of
+    class 1): one row a fit, with the share of training rows it saw."""
+    rows = [(r["learner"], r["setting"], EX.text_of(r["params"]), r["rung"], float(r["share"]), r["f1"]) for r in _search(spark, sf)]
+    return spark.createDataFrame(rows, "learner string, setting int, params string, rung int, share double, f1 double")
 
 
 @register("run_report")
 def run_report(spark, sf):
-    """One row per learner: best setting, F1 on validation, test precision / recall / F1,
-    training seconds and the top features."""
+    """One row per learner: the best setting of the search, refitted on all training rows, F1 on
+    validation, test precision / recall / F1, training rows and seconds, and its top 100 features."""
     data, names = _model_data(spark, sf)
-    train = data.where(F.col("split") == "train")
-    valid = data.where(F.col("split") == "valid")
-    test = data.where(F.col("split") == "test")
-    rows = []
-    for name in ("logistic_regression", "decision_tree"):
-        res = MD.random_search(name, train, valid, budget=2)
-        best = max(res.rows, key=lambda r: r[3])
-        pred, info = MD.fit_predict(name, train, test, res.best)
-        pc = M.per_class_metrics(pred, "label", "prediction").where(F.col("class") == 1) \
-            .select("precision", "recall", "f1").first()
-        top = MD.feature_importance(info["model"], names, 100)
-        rows.append((name, best[2], best[3], float(pc[0] or 0.0), float(pc[1] or 0.0),
-                     float(pc[2] or 0.0), info["train_seconds"],
-                     ",".join(f"{n}:{w:.4f}" for n, w in top[:5])))
-    return spark.createDataFrame(rows, "learner string, params string, valid_f1 double, "
-                                 "precision double, recall double, f1 double, "
-                                 "train_seconds double, top_features string")
-
-
-@register("gnb_predictions")
+    by_place = spark.createDataFrame(list(enumerate(names)), "place int, name string")
+    train, test = _split(data, "train"), _split(data, "test")
+    found, n, rows = _search(spark, sf), train.count(), []
+    for learner in EX.LEARNERS:
+        best = EX.best_of([r for r in found if r["learner"] == learner])
+        fixed = {"modelType": "gaussian"} if learner == "naive_bayes" else {}
+        t0 = time.time()
+        model = EX.estimator(learner, best["params"], n, **fixed).fit(train)
+        seconds = time.time() - t0
+        m = EX.f1_of(model, test)
+        top = [] if learner == "naive_bayes" else MT.top_features(MT.importance_weights(model), by_place).orderBy("rank").collect()  # 100 rows
+        rows.append((learner, EX.text_of(best["params"]), best["f1"], m["precision"], m["recall"], m["f1"], n, seconds,
+                     ",".join(f"{r['name']}:{r['weight']:.4f}" for r in top)))
+    return spark.createDataFrame(rows, "learner string, params string, valid_f1 double, precision double, recall double, "
+                                 "f1 double, train_rows long, train_seconds double, top_features string")
+
+
+@register("gnb_predictions", O.with_fixtures(*_GAUSS_CTES) + """,
+smooth AS (SELECT 1e-9 * greatest(""" + ", ".join(f"var_pop({c})" for c in _FEAT_NAMES) + """) AS s FROM filled WHERE split = 'train'),
+prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM filled WHERE split = 'train')) AS p FROM filled WHERE split = 'train' GROUP BY label),
+dens AS (SELECT u.pair_id, g.label, max(p.p) + sum(-0.5 * ln(2 * pi() * (g.var + s.s)) - (u.value - g.mean) ** 2 / (2 * (g.var + s.s))) AS d
+         FROM unp u JOIN gauss g ON g.feature = u.feature JOIN prior p ON p.label = g.label CROSS JOIN smooth s WHERE u.split = 'test'
+         GROUP BY u.pair_id, g.label),
+sc AS (SELECT pair_id, max(CASE WHEN label = 0 THEN d END) AS s0, max(CASE WHEN label = 1 THEN d END) AS s1 FROM dens GROUP BY pair_id)
+SELECT f.pair_id, CAST(f.label AS INTEGER) AS label, CAST(CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS INTEGER) AS prediction,
+       round(CASE WHEN s0 - s1 > 700 THEN 0.0 ELSE 1 / (1 + exp(s0 - s1)) END, 6) AS score
+FROM feat_v f JOIN sc ON sc.pair_id = f.pair_id WHERE f.split = 'test'""")
 def gnb_predictions(spark, sf):
-    """Gaussian naive Bayes (Spark ML) on the similarity features of the train split."""
-    data, _ = _model_data(spark, sf)
-    model = MD.spark_nb("gaussian").fit(data.where(F.col("split") == "train"))
-    pred = model.transform(data.where(F.col("split") == "test"))
-    return pred.select("pair_id", F.col("label").cast("int").alias("label"),
-                       F.col("prediction").cast("int").alias("prediction"),
-                       F.round(MD.score_column(pred), 6).alias("score"))
+    """Gaussian naive Bayes on the similarity features: fitted into a parameter table on the train
+    split, the test split scored from that table."""
+    f, plan = _features(spark, sf)
+    names = [f"{a}_{m}" for a, m in plan]
+    f = materialize(f)
+    params = materialize(MD.gaussian_nb_params(_split(f, "train"), names))
+    pred = MD.gaussian_nb_predict(_split(f, "test"), "pair_id", names, params, _split(f, "train"))
+    return pred.select("pair_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
+                       F.round("score", 6).alias("score"))
+
+
+_RUN_SCHEMA = ("file string, features string, learner string, train_rows long, flipped long, precision double, recall double, "
+               "f1 double, train_seconds double")
+
+
+# Boosting rounds of an experiment's cell (100 in the searches; the README has the cost of both).
+EXPERIMENT_ROUNDS = 20
+
+
+def _fit_cell(learner, train, test, setting, **fixed):
+    n, t0 = train.count(), time.time()
+    if learner == "gradient_boosting":
+        fixed["maxIter"] = EXPERIMENT_ROUNDS
+    model = EX.estimator(learner, setting, n, **fixed).fit(train)
+    return {"train_rows": n, **EX.f1_of(model, test), "train_seconds": time.time() - t0}
+
+
+@register("learning_curve")
+def learning_curve(spark, sf):
+    """Learning curve: every learner on every feature combination and training file, F1 of class 1 on the
+    test pairs. The files are nested shares of the training pairs; features are word co-occurrence of the
+    three text combinations, and the similarity measures."""
+    files = {"small": 0.25, "medium": 0.5, "large": 1.0}
+    tables = {c: _cooc_vectors(spark, sf, c)[0] for c in COMBOS} | {"measures": _model_data(spark, sf)[0]}
+
+    def fit(cell):
+        data = tables[cell["features"]]
+        fixed = {"modelType": "gaussian"} if cell["learner"] == "naive_bayes" and cell["features"] == "measures" else {}
+        train = EX._share_of(_split(data, "train"), "pair_id", files[cell["file"]])
+        setting = {"class_weight": "none" if cell["learner"] == "naive_bayes" else "balanced"}
+        return {**_fit_cell(cell["learner"], train, _split(data, "test"), setting, **fixed), "flipped": 0}
+
+    cells = [{"file": f, "features": c, "learner": n} for f in files for c in tables for n in EX.LEARNERS]
+    store = session_memo(spark, ("curve_store", sf), lambda: _store(spark, "learning-curve"))
+    rows = EX.experiment(cells, fit, store)
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in _RUN_SCHEMA.split(", ")) for r in rows], _RUN_SCHEMA)
 
 
 @register("noise_experiment")
 def noise_experiment(spark, sf):
-    """Label-noise experiment: a matcher trained on each noised copy of the train split
-    (10 settings), F1 of class 1 on the test split."""
+    """Label-noise experiment: every learner trained on each noised copy of the train split (10
+    settings) over word co-occurrence of all text attributes, F1 of class 1 on the clean test pairs."""
     from matchsmith.operators import splits as SP
-    data, _ = _model_data(spark, sf)
-    train_labels = FX.splits(spark, sf).where(F.col("split") == "train").select("pair_id", "label")
-    noised = SP.label_noise_grid(train_labels, "pair_id", "label")
-    rows = MD.noise_experiment(data, noised, learner="decision_tree")
-    return spark.createDataFrame(rows, "setting string, learner string, flipped long, "
-                                       "precision double, recall double, f1 double, "
-                                       "train_seconds double")
+    data, _ = _cooc_vectors(spark, sf, "tdb")
+    labels = FX.splits(spark, sf).where(F.col("split") == "train").select("pair_id", "label")
+    noised = session_memo(spark, ("noised", sf), lambda: materialize(
+        SP.label_noise_grid(labels, "pair_id", "label").select("setting", "pair_id", F.col("label").cast("double").alias("label"), "flipped")))
+    flips = {r[0]: int(r[1]) for r in noised.groupBy("setting").agg(F.sum(F.col("flipped").cast("long"))).collect()}  # a row a setting
+    copies = {s: materialize(EX.packed(_split(data, "train").drop("label", "weight").join(
+        noised.where(F.col("setting") == s).select("pair_id", "label"), "pair_id"))) for s in sorted(flips)}
+
+    def fit(cell):
+        return {**_fit_cell(cell["learner"], copies[cell["file"]], _split(data, "test"), {"class_weight": "none"}), "flipped": flips[cell["file"]]}
+
+    cells = [{"file": s, "features": "tdb", "learner": n} for s in sorted(flips) for n in EX.LEARNERS]
+    store = session_memo(spark, ("noise_store", sf), lambda: _store(spark, "noise"))
+    rows = EX.experiment(cells, fit, store)
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in _RUN_SCHEMA.split(", ")) for r in rows], _RUN_SCHEMA)

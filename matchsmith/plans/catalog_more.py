@@ -193,6 +193,13 @@ def split_valid(spark, sf):
     return va
 
 
+@register("seeded_order", O.with_fixtures() + """
+SELECT pair_id, row_number() OVER (ORDER BY """ + O.seeded(CFG.seed, "pair_id") + """, pair_id) - 1 AS position FROM pairs_v""")
+def seeded_order(spark, sf):
+    """Each pair's place in the seeded shuffle."""
+    return SP.seeded_positions(FX.pairs(spark, sf).select("pair_id"), "pair_id", CFG.seed)
+
+
 @register("stratified_folds", O.with_fixtures(_SPLITS_CTE) + """
 SELECT split, pair_id, label, ntile(5) OVER (PARTITION BY label ORDER BY
        CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END, pair_id) - 1 AS fold

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from matchsmith.operators.metrics import per_class_metrics
+from matchsmith.sources import io as IO
 
 # The grids that the searches draw from. C is the inverse penalty of a row, so
 # regParam is 1 / (C rows); class weights weigh both classes alike or not at all.
@@ -49,6 +50,8 @@ _MAKE: dict[str, Callable] = {
     "gradient_boosting": lambda: GBTClassifier(maxIter=100, seed=42),
 }
 LEARNERS = tuple(GRIDS)
+# Settings that a learner has where a run names none.
+DEFAULTS = {"logistic_regression": {"C": 1.0}, "linear_svm": {"C": 1.0}}
 # Rows that one partition of a stored vector table holds: a fit is many short jobs over them.
 ROWS_OF_A_PARTITION = 100_000
 
@@ -72,36 +75,26 @@ def settings(learner: str, budget: int, seed: int = 42) -> list[dict]:
 
 def estimator(learner: str, setting: dict, rows: int, balanced: str = "weight", **fixed):
     """The Spark ML estimator of a setting for ``rows`` training rows; ``fixed`` overrides."""
-    est, params = _MAKE[learner](), dict(setting)
+    est, params = _MAKE[learner](), {**DEFAULTS.get(learner, {}), **setting}
     if "C" in params:
         params["regParam"] = 1.0 / (params.pop("C") * max(rows, 1))
     if params.pop("class_weight", "none") == "balanced":
         est = est.setWeightCol(balanced)
-    for name, value in {**params, **fixed}.items():
-        est = est.set(est.getParam(name), value)
-    return est
+    return est.copy({est.getParam(name): value for name, value in {**params, **fixed}.items()})
 
 
 @dataclass
 class ResultStore:
-    """Finished runs as rows ``run, result`` (JSON) under a path; each append is one small job whose
-    files appear when it commits. A run appended twice counts once (the first row by order)."""
+    """Finished runs as rows under a path, each added under its name (``io.append_run``)."""
 
     spark: SparkSession
     path: str
 
     def read(self) -> DataFrame:
-        try:
-            rows = self.spark.read.schema("run string, result string").parquet(self.path)
-            return rows.groupBy("run").agg(F.min("result").alias("result"))
-        except Exception as e:  # no run was ever stored
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], "run string, result string")
+        return IO.read_runs(self.spark, self.path, "result string")
 
     def append(self, run: str, result: dict) -> None:
-        one = self.spark.createDataFrame([(run, json.dumps(result, sort_keys=True))], "run string, result string")
-        one.coalesce(1).write.mode("append").parquet(self.path)
+        IO.append_run(self.spark.createDataFrame([(json.dumps(result, sort_keys=True),)], "result string").coalesce(1), self.path, run)
 
     def held(self, runs: list[str]) -> dict[str, dict]:
         """Results of the named runs that are stored (at most one row a name)."""

@@ -48,7 +48,7 @@ def binary_vectors(df: DataFrame, places: str, width: int, out: str = "features"
 
 def stored(model, label: str = "model") -> str:
     """Path of the saved model in the shared folder."""
-    path = scratch_path(model._java_obj and SparkSession.getActiveSession(), label)
+    path = scratch_path(SparkSession.getActiveSession(), label)
     model.write().save(path)
     return path
 
@@ -68,7 +68,7 @@ def tree_nodes(path: str) -> DataFrame:
     spark = SparkSession.getActiveSession()
     data = spark.read.parquet(f"{path}/data")
     if "nodeData" in data.columns:
-        weights = spark.read.parquet(f"{path}/treesMetadata").select(F.col("treeID").alias("tree"), F.col("weights").alias("tree_weight"))
+        weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "tree_weight").drop("metadata")
         data = data.select(F.col("treeID").alias("tree"), "nodeData.*").join(weights, "tree")
     else:
         data = data.withColumns({"tree": F.lit(0), "tree_weight": F.lit(1.0)})

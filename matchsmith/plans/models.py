@@ -1,44 +1,21 @@
-"""Matchers on Spark ML: feature assembly, naive Bayes parameters as tables, learners, random
-search on a predefined validation fold, refit, scored predictions and run reports.
+"""Matchers: feature assembly, class weights, and naive Bayes as parameter tables.
 
-Distributed: training and scoring are Spark ML jobs over partitioned DataFrames. Driver-side
-state is only what Spark ML keeps there anyway (coefficients, trees) and the small list of
-parameter settings.
+Naive Bayes, Bernoulli over words and Gaussian over measures, is fitted by aggregations into parameter
+tables and scored by joins with them. The other learners are Spark ML's (``experiments``); their
+fitted models become tables in ``model_tables``.
 """
 
 from __future__ import annotations
 
-import random
-import time
-from dataclasses import dataclass
+import math
 
-from pyspark.ml import Estimator
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, NaiveBayes, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Learner grids (our parameter names; Spark ML has no twin for every scikit-learn knob).
-LEARNERS = {
-    "logistic_regression": (
-        lambda: LogisticRegression(maxIter=100),
-        {"regParam": [1e-4, 1e-3, 1e-2, 1e-1, 1.0], "elasticNetParam": [0.0]}),
-    "linear_svm": (
-        lambda: LinearSVC(maxIter=100),
-        {"regParam": [1e-4, 1e-3, 1e-2, 1e-1, 1.0]}),
-    "decision_tree": (
-        lambda: DecisionTreeClassifier(seed=42),
-        {"maxDepth": [3, 5, 10, 20], "minInstancesPerNode": [1, 2, 4]}),
-    "random_forest": (
-        lambda: RandomForestClassifier(numTrees=100, seed=42),
-        {"maxDepth": [5, 10], "featureSubsetStrategy": ["sqrt", "log2"]}),
-    "gradient_boosting": (
-        lambda: GBTClassifier(maxIter=100, seed=42),
-        {"stepSize": [0.05, 0.1, 0.3], "maxDepth": [3, 5], "subsamplingRate": [0.8, 1.0]}),
-}
+from matchsmith.operators.joins import bounded_broadcast
 
 
 def assemble(df: DataFrame, feature_cols: list[str], out: str = "features") -> DataFrame:
@@ -48,16 +25,6 @@ def assemble(df: DataFrame, feature_cols: list[str], out: str = "features") -> D
     return va.transform(filled).withColumn("label", F.col("label").cast("double"))
 
 
-# Places of a hashed word vector: words share a place only beyond this vocabulary size's reach, and
-# no vocabulary goes to the driver.
-HASHED_WORDS = 1 << 14
-
-
-def hashed_words(df: DataFrame, words: str, out: str = "features", places: int = HASHED_WORDS) -> DataFrame:
-    """Sparse binary vector of a word array, each word at its hash's place."""
-    return HashingTF(numFeatures=places, binary=True, inputCol=words, outputCol=out).transform(df)
-
-
 def balanced_weights(df: DataFrame, train, label: str = "label", out: str = "weight") -> DataFrame:
     """Weight n / (classes x rows of the class) over the rows of ``train``, so that both classes
     count alike in a fit."""
@@ -68,48 +35,6 @@ def balanced_weights(df: DataFrame, train, label: str = "label", out: str = "wei
     return df.withColumn(out, weight)
 
 
-def f1_class1() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
-                                             labelCol="label", predictionCol="prediction")
-
-
-def param_maps(est: Estimator, grid: dict, budget: int, seed: int = 42) -> list[dict]:
-    """Up to ``budget`` distinct settings drawn from the grid with a seeded generator."""
-    keys = list(grid)
-    combos = [[]]
-    for k in keys:
-        combos = [c + [v] for c in combos for v in grid[k]]
-    rnd = random.Random(seed)
-    chosen = combos if len(combos) <= budget else rnd.sample(combos, budget)
-    return [{est.getParam(k): v for k, v in zip(keys, c)} for c in chosen]
-
-
-@dataclass
-class SearchResult:
-    learner: str
-    best: dict
-    rows: list[tuple]
-
-
-def random_search(name: str, train: DataFrame, valid: DataFrame, budget: int = 4,
-                  seed: int = 42) -> SearchResult:
-    """Fit every drawn setting on train rows only (``fitMultiple``) and score F1 of class 1 on
-    the fixed validation fold; keep the best."""
-    make, grid = LEARNERS[name]
-    est = make()
-    maps = param_maps(est, grid, budget, seed)
-    ev = f1_class1()
-    rows, best, best_f1 = [], maps[0], -1.0
-    for idx, model in est.fitMultiple(train, maps):
-        f1 = ev.evaluate(model.transform(valid))
-        settings = ";".join(f"{p.name}={v}" for p, v in sorted(maps[idx].items(),
-                                                               key=lambda kv: kv[0].name))
-        rows.append((name, idx, settings, float(f1)))
-        if f1 > best_f1:
-            best, best_f1 = maps[idx], f1
-    return SearchResult(name, best, rows)
-
-
 def score_column(predictions: DataFrame) -> F.Column:
     """Probability of class 1 where the model has one, else the raw margin of class 1."""
     if "probability" in predictions.columns:
@@ -117,35 +42,6 @@ def score_column(predictions: DataFrame) -> F.Column:
     return vector_to_array("rawPrediction").getItem(1)
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, params: dict | None = None,
-                key: str = "pair_id", weight: str | None = None) -> tuple[DataFrame, dict]:
-    make, _ = LEARNERS[name]
-    est = make()
-    if weight:
-        est = est.setWeightCol(weight)
-    if params:
-        est = est.copy(params)
-    t0 = time.time()
-    model = est.fit(train)
-    t_fit = time.time() - t0
-    pred = model.transform(test)
-    out = pred.select(key, F.col("label").cast("int").alias("label"),
-                      F.col("prediction").cast("int").alias("prediction"),
-                      score_column(pred).alias("score"))
-    return out, {"model": model, "train_seconds": t_fit}
-
-
-def feature_importance(model, names: list[str], top: int = 100) -> list[tuple[str, float]]:
-    """Coefficients (linear) or impurity importances (trees) by feature name, the ``top``
-    largest first (signed: a linear model's negative weights come last)."""
-    if hasattr(model, "coefficients"):
-        w = model.coefficients.toArray()
-    else:
-        w = model.featureImportances.toArray()
-    pairs = sorted(zip(names, [float(x) for x in w]), key=lambda kv: -kv[1])
-    return pairs[:top]
-
-
 # ------------------------------------------------------------------------------ naive Bayes
 
 def bernoulli_nb_params(df: DataFrame, idx_col: str, vocab_size_df: DataFrame,
@@ -201,32 +97,38 @@ def gaussian_nb_params(df: DataFrame, features: list[str]) -> DataFrame:
                                                 F.var_pop("value").alias("var"))
 
 
-def spark_nb(model_type: str = "bernoulli", smoothing: float = 1.0) -> NaiveBayes:
-    return NaiveBayes(modelType=model_type, smoothing=smoothing)
+# Share of the largest variance of any feature that is added to all variances, so that a constant
+# feature of a class has a density (the usual smoothing of Gaussian naive Bayes).
+VAR_SMOOTHING = 1e-9
+
+
+def gaussian_nb_predict(df: DataFrame, key: str, features: list[str], params: DataFrame, train: DataFrame) -> DataFrame:
+    """Score Gaussian naive Bayes from its parameter table: the log densities of a row's unpivoted
+    features, summed by class, and the class's log share of the training rows. Missing features
+    count as 0. Adds ``prediction`` and ``score`` (probability of class 1)."""
+    everywhere = train.na.fill(0.0, subset=features).agg(F.greatest(*[F.var_pop(c) for c in features], F.lit(0.0)).alias("v"))
+    smooth = float(everywhere.head()["v"] or 0.0) * VAR_SMOOTHING  # one number
+    prior = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    prior = prior.join(prior.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1)), F.col("one") == F.lit(1)) \
+        .select("label", F.log(F.col("n") / F.col("total")).alias("prior"))
+    stack = ", ".join(f"'{c}', coalesce(CAST(`{c}` AS DOUBLE), 0.0)" for c in features)
+    long = df.selectExpr(key, f"stack({len(features)}, {stack}) AS (feature, value)")
+    var = F.col("var") + F.lit(smooth)
+    log_density = -0.5 * F.log(2 * F.lit(math.pi) * var) - (F.col("value") - F.col("mean")) ** 2 / (2 * var)
+    by_class = (long.join(bounded_broadcast(params), "feature").groupBy(key, "label").agg(F.sum(log_density).alias("s"))
+                .join(F.broadcast(prior), "label").withColumn("s", F.col("s") + F.col("prior")))  # a row a class
+    w = by_class.groupBy(key).agg(F.max(F.when(F.col("label") == 0, F.col("s"))).alias("s0"),
+                                  F.max(F.when(F.col("label") == 1, F.col("s"))).alias("s1"))
+    return df.join(w.select(key, F.when(F.col("s1") > F.col("s0"), 1).otherwise(0).alias("prediction"),
+                            (1 / (1 + F.exp(F.col("s0") - F.col("s1")))).alias("score")), key)
 
 
-def noise_experiment(data: DataFrame, noised_labels: DataFrame, learner: str = "logistic_regression",
-                     key: str = "pair_id", setting: str = "setting") -> list[tuple]:
-    """Train ``learner`` on every noised copy of the training rows and score F1 of class 1 on
-    the clean test rows: one Spark ML fit per setting (a driver loop over the small list of
-    settings). ``data`` has ``split, key, label, features``; ``noised_labels`` has
-    ``setting, key, label, flipped`` for the training rows."""
-    from matchsmith.operators.metrics import per_class_metrics
-    from matchsmith.session import materialize
-    noised = materialize(noised_labels.select(setting, key, "label", "flipped"))
-    flips = {r[0]: r[1] for r in noised.groupBy(setting)
-             .agg(F.sum(F.col("flipped").cast("long"))).collect()}   # one row per setting
-    train = data.where(F.col("split") == "train").drop("label").cache()
-    test = data.where(F.col("split") == "test").cache()
-    out = []
-    for s in sorted(flips):
-        lab = noised.where(F.col(setting) == s).select(
-            key, F.col("label").cast("double").alias("label"))
-        pred, info = fit_predict(learner, train.join(lab, key), test)
-        m = per_class_metrics(pred, "label", "prediction").where(F.col("class") == 1).first()
-        out.append((s, learner, int(flips[s] or 0), float(m.precision if m else 0.0),
-                    float(m.recall if m else 0.0), float(m.f1 if m else 0.0),
-                    float(info["train_seconds"])))
-    train.unpersist()
-    test.unpersist()
-    return out
+def bernoulli_nb_importance(params: DataFrame) -> DataFrame:
+    """``feature, weight``: how much more likely class 1 holds a word than class 0, in logs."""
+    by_class = params.where("feature >= 0").groupBy("feature").agg(
+        F.max(F.when(F.col("label") == 1, F.col("log_prob"))).alias("p1"), F.max(F.when(F.col("label") == 0, F.col("log_prob"))).alias("p0"))
+    return by_class.select("feature", (F.col("p1") - F.col("p0")).alias("weight"))
+
+
+def spark_nb(model_type: str = "bernoulli", smoothing: float = 1.0) -> NaiveBayes:
+    return NaiveBayes(modelType=model_type, smoothing=smoothing)

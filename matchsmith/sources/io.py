@@ -4,6 +4,10 @@ lines, result reports. All are DataFrame readers / writers; nothing passes throu
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -79,9 +83,9 @@ def format_pair_lines(pairs: DataFrame) -> DataFrame:
                                     F.col("label").cast("string")).alias("line"))
 
 
-def parse_pair_lines(lines: DataFrame, col: str = "line") -> DataFrame:
+def parse_pair_lines(lines: DataFrame, keep: list[str] | None = None, col: str = "line") -> DataFrame:
     parts = F.split(F.col(col), "#")
-    return lines.select(F.col(col).alias("line"),
+    return lines.select(*(keep or []), F.col(col).alias("line"),
                         parts.getItem(0).cast("long").alias("id_left"),
                         parts.getItem(1).cast("long").alias("id_right"),
                         parts.getItem(2).cast("int").alias("label"))
@@ -107,19 +111,59 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return dense_positions(raw, ["_blk", "_mid"], ["file"], "line_no").drop("_blk", "_mid")
 
 
-def discover_settings(spark: SparkSession, path_glob: str) -> DataFrame:
-    """One read for all training files; category and size come from the file name
-    ``<category>_train_<size>...``."""
-    df = spark.read.text(path_glob).select(F.col("_metadata.file_name").alias("file")).distinct()
-    return df.select("file",
-                     F.regexp_extract("file", r"^([^_]+)_train_", 1).alias("category"),
-                     F.regexp_extract("file", r"_train_([^_.]+)", 1).alias("size"))
+# A training file's settings stand in its name, or its folder's: ``<category>_train_<size>...``.
+SETTING_NAME = r"([^/_]+)_train_([^/_.]+)[^/]*(?:/[^/]*)?$"
 
 
-def append_result_row(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+def with_settings(files: DataFrame) -> DataFrame:
+    """A file read with the columns ``file, category, size`` parsed from each file's path. A filter
+    on them leaves other files unread: Spark applies it to the file list, before any scan."""
+    path = F.col("_metadata.file_path")
+    return files.select("*", path.alias("file"), F.regexp_extract(path, SETTING_NAME, 1).alias("category"),
+                        F.regexp_extract(path, SETTING_NAME, 2).alias("size"))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """One line per run, fields separated by ``#####``."""
-    df.coalesce(1).write.mode("append").option("sep", REPORT_SEPARATOR).csv(path)
+def discover_settings(spark: SparkSession, path_glob: str) -> DataFrame:
+    """``file, category, size`` of all training files: one listing, no rows are read for it but to
+    name the files that hold any."""
+    return with_settings(spark.read.text(path_glob)).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "category", "size").distinct()
+
+
+# ------------------------------------------------------------------------------ reports
+
+def append_run(df: DataFrame, path: str, run: str, format: str = "parquet", **options) -> bool:
+    """Add one run's rows to a report folder, as many tasks write them. They are staged aside and appear by
+    one rename under the run's name, so readers see all of a run or nothing, runs may be added side
+    by side, and a run that is added again (a retry) changes nothing. True if this call added it."""
+    spark = df.sparkSession
+    staged, target = f"{path}/_staging/{uuid.uuid4().hex}", f"{path}/run={quote(run, safe='')}"
+    df.write.format(format).options(**options).save(staged)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    src, dst = hadoop.Path(staged), hadoop.Path(target)
+    fs = dst.getFileSystem(conf)
+    try:  # a rename that fails if the run is there
+        files = hadoop.FileContext.getFileContext(fs.getUri(), conf)
+        files.rename(fs.makeQualified(src), fs.makeQualified(dst), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        return True
+    except Py4JJavaError:
+        if not fs.exists(dst):
+            raise
+        return False
+    finally:
+        fs.delete(src, True)
+
+
+def read_runs(spark: SparkSession, path: str, schema: str, format: str = "parquet", **options) -> DataFrame:
+    """Rows of all runs of a report folder, with ``run``; no rows if nothing was ever added."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.read.format(format).schema(f"{schema}, run string").options(**options).load(path)
+
+
+def append_result_row(df: DataFrame, path: str, run: str | None = None) -> None:
+    append_run(df, path, run or uuid.uuid4().hex, "csv", header=True)
+
+
+def write_report(df: DataFrame, path: str, run: str | None = None) -> None:
+    """One line per row, fields separated by ``#####``, added under the run's name (by default a new one)."""
+    append_run(df, path, run or uuid.uuid4().hex, "csv", sep=REPORT_SEPARATOR)

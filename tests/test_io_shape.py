@@ -29,8 +29,31 @@ def test_csv_quotes_nulls_and_report_separator(spark):
     assert back.a == 'say "hi", ok' and back.b == ""
     r = os.path.join(_tmp(), "report")
     IO.write_report(spark.createDataFrame([("lr", 0.5)], "m string, f1 double"), r)
-    text = "".join(open(os.path.join(r, f)).read() for f in os.listdir(r) if f.startswith("part"))
-    assert text.strip() == "lr#####0.5"
+    text = [x.value for x in spark.read.text(r).collect()]
+    assert text == ["lr#####0.5"]
+
+
+def test_runs_are_added_once_and_side_by_side(spark):
+    from multiprocessing.pool import ThreadPool
+    path = os.path.join(_tmp(), "runs")
+    assert IO.read_runs(spark, path, "n long").count() == 0
+    with ThreadPool(4) as pool:  # five runs, each added three times
+        added = pool.map(lambda i: IO.append_run(spark.range(i % 5, i % 5 + 3).toDF("n"), path, f"run/{i % 5} ="), range(15))
+    assert sum(added) == 5
+    got = sorted((r.run, r.n) for r in IO.read_runs(spark, path, "n long").collect())
+    assert got == sorted((f"run/{i} =", n) for i in range(5) for n in range(i, i + 3))
+
+
+def test_settings_prune_files(spark):
+    base = _tmp()
+    for name in ("shoes_train_small", "shoes_train_large.txt", "cameras_train_small"):
+        spark.createDataFrame([("1#2#1",)], "value string").write.text(os.path.join(base, name))
+    files = IO.with_settings(spark.read.text(os.path.join(base, "*_train_*/")))
+    assert {(r.category, r.size) for r in files.collect()} == {("shoes", "small"), ("shoes", "large"), ("cameras", "small")}
+    small = files.where("category = 'shoes' and size = 'small'")
+    assert small.count() == 1
+    few = small.select("value").collect()
+    assert [r.value for r in few] == ["1#2#1"]
 
 
 def test_numbered_lines_and_settings(spark):

@@ -85,3 +85,38 @@ def test_set_measures_and_numeric_norm(spark):
     assert r[0].d == pytest.approx(4 / 6) and r[0].o == pytest.approx(2 / 3)
     assert r[0].n == pytest.approx(1 - 1 / 5) and r[1].n == 1.0
     assert r[0].l == pytest.approx(1 - 3 / 5) and r[0].q == 7
+
+
+def test_qgrams_in_one_pass(spark):
+    texts = ["", None, "a", "ab", "abc", "aaaa", "é😀x", "\u0000 \U0010ffff", "wörd word"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for q in (1, 2, 3):
+        want = [[p[i:i + q] for i in range(len(p) - q + 1)] if t else [] for t in texts
+                for p in ["#" * (q - 1) + (t or "") + "$" * (q - 1)]]
+        r = df.select(S.qgrams(F.col("s"), q).alias("g"), S.qgram_codes(F.col("s"), q).alias("c")).collect()
+        assert [x.g for x in r] == want
+
+        def code(g):
+            n = 0
+            for ch in g:
+                n = n << 21 | ord(ch)
+            return n
+        assert [x.c for x in r] == [[code(g) for g in w] for w in want]
+
+
+def test_features_of_a_very_long_description(spark):
+    """200,000 characters: token sets take one pass, not a pass a character."""
+    import time
+    from matchsmith.plans import features as FE
+    long = "".join(chr(97 + i * i % 26) + (" " if i % 7 == 0 else "") for i in range(170_000))
+    ent = spark.createDataFrame([(1, long), (2, long[:-50_000] + "x" * 50_000), (3, None)], "id long, description string")
+    pairs = spark.createDataFrame([("a", 1, 2, long, long[:-50_000] + "x" * 50_000), ("b", 1, 3, long, None), ("c", 2, 2, "s", "s")],
+                                  "pair_id string, id_left long, id_right long, description_left string, description_right string")
+    plan = [("description", "jaccard_qgm3"), ("description", "cosine_dlm")]
+    t0 = time.time()
+    got = {r.pair_id: (r.description_jaccard_qgm3, r.description_cosine_dlm) for r in
+           FE.pair_features(pairs, plan, ["pair_id"], entities=ent).collect()}
+    assert time.time() - t0 < 60
+    sets = [{p[i:i + 3] for i in range(len(p) - 2)} for p in ("##" + t + "$$" for t in (long, long[:-50_000] + "x" * 50_000))]
+    assert got["a"][0] == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+    assert got["b"] == (None, None) and got["c"] == (1.0, 1.0)
