@@ -58,6 +58,9 @@ WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar foo
                   "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
                   "newsletter subscribe subscription signup comment comments reply replies disqus related recommended share sharing "
                   "social widget pagination pager toolbar login search copyright skip".split())
+# Such words that also name a subject: inside an article they count only as a whole class.
+TOPICS = frozenset("search login share social menu related recommended navigation notice notices promotion subscription consent "
+                   "copyright skip".split())
 # Beginnings of such words in compounds (``commentlist``, ``footerlinks``).
 BEGINNINGS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "footer", "sponsor", "subscri", "navig", "popup")
 # Such words that an article's own head may bear.
@@ -65,6 +68,8 @@ PAGE_WORDS = frozenset(("header", "masthead", "topbar"))
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"<[A-Za-z/!?]")
 _SPACE = re.compile(r"\s+")
+_NO_COMMENT = re.compile(r"<!--+>")  # a comment at once at its end
+_COMMENT_END = re.compile(r"--!?>|<!--+>")
 
 
 class Lines(HTMLParser):
@@ -137,21 +142,25 @@ class Lines(HTMLParser):
 
     def _named_apart(self, tag, attrs) -> int:
         """2 for an element that names itself something other than the article, 1 if only a part of
-        a class or id does."""
+        a class does. A part of an id, or of a heading's or paragraph's class, says nothing."""
         if tag in ("html", "body", "main"):
             return 0
         if tag in WRAPPERS or (tag == "header" and not self.own):
             return 2
         found = 0
+        prose = tag == "p" or tag in HEADINGS  # sites make their ids and classes from titles and topics
         for name, value in attrs:
             if not value:
                 continue
             if name == "role" and value.strip().lower() in ROLES:
                 return 2
-            if name == "class" or name == "id":
+            if name == "class" or (name == "id" and not prose):
                 for whole in value.split():
                     words = {w.lower() for w in _SPLIT.split(whole)}
-                    if words & WORDS or any(w.startswith(BEGINNINGS) for w in words) or (not self.own and tag != "article" and words & PAGE_WORDS):
+                    if len(words) > 1 and (prose or name == "id"):
+                        continue  # a part of such a name says nothing
+                    known = WORDS - TOPICS if self.own and (len(words) > 1 or name == "id") else WORDS
+                    if words & known or any(w.startswith(BEGINNINGS) for w in words) or (not self.own and tag != "article" and words & PAGE_WORDS):
                         found = max(found, 2 if len(words) == 1 else 1)
         return found
 
@@ -190,7 +199,20 @@ class Lines(HTMLParser):
                 self.linked += len(data.strip())
 
 
+def _in_script(html: str, at: int) -> bool:
+    """Whether a place lies inside a script or style, whose text is no markup."""
+    low = html[:at].lower()
+    return any(low.rfind(f"<{tag}") > low.rfind(f"</{tag}") for tag in ("script", "style"))
+
+
 def lines_of(html: str) -> Lines:
+    last = max((m.end() for m in _COMMENT_END.finditer(html)), default=0)
+    opened = html.find("<!--", last)  # a comment without an end runs to the page's end, as in a browser
+    while opened >= 0 and _in_script(html, opened):
+        opened = html.find("<!--", opened + 4)
+    if opened >= 0:
+        html = html[:opened]
+    html = _NO_COMMENT.sub("", html)
     cut = html.rfind("<")  # a tag that the page's end cuts off
     if cut > html.rfind(">") and _TAG.match(html, cut):
         html = html[:cut]
