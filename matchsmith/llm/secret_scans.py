@@ -11,6 +11,10 @@ candidate. ``labelled_findings`` makes one by distant supervision: it sets value
 ``FINDINGS`` documents of the corpus. That bound is the only sample: candidates, word counts and verdicts
 cover all texts.
 
+Values of any length count: a quoted one reaches to its closing quote in the line, another to the next space, quote or
+angle bracket, without sentence marks at its end; a password in a URL to the ``@``. Neighbouring words are
+those within ``CONTEXT`` characters.
+
 Null texts have no candidates. Rows are told apart by key and text, so repeated rows have
 one set of findings, and all of them are redacted. Null keys are carried. Empty tables give empty results.
 Columns besides the named ones are kept by ``redact`` and not read otherwise.
@@ -39,19 +43,26 @@ SECRET_SCORE = 0.5
 MASK = "[SECRET]"
 
 # Names that announce a secret, formats of well-known keys, words beside look-alikes.
-NAMES = "api[_-]?key|access[_-]?key|secret|token|passwd|password|passphrase|pwd|auth|credential|private[_-]?key|bearer"
+NAMES = "api[_-]?key|access[_-]?key|secret|token|passwd|password|passphrase|pwd|auth(?!ors?(?![a-z]))|credential|private[_-]?key|bearer"
 VENDORS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
            r"AIza[0-9A-Za-z_-]{35}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"glpat-[A-Za-z0-9_-]{20}")
 BENIGN = "commit|sha|sha1|sha256|md5|checksum|digest|hash|etag|uuid|guid|revision|build|version|license|example|sample|dummy|test|placeholder|id"
 
 _KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-_ASSIGNED = rf"(?i:(?:{NAMES})[a-z0-9_-]{{0,10}}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s{{1,3}})?[\"'`]?)[^\s\"'`<>,;]{{8,}}"
-_MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-CANDIDATE = "|".join([_KEY_BLOCK, _ASSIGNED, *(f"(?<![A-Za-z0-9]){v}" for v in VENDORS), _MIXED])
-_LEAD = rf"^(?i:(?:{NAMES})[a-z0-9_-]{{0,10}}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s{{1,3}})?[\"'`]?)"
+# An identifier that holds a name, taken whole and once, so that long ones cost one pass.
+_NAMED = rf"(?<![A-Za-z0-9_-])(?=(?i:[a-z0-9_-]*?(?:{NAMES})))[A-Za-z0-9_-]++[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?i:bearer\s{{1,3}})?"
+# What it is set to: a quoted string to its closing quote, or characters without space or quotes but for sentence marks at the end.
+_QUOTED = "|".join(f"{q}[^{q}\n]+(?={q})" for q in "\"'`")
+_PLAIN = r"[^\s\"'`<>]*[^\s\"'`<>,;.!?)\]}]"
+_ASSIGNED = f"{_NAMED}(?:{_QUOTED}|[\"'`]?{_PLAIN})"
+_URL_USER = r"://[^\s/:@\"'<>]*+:"
+_IN_URL = rf"{_URL_USER}[^\s/@\"'<>]+(?=@)"
+_MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = "|".join([_KEY_BLOCK, _IN_URL, _ASSIGNED, *(f"(?<![A-Za-z0-9]){v}" for v in VENDORS), _MIXED])
+_LEAD = f"^(?:{_NAMED}[\"'`]?|{_URL_USER})"
 
 FEATURES = ["log_length", "digit_share", "upper_share", "symbol_share", "class_changes", "vowel_changes", "entropy", "distinct_share",
-            "longest_run", "hex_only", "dictionary_share", "vendor", "key_block", "named", "quoted", "in_url", "in_path", "dotted",
+            "longest_run", "hex_only", "dictionary_share", "vendor", "key_block", "named", "quoted", "in_url", "url_user", "spaces", "in_path", "dotted",
             "secret_word_near", "benign_word_near"]
 
 
@@ -78,7 +89,9 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text", extra: tu
         key, *extra, "text_hash", F.col("c.nth").alias("nth"), (F.col("c.at") + F.length(lead)).cast("long").alias("start"),
         (F.length("c.whole") - F.length(lead)).cast("long").alias("length"), lead.alias("lead"),
         F.substring("c.whole", F.length(lead) + 1, F.length("c.whole")).alias("value"),
-        F.right("c.before", F.lit(CONTEXT)).alias("before"), F.left("c.after", F.lit(CONTEXT)).alias("after"))
+        F.right("c.before", F.lit(CONTEXT)).alias("before"), F.left("c.after", F.lit(CONTEXT)).alias("after"),
+        # the run of characters without space that ends at the candidate, read backwards
+        F.reverse("c.before").rlike(r"^\S*?//:").alias("url_before"))
 
 
 def _share(pattern: str) -> Column:
@@ -106,8 +119,9 @@ def features(found: DataFrame, known_words: DataFrame) -> DataFrame:
     rows = rows.join(covered, "cid", "left").drop("cid")
     n = F.greatest(F.length("value"), F.lit(1))
     letters = F.filter(F.split("value", ""), lambda c: c != "")
-    share = lambda c: F.regexp_count("value", F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))) / n
-    entropy = F.aggregate(F.transform(F.array_distinct(letters), lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda a, b: a + b)
+    # uses of each character: the runs of the sorted characters
+    uses = F.transform(F.regexp_extract_all(F.array_join(F.array_sort(letters), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1)), lambda r: F.length(r) / n)
+    entropy = F.aggregate(F.transform(uses, lambda p: -p * F.log2(p)), F.lit(0.0), lambda a, b: a + b)
     near = F.lower(F.concat_ws(" ", "before", "lead", F.left("after", F.lit(20))))
     flag = lambda c: c.cast("double")
     return rows.withColumns({
@@ -115,14 +129,15 @@ def features(found: DataFrame, known_words: DataFrame) -> DataFrame:
         "symbol_share": _share("[^A-Za-z0-9]"),
         "class_changes": _share("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Za-z0-9])[^A-Za-z0-9]"),
         "vowel_changes": _share("(?i)(?<=[aeiou])[^aeiou0-9\\W_]|(?<=[b-df-hj-np-tv-z])[aeiou]"),
-        "entropy": F.when(F.length("value") <= 400, entropy).otherwise(F.lit(6.0)),
+        "entropy": entropy,
         "distinct_share": F.size(F.array_distinct(letters)) / n,
         "longest_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit(r"((.)\2*)"), F.lit(1)), F.length)), F.lit(0)) / n,
         "hex_only": flag(F.col("value").rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "dictionary_share": F.coalesce(F.col("covered"), F.lit(0)) / n,
         "vendor": flag(F.col("value").rlike("^(?:" + "|".join(VENDORS) + ")")), "key_block": flag(F.col("value").startswith("-----BEGIN")),
         "named": flag(F.length("lead") > 0), "quoted": flag(F.col("after").rlike("^[\"'`]")),
-        "in_url": flag(F.col("before").rlike(r"://\S*$") | F.col("value").contains("://")),
+        "in_url": flag(F.col("url_before") | F.col("value").contains("://")), "url_user": flag(F.col("lead").startswith("://")),
+        "spaces": _share(r"\s"),
         "in_path": flag(F.col("before").rlike(r"[/\\.]$") | F.col("after").rlike(r"^(?:/|\.[a-z]{2,4}\b)")),
         "dotted": flag(F.col("value").contains(".")),
         "secret_word_near": flag(near.rlike(rf"\b[a-z0-9_-]*(?:{NAMES})")), "benign_word_near": flag(near.rlike(rf"\b(?:{BENIGN})\b")),
@@ -131,12 +146,12 @@ def features(found: DataFrame, known_words: DataFrame) -> DataFrame:
 
 def labelled_findings(texts: DataFrame, key: str = "doc_id", text: str = "text", bound: int = FINDINGS) -> DataFrame:
     """``finding, text, label``: values of known making among words of at most ``bound`` texts."""
-    words = F.split(F.trim(F.left(F.coalesce(F.col(text), F.lit("")), F.lit(400))), r"\s+")
+    words = F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+")
     # a share of the texts by hash first, so that few rows meet in the task that cuts at the bound
     share = min(1.0, 4 * bound / max(texts.count(), 1))
     near = F.pmod(F.col("h"), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))
     rows = (texts.withColumn("h", F.xxhash64(key, text)).filter(near).select("h", words.alias("w"))
-            .filter(F.size("w") >= 8).distinct().orderBy("h").limit(bound))
+            .filter(F.size("w") >= 8).select("h", F.slice("w", (F.pmod("h", F.size("w") - 7) + 1).cast("int"), F.lit(8)).alias("w")).distinct().orderBy("h").limit(bound))
     hexed = F.sha2(F.concat(F.lit("finding"), F.col("h").cast("string")), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(hexed)), "[\\s=]", "")
     plain = F.regexp_replace(b64, "[+/]", "x")
@@ -152,6 +167,12 @@ def labelled_findings(texts: DataFrame, key: str = "doc_id", text: str = "text",
         F.concat(F.lit("secret="), F.left(hexed, F.lit(64))),
         F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64, F.lit("\n-----END RSA PRIVATE KEY-----")),
         F.concat(F.lit("TOKEN = \""), F.upper(F.left(hexed, F.lit(40))), F.lit("\"!!")),
+        F.concat(F.lit('password = "'), F.left(plain, F.lit(6)), F.lit(","), F.right(plain, F.lit(5)), F.lit('!"')),
+        F.concat(F.lit('DB_PASSWORD: "'), F.substring(plain, 9, 4), F.lit("$"), F.left(hexed, F.lit(3)), F.lit('"')),
+        F.concat(F.lit("pwd="), w(1), F.substring(hexed, 5, 2)),
+        F.concat(F.lit('SECRET_KEY_BASE_PRODUCTION = "'), F.substring(plain, 3, 12), F.lit('"')),
+        F.concat(F.lit("postgres://app:"), F.substring(plain, 2, 9), F.lit("!@db.host/x")),
+        F.concat(F.lit('password = "'), w(1), F.substring(hexed, 9, 1), F.lit('"')),
     ]
     alike = [
         F.concat(F.lit("commit "), F.left(hexed, F.lit(40))),
@@ -164,10 +185,16 @@ def labelled_findings(texts: DataFrame, key: str = "doc_id", text: str = "text",
         F.concat(F.lit("https://www.example.com/static/"), w(1), F.lit("/"), w(2), F.lit("-"), w(3), F.lit("-123456.html")),
         F.concat(F.lit("secret: "), w(1), w(2), w(3)),
         F.concat(F.lit("build-2024-01-01-"), w(1), F.lit("-"), w(2), F.lit("-release1")),
+        F.concat(F.lit("the secret: "), w(1)),
+        F.concat(F.lit('token = "'), w(1), F.lit(" "), w(2), F.lit(" "), w(3), F.lit('"')),
+        F.concat(F.lit('password: "'), w(1), F.lit('"')),
+        F.concat(F.lit("author: "), w(1), F.lit(" "), w(2)),
+        F.concat(F.lit("authors="), w(1), F.lit(","), w(2)),
+        F.concat(F.lit("https://docs:"), F.lit("8080/"), w(1), F.lit("/"), w(2)),
     ]
     both = [(c, 1.0) for c in secret] + [(c, 0.0) for c in alike]
     item = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v"), F.lit(label).alias("label")) for i, (c, label) in enumerate(both)])
-    out = rows.select("h", "w", F.explode(item).alias("x")).filter(F.pmod(F.col("h") + F.col("x.i") * 7, F.lit(5)) == 0)
+    out = rows.select("h", "w", F.explode(item).alias("x")).filter(F.pmod(F.col("h") + F.col("x.i") * 7, F.lit(5)) == 0).filter("x.v is not null")
     around = F.concat(F.array_join(F.slice("w", 1, 4), " "), F.lit(" "), F.col("x.v"), F.lit(" "), F.array_join(F.slice("w", 5, 4), " "))
     return out.select(F.xxhash64("h", "x.i").alias("finding"), around.alias("text"), F.col("x.label").alias("label"))
 
