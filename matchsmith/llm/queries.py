@@ -55,11 +55,14 @@ def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to an archive and back, every payload held against its digest and size."""
+    """Pages to an archive and back: responses with every payload held against its digest and size,
+    revisits by their headers alone."""
     folder = Scratch(spark, "warc").path("archive")
     warc.register(spark)
     warc.deduplicated(read_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    back = spark.read.format("warc").option("payload", "false").option("verify", "true").load(folder)
+    read = lambda verify, kind: (spark.read.format("warc").option("payload", "false").option("verify", verify).load(folder)
+                                 .filter(F.col("record_type") == kind))
+    back = read("true", "response").unionByName(read("false", "revisit"))
     return back.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast("long").alias("refers_to"))
 

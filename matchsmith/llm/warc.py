@@ -92,6 +92,8 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, payload: bool, verify: bool, split: int):
         self.path, self.payload, self.verify, self.split = path, payload, verify, split
         self.tests: list[tuple[str, str, tuple]] = []
+        fs, folder = store(path)
+        self.own = fs.get_file_info(f"{folder}/{FILE_LIST}").is_file
 
     def pushFilters(self, filters):
         """Takes equality, membership and prefix tests of header columns; gives the rest back."""
@@ -110,8 +112,14 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, folder = store(self.path)
-        with fs.open_input_file(f"{folder}/{FILE_LIST}") as f:
-            listed = [line.split("\t") for line in f.read().decode().splitlines()]
+        if self.own:
+            with fs.open_input_file(f"{folder}/{FILE_LIST}") as f:
+                listed = [line.split("\t") for line in f.read().decode().splitlines()]
+        else:  # an archive of others: the files themselves
+            from pyarrow.fs import FileSelector
+            one = fs.get_file_info(folder)
+            found = [one] if one.is_file else fs.get_file_info(FileSelector(folder, recursive=True))
+            listed = [(i.path, i.size) for i in found if i.is_file and (one.is_file or re.search(r"\.w?arc(\.gz)?$", i.path))]
         planned, held, size = [], [], 0
         for name, n in sorted(listed, key=lambda x: -int(x[1])):
             if held and size + int(n) > self.split:
@@ -124,7 +132,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         fs, folder = store(self.path)
         for name in partition.names:
-            with fs.open_input_file(f"{folder}/{name}") as f:
+            with fs.open_input_file(f"{folder}/{name}" if self.own else name) as f:
                 rows, held = [], 0
                 for row in self._records(f):
                     rows.append(row)
@@ -206,15 +214,19 @@ class WarcReader(DataSourceReader):
         stream.skip(8)
 
     def _finished(self, row: tuple, block: bytes) -> tuple:
-        payload = block[block.find(b"\r\n\r\n") + 4:] if block else None
-        if self.verify and payload is not None and (
-                len(payload) != row[5] or base32_sha1(hashlib.sha1(payload).hexdigest()) != row[4]):
-            raise ValueError(f"record {row[0]}: payload and digest differ")
+        payload = block if block else None
+        if payload and row[6].get("content-type", "").lower().startswith("application/http"):
+            payload = block.partition(b"\r\n\r\n")[2]  # of a message without an end of its head: nothing
+        if self.verify and payload is not None:
+            digest = row[4] if row[6].get("warc-payload-digest", "").lower().startswith("sha1:") else None
+            if (row[5] is not None and len(payload) != row[5]) or (digest and base32_sha1(hashlib.sha1(payload).hexdigest()) != digest.upper()):
+                raise ValueError(f"record {row[0]}: payload and digest differ")
         return (*row, payload if self.payload else None)
 
     def _row(self, headers: dict):
-        value = {c: unquote(headers[h]) if h in headers else None for c, h in _HEADER_OF.items()}
-        value["payload_digest"] = value["payload_digest"] and value["payload_digest"].removeprefix("sha1:")
+        plain = unquote if self.own else str  # the writer's escapes; others' values stand as they are
+        value = {c: plain(headers[h]) if h in headers else None for c, h in _HEADER_OF.items()}
+        value["payload_digest"] = value["payload_digest"] and re.sub("(?i)^sha1:", "", value["payload_digest"])
         for column, kind, wanted in self.tests:
             v = value[column]
             if v is None or (kind == "in" and v not in wanted) or (kind == "starts" and not v.startswith(wanted)):
@@ -304,11 +316,28 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
 
+def _decoded(line: bytes) -> str:
+    """UTF-8, or Latin-1 where a line isn't."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def parse_headers(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8").split("\r\n")
-    if not lines[0].lstrip().startswith("WARC/"):
-        raise ValueError(f"not a record: {lines[0][:80]!r}")
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
+    """Headers by lower-case name; a line that begins with space goes on with the one before."""
+    lines = [_decoded(line) for line in raw.split(b"\r\n")]
+    while lines and not lines[0].strip():
+        del lines[0]
+    if not lines or not lines[0].lstrip().startswith("WARC/"):
+        raise ValueError(f"not a record: {(lines or [''])[0][:80]!r}")
+    whole: list[str] = []
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and whole:
+            whole[-1] += " " + line.strip()
+        elif line:
+            whole.append(line)
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in whole)}
 
 
 def record_bytes(record_id, url, payload, digest, n_bytes, kind, refers_to) -> bytes:
