@@ -5,7 +5,8 @@ frequency lies in a band: neither the words of every text nor one-off typos. A t
 lexicon terms are sorted, and hashed in that order for the whole lexicon and for ``SUBSETS``
 random subsets of it at each of several sampling rates. An edit changes only the hashes of
 subsets that hold a changed term; sparse subsets survive large edits, dense ones tell small
-edits apart. A text with under ``LEAST_TERMS`` lexicon terms uses all its terms.
+edits apart. One more component hashes all of a text's terms, so texts without lexicon terms have
+fingerprints that tell them apart too.
 
 Lexicon bound: terms in at least a share ``f`` of the documents number at most (mean distinct
 terms a document) / f. ``f`` is ``RAREST`` or more, as much as keeps that bound to
@@ -35,10 +36,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COMMONEST, RAREST = 0.25, 1e-4
 MAX_LEXICON = 4_000_000
-LEAST_TERMS = 4
 SUBSETS = 16
 RATES = (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024, 1 / 4096)
-COMPONENTS = 1 + SUBSETS * len(RATES)
+# The whole lexicon, its subsets by rate, and all terms.
+COMPONENTS = 2 + SUBSETS * len(RATES)
 # A rate counts for likeness if so many of its subsets hold a term of either text.
 LEAST_HELD = 6
 
@@ -94,20 +95,19 @@ def components(rows: np.ndarray, terms: np.ndarray, n: int, lex: np.ndarray) ->
     """n x COMPONENTS array of hashes; 0 where no term of the row is in the subset."""
     at = np.minimum(np.searchsorted(lex, terms), max(len(lex) - 1, 0))
     known = lex[at] == terms if len(lex) else np.zeros(len(terms), bool)
-    few = np.bincount(rows[known], minlength=n) < LEAST_TERMS
-    use = known | few[rows]
-    rows, terms = rows[use], terms[use]
     value = _mix(terms)
     out = np.zeros((n, COMPONENTS), np.uint32)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(np.bincount(rows, minlength=1).max()) + 1 if len(rows) else 1, _ODD, np.uint64))
         for c in range(COMPONENTS):
-            if c:
+            if c == COMPONENTS - 1:
+                r, v = rows, value
+            elif c:
                 rate = RATES[(c - 1) // SUBSETS]
-                pick = np.flatnonzero(_mix(terms + np.uint64(c) * _ODD) < np.uint64(rate * 2.0 ** 64))
+                pick = np.flatnonzero(known & (_mix(terms + np.uint64(c) * _ODD) < np.uint64(rate * 2.0 ** 64)))
                 r, v = rows[pick], value[pick]
             else:
-                r, v = rows, value
+                r, v = rows[known], value[known]
             if not len(r):
                 continue
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
