@@ -1,9 +1,8 @@
 """Stages of the corpus pipeline: an operator each, whose decision takes effect on the documents.
 
 Stages but the last keep the columns of their input, whatever further ones it has; internal
-columns begin with two underscores. Rows that share a doc_id are told apart by their text where
-a stage judges texts; the near-duplicate stage keeps one row a doc_id. Rows without a doc_id pass the
-near-duplicate stage. Null texts count as empty. Empty tables give empty results.
+columns begin with two underscores. Rows that share a doc_id are told apart by their text. Rows
+without a doc_id pass the near-duplicate stage. Null texts count as empty. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,11 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near copies."""
-    found = near_join.near_join(docs)
-    kept = found.filter("doc_id = class_id").select("doc_id")
-    same = Window.partitionBy("doc_id").orderBy("__hash")
-    one = (docs.join(kept, "doc_id", "left_semi").withColumn("__hash", F.xxhash64(*docs.columns))
+    """One document of each class of near copies, that of least id. A document is an id and a text:
+    texts that share an id are documents of their own, and rows that repeat both are one."""
+    keyed = docs.filter("doc_id is not null").withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = near_join.near_join(keyed, key="__row")
+    names = keyed.groupBy("__row").agg(F.min("doc_id").alias("__id"))
+    kept = (found.join(names, "__row").groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("__least"))
+            .select(F.col("__least.__row").alias("__row")))
+    same = Window.partitionBy("__row", "doc_id").orderBy("__hash")
+    one = (keyed.join(kept, "__row", "left_semi").withColumn("__hash", F.xxhash64(*docs.columns))
            .withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(*docs.columns))
     return one.unionByName(docs.filter("doc_id is null"))
 
