@@ -327,8 +327,11 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     code = spark.read.parquet(f"{folder}/_code").head()
     lengths = spark.sparkContext.broadcast(np.frombuffer(bytes(code["lengths"]), np.uint8))
     max_bits = code["max_bits"]
-    order = Window.orderBy("pid", "at").rowsBetween(Window.unboundedPreceding, -1)  # one short row a block
-    blocks = spark.read.parquet(f"{folder}/_blocks").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
+    blocks = spark.read.parquet(f"{folder}/_blocks")
+    ranges = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one short row a range of keys
+    base = blocks.groupBy("pid").agg(F.sum("n_ids").alias("n")).select("pid", F.coalesce(F.sum("n").over(ranges), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("pid").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(base, "pid").withColumn("before", F.col("base") + F.col("within"))
 
     def run(batches):
         table = decode_table(lengths.value, max_bits)
