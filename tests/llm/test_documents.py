@@ -184,12 +184,14 @@ def plain_components(text, lex):
     terms = {w for w in (x.strip(string.punctuation) for x in WORD.findall(text.lower())) if w}
     hashes = sorted(pd.util.hash_array(np.array(sorted(terms), object), hash_key="i-match-term-key", categorize=False).tolist()) if terms else []
     inside = [h for h in hashes if h in set(lex.tolist())]
-    use = inside if len(inside) >= fingerprints.LEAST_TERMS else hashes
     mix = lambda x: int(fingerprints._mix(np.array([x % 2 ** 64], np.uint64))[0])
     odd, out = int(fingerprints._ODD), []
     for c in range(fingerprints.COMPONENTS):
-        rate = 1 if not c else fingerprints.RATES[(c - 1) // fingerprints.SUBSETS]
-        picked = [h for h in use if not c or mix(h + c * odd) < int(rate * 2 ** 64)]
+        if c == fingerprints.COMPONENTS - 1:
+            picked = hashes
+        else:
+            rate = 1 if not c else fingerprints.RATES[(c - 1) // fingerprints.SUBSETS]
+            picked = [h for h in inside if not c or mix(h + c * odd) < int(rate * 2 ** 64)]
         total = sum(mix(h) * pow(odd, k + 1, 2 ** 64) for k, h in enumerate(picked)) % 2 ** 64
         out.append(max(mix(total) >> 32, 1) if picked else 0)
     return out
@@ -283,3 +285,49 @@ def test_secrets_of_awkward_rows(spark, awkward, no_documents):
     masked = secret_scans.redact(awkward, rows)
     assert masked.columns == awkward.columns and masked.count() == awkward.count()
     assert secret_scans.scan(no_documents).count() == 0
+
+
+LISTED = ['password = "kD83jf0s,Lq92mZ7p!"', 'password = "q8Zr,T4m!xW2"', 'password = "hunter2"', 'SECRET_KEY_BASE_PRODUCTION = "zXcVbNmAsDf"',
+          "postgres://app:p4sSw0rd!x@db.host/x"]
+INSIDE = ["kD83jf0s,Lq92mZ7p!", "q8Zr,T4m!xW2", "hunter2", "zXcVbNmAsDf", "p4sSw0rd!x"]
+ODD = ["token" * 30_000, "x" * 300 + "1" * 300 + " tail", "api_key: abc, def", "author: Jane", 'password="open quote', "token=\n\n", "secret: 'a' secret: \"b;c\"",
+       "://:x@ ://u:@", "é😀 pwd=ü€7; tail", "-----BEGIN RSA PRIVATE KEY-----\nAAAA", "a=b", "x" * 500 + "token=" + "ab1" * 400, None, ""]
+
+
+def plain_candidates(text):
+    """(start, value, before, after) of each candidate, by another engine's regular expressions."""
+    out = []
+    for m in re.finditer(secret_scans.CANDIDATE, text):
+        lead = re.match(secret_scans._LEAD, m.group())
+        n = lead.end() if lead else 0
+        out.append((m.start() + n, m.group()[n:]))
+    return out
+
+
+def plain_measures(value):
+    n, counts = max(len(value), 1), Counter(value)
+    runs = [len(m.group()) for m in re.finditer(r"(?s)(.)\1*", value)] or [0]
+    return (sum(-c / n * np.log2(c / n) for c in counts.values()), len(counts) / n, max(runs) / n, sum(c in "0123456789" for c in value) / n,
+            sum("A" <= c <= "Z" for c in value) / n, sum(bool(re.match(r"[^A-Za-z0-9]", c)) for c in value) / n)
+
+
+def test_candidates_and_measures_equal_a_plain_version(spark):
+    texts = [f"some words {t} and more" for t in LISTED] + ODD
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = Scratch(spark, "t").table(secret_scans.candidates(df), "found")
+    got = {(r["doc_id"], r["start"], r["value"]) for r in found.collect()}
+    want = {(i, *c) for i, t in enumerate(texts) for c in plain_candidates(t or "")}
+    assert got == want and {v for _, _, v in want} >= set(INSIDE)
+    none = spark.createDataFrame([], "run string")
+    for r in secret_scans.features(found, none).collect():
+        mine = (r["entropy"], r["distinct_share"], r["longest_run"], r["digit_share"], r["upper_share"], r["symbol_share"])
+        assert np.allclose(mine, plain_measures(r["value"]), atol=1e-9), r["value"][:50]
+
+
+def test_listed_secrets_are_masked_whole(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10 ** 6 + i, f"some words {t} and more") for i, t in enumerate(LISTED)], "doc_id long, text string")
+    rows = docs.unionByName(more)
+    verdicts = secret_scans.scan(rows).select("doc_id", "text_hash", "nth", "is_secret")
+    out = {r["doc_id"]: r["text"] for r in secret_scans.redact(more, verdicts).collect()}
+    assert [out[10 ** 6 + i] for i in range(5)] == [f"some words {t.replace(v, '[SECRET]')} and more" for t, v in zip(LISTED, INSIDE)]

@@ -5,6 +5,7 @@ import html as entities
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,71 @@ def test_regions_without_article_hold_the_whole_cluster():
              (f"<div><article>{BODY}</article><div><p>{P[0]}</p><p>{P[1]}</p></div></div>", [*P, P[0], P[1]])]
     for page, want in cases:
         assert main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>").split("\n") == want, page[:80]
+
+
+def test_names_made_from_titles_and_topics_keep_prose():
+    from matchsmith.llm.extraction import main_text
+    for inner in (f"<p class='social-history'>{P[0]}</p>", f"<h2 id='search-results'>{P[0]}</h2>", f"<p id='related-work'>{P[0]}</p>",
+                  f"<h2 id='comments'>{P[0]}</h2>", f"<section id='login'><h2>Logging in</h2><p>{P[0]}</p></section>",
+                  f"<section class='search-engines'><p>{P[0]}</p></section>", f"<div id='cookie-recipes'><p>{P[0]}</p></div>"):
+        want = re.sub("<[^>]+>", "\n", inner).split("\n")
+        page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1>{BODY}{inner}<p>{P[1]}</p></article></body>"
+        assert main_text(page).split("\n") == ["Title", *P, *[w for w in want if w], P[1]], inner
+    for inner in (f"<section id=comments><p>{P[0]}</p></section>", f"<div class=comment-list><p>{P[0]}</p></div>", f"<p class=advert>{P[0]}</p>",
+                  f"<div class=sidebar><p>{P[0]}</p></div>", "<div class='related-posts'><a href=a>One more thing to read</a><a href=b>And another one</a></div>"):
+        assert main_text(f"<body><article><h1>Title</h1>{BODY}{inner}</article></body>").split("\n") == ["Title", *P], inner
+
+
+def test_comments_without_an_end():
+    from matchsmith.llm.extraction import main_text
+    whole = "\n".join(["Title", *P])
+    for tail in ("<!-- unclosed <p>L", "<!-- one --><!-- two <p>L <!-- three", "<!-->kept-->"[:5] + "<!-- x"):
+        assert main_text(f"<body><article><h1>Title</h1>{BODY}{tail}") == whole, tail
+    assert main_text(f"<body><script>var a = '<!-- ';</script><article><h1>Title</h1>{BODY}</article></body>") == whole
+    assert main_text(f"<body><!-- a --!><article><h1>Title</h1>{BODY}</article></body>") == whole
+
+
+def plain_smoothed(ratios):
+    reach = max(1, int(np.ceil(3 * extraction.SIGMA)))
+    out = []
+    for i in range(len(ratios)):
+        w = [(np.exp(-0.5 * ((j - i) / extraction.SIGMA) ** 2), ratios[j]) for j in range(max(0, i - reach), min(len(ratios), i + reach + 1))]
+        out.append(sum(a * b for a, b in w) / sum(a for a, _ in w))
+    return out
+
+
+def test_smoothing_equals_a_plain_version():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        ratios = rng.random(n) * 50
+        assert np.allclose(extraction.smoothed(ratios), plain_smoothed(ratios))
+
+
+def foreign(kind, block, content="text/plain", extra=b""):
+    return (b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:" + kind + b">\r\nWARC-Target-URI: http://h/a%20b/\xe9\r\n"
+            b"Content-Type: " + content.encode() + b"\r\n" + extra + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+FOREIGN = [(b"warcinfo", b"software: x\r\n", "application/warc-fields"), (b"metadata", b"abcdef", "text/plain"),
+           (b"resource", b"hello\r\n\r\nworld", "text/html"), (b"response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore", "application/http; msgtype=response"),
+           (b"request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "application/http; msgtype=request"), (b"conversion", b"", "text/plain")]
+FOREIGN_PAYLOADS = {"warcinfo": b"software: x\r\n", "metadata": b"abcdef", "resource": b"hello\r\n\r\nworld", "response": b"body\r\n\r\nmore",
+                    "request": b"", "conversion": None}
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_others(spark, tmp_path, packed):
+    """No list of files, headers that are not UTF-8 or folded, blocks that are not HTTP messages."""
+    import gzip
+    raw = [foreign(*f, extra=b"WARC-Payload-Digest: sha256:00\r\nX-Long: one\r\n two\r\n") for f in FOREIGN]
+    (tmp_path / "in").mkdir()
+    for name, part in (("a.warc", raw[:3]), ("in/b.warc", raw[3:])):
+        data = b"".join(map(gzip.compress, part)) if packed else b"".join(part)
+        (tmp_path / (name + ".gz" * packed)).write_bytes(data)
+    (tmp_path / "notes.txt").write_text("no archive")
+    warc.register(spark)
+    rows = spark.read.format("warc").option("verify", "true").load(str(tmp_path)).collect()
+    assert {r["record_type"]: r["payload"] and bytes(r["payload"]) for r in rows} == {k: v or (b"" if k == "request" else None) for k, v in FOREIGN_PAYLOADS.items()}
+    assert {r["url"] for r in rows} == {"http://h/a%20b/é"} and all(r["headers"]["x-long"] == "one two" for r in rows)
+    one = spark.read.format("warc").load(str(tmp_path / ("a.warc" + ".gz" * packed))).filter("record_type = 'metadata'").collect()
+    assert [bytes(r["payload"]) for r in one] == [b"abcdef"]
