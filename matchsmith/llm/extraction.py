@@ -69,6 +69,7 @@ _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"<[A-Za-z/!?]")
 _SPACE = re.compile(r"\s+")
 _NO_COMMENT = re.compile(r"<!--+>")  # a comment at once at its end
+_LOUD_END = re.compile(r"(<!--(?:(?!-->).)*?)--!>", re.DOTALL)
 _COMMENT_END = re.compile(r"--!?>|<!--+>")
 
 
@@ -213,6 +214,8 @@ def lines_of(html: str) -> Lines:
     if opened >= 0:
         html = html[:opened]
     html = _NO_COMMENT.sub("", html)
+    if "--!>" in html:
+        html = _LOUD_END.sub(r"\1-->", html)
     cut = html.rfind("<")  # a tag that the page's end cuts off
     if cut > html.rfind(">") and _TAG.match(html, cut):
         html = html[:cut]
