@@ -237,7 +237,7 @@ def title_similarity(spark, sf):
           "\nSELECT cluster_id, other, round(sim, 6) AS sim FROM simall WHERE sim > 0")
 def cluster_similarity(spark, sf):
     parts = _parts(spark, sf)
-    sims, _ = TS.similar(parts, CFG)
+    sims = TS.all_similarities(parts, CFG)
     return sims.select("cluster_id", "other", F.round("sim", 6).alias("sim"))
 
 
@@ -246,7 +246,7 @@ SELECT cluster_id, rank, other, round(sim, 6) AS sim FROM simrank
 WHERE rank <= {CFG.similar_clusters}""")
 def similar_clusters(spark, sf):
     parts = _parts(spark, sf)
-    _, top = TS.similar(parts, CFG)
+    top = TS.similar(parts, CFG)
     return top.select("cluster_id", F.col("rank").cast("long").alias("rank"), "other",
                       F.round("sim", 6).alias("sim"))
 
@@ -284,7 +284,7 @@ SELECT rank AS n_most_similar_cluster, round(avg(sim), 6) AS mean_sim,
 FROM simrank WHERE rank <= {CFG.stats_depth} GROUP BY rank""")
 def similarity_by_rank(spark, sf):
     parts = _parts(spark, sf)
-    sims, _ = TS.similar(parts, CFG)
+    sims = TS.nearest_clusters(TS.cluster_bags(parts.clean, parts.clusters), CFG.stats_depth, CFG.hot_token_clusters)
     return TS.similarity_by_rank(sims, parts.clusters, CFG.stats_depth)
 
 

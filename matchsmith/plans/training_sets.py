@@ -198,6 +198,64 @@ def cluster_similarity(bags: DataFrame, hot_token_clusters: int = 256) -> DataFr
     return one.unionByName(two)
 
 
+# Partners that a cluster's rarest words give at most to the first, rough round of ``nearest_clusters``.
+ROUGH_WORDS, ROUGH_PARTNERS = 2, 64
+
+
+def _shared_counts(pairs: DataFrame, bags: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``cluster_id, other, sim`` of the given pairs."""
+    a = bags.select("cluster_id", "token", F.col("cnt").alias("ca"))
+    b = bags.select(F.col("cluster_id").alias("other"), "token", F.col("cnt").alias("cb"))
+    inter = (pairs.join(a, "cluster_id").join(b, ["other", "token"]).groupBy("cluster_id", "other")
+             .agg(F.sum(F.least("ca", "cb")).alias("inter")))
+    s = inter.join(sizes.withColumnRenamed("size", "sa"), "cluster_id").join(
+        sizes.select(F.col("cluster_id").alias("other"), F.col("size").alias("sb")), "other")
+    return s.select("cluster_id", "other", (F.col("inter") / (F.col("sa") + F.col("sb") - F.col("inter"))).alias("sim"))
+
+
+def nearest_clusters(bags: DataFrame, k: int, hot_token_clusters: int = 256) -> DataFrame:
+    """``cluster_id, other, sim``: for each cluster all others whose bag Jaccard is positive and at least its k-th
+    best, so ``top_similar`` of it is exact, without the pairs of all clusters that share a word.
+
+    1. A few partners that share a cluster's rarest words give a floor under its k-th best
+       similarity: any partners do, so their number is bounded.
+    2. A similarity of t or more needs t times the cluster's words in common, so a partner shares one of
+       the cluster's rarest words that make up all but that many: only the postings of this
+       prefix are read, frequent words drop out, and partners whose size alone rules t out are passed over.
+    3. The partners found are compared on their whole bags.
+    """
+    bags = materialize(bags)
+    sizes = bags.groupBy("cluster_id").agg(F.sum("cnt").alias("size"))
+    freq = bags.groupBy("token").agg(F.count(F.lit(1)).alias("ct")).where("ct > 1")
+    ranked = bags.join(freq, "token")
+    rarest = Window.partitionBy("cluster_id").orderBy("ct", "token")
+    upto = rarest.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = materialize(ranked.withColumns({"nth": F.row_number().over(rarest), "before": F.coalesce(F.sum("cnt").over(upto), F.lit(0))}))
+
+    few = Window.partitionBy("token").orderBy("other")
+    listed = (ranked.select("token", F.col("cluster_id").alias("other")).withColumn("at", F.row_number().over(few))
+              .where(F.col("at") <= ROUGH_PARTNERS).drop("at"))
+    rough = (ranked.where(F.col("nth") <= ROUGH_WORDS).select("cluster_id", "token").join(listed, "token")
+             .where("cluster_id <> other").select("cluster_id", "other").distinct())
+    best = Window.partitionBy("cluster_id").orderBy(F.col("sim").desc(), "other")
+    floor = (_shared_counts(rough, bags, sizes).withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k)
+             .select("cluster_id", F.col("sim").alias("floor")))
+
+    # words that no other cluster holds are the rarest of all; they stand before the ranked ones
+    alone = bags.join(freq, "token", "left_anti").groupBy("cluster_id").agg(F.sum("cnt").alias("alone"))
+    prefix = (ranked.join(sizes, "cluster_id").join(alone, "cluster_id", "left").join(floor, "cluster_id", "left").na.fill(0, ["alone"]).na.fill(0.0, ["floor"])
+              .withColumn("need", F.greatest(F.ceil(F.col("floor") * F.col("size") - F.lit(1e-9)), F.lit(1)))
+              .where(F.col("alone") + F.col("before") <= F.col("size") - F.col("need")))
+    salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("ct") / hot_token_clusters))
+    left = prefix.select("token", "cluster_id", "size", "floor", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    right = ranked.join(sizes, "cluster_id").select("token", F.col("cluster_id").alias("other"), F.col("size").alias("other_size"),
+                                                    F.pmod(F.xxhash64("cluster_id"), salts).alias("salt"))
+    fits = F.least("size", "other_size") >= F.col("floor") * F.greatest("size", "other_size") - F.lit(1e-9)
+    found = left.join(right, ["token", "salt"]).where((F.col("cluster_id") != F.col("other")) & fits).select("cluster_id", "other").distinct()
+    sims = _shared_counts(found, bags, sizes).join(floor, "cluster_id", "left")
+    return sims.where(F.col("sim") >= F.coalesce(F.col("floor"), F.lit(0.0)) - F.lit(1e-12)).drop("floor")
+
+
 def top_similar(sims: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     """``cluster_id, rank, other, sim``: the k most similar other clusters (ties and zero
     similarity to the lowest cluster ids). Zero-similarity fill-up draws on the k+1 lowest
@@ -341,17 +399,22 @@ def positives(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
     return positive_sample(parts, cfg).select("cluster_id", "id_left", "id_right", F.lit(1).alias("label"))
 
 
-def similar(parts: TrainingSetParts, cfg: SamplingConfig) -> tuple[DataFrame, DataFrame]:
-    def build():
-        bags = cluster_bags(parts.clean, parts.clusters)
-        sims = checkpoint(cluster_similarity(bags, cfg.hot_token_clusters))
-        return sims, checkpoint(top_similar(sims, parts.clusters, cfg.similar_clusters))
-    return parts.once(("similar", cfg.similar_clusters, cfg.hot_token_clusters), build)
+def all_similarities(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
+    """Every two clusters that share a word (a report's input; sampling uses ``similar``)."""
+    return parts.once(("similarities", cfg.hot_token_clusters), lambda: checkpoint(
+        cluster_similarity(cluster_bags(parts.clean, parts.clusters), cfg.hot_token_clusters)))
+
+
+def similar(parts: TrainingSetParts, cfg: SamplingConfig, k: int | None = None) -> DataFrame:
+    """The ``k`` most similar other clusters of each (``top_similar``), without all pairs."""
+    k = k or cfg.similar_clusters
+    return parts.once(("similar", k, cfg.hot_token_clusters), lambda: checkpoint(
+        top_similar(nearest_clusters(cluster_bags(parts.clean, parts.clusters), k, cfg.hot_token_clusters), parts.clusters, k)))
 
 
 def owned_pairs(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:
     return parts.once(("owned", cfg.similar_clusters, cfg.hot_token_clusters),
-                      lambda: checkpoint(owned_cluster_pairs(similar(parts, cfg)[1])))
+                      lambda: checkpoint(owned_cluster_pairs(similar(parts, cfg))))
 
 
 def negative_sample(parts: TrainingSetParts, cfg: SamplingConfig) -> DataFrame:

@@ -72,6 +72,33 @@ def test_cluster_similarity_inverted_index_matches_all_pairs(spark, hot):
             assert [o for _, o in sorted(mine[a])] == full[:k]
 
 
+@pytest.mark.parametrize("k,hot", [(1, 256), (3, 5), (40, 256)])
+def test_nearest_clusters_are_exact_and_few(spark, k, hot):
+    """Pruned search equals the full join: a hot word that nearly every cluster holds, clusters without a word of
+    their own, ties, and clusters alike in size only."""
+    rnd = random.Random(k)
+    rows = []
+    for c in range(120):
+        group = c // 6
+        words = [f"g{group}w{rnd.randrange(6)}" for _ in range(8)] + [f"r{rnd.randrange(400)}"]
+        if c % 10:
+            words += ["hot"] * rnd.randint(1, 2)
+        rows.append((f"c{c:03d}", " ".join(words)))
+    rows += [("d0", "hot"), ("d1", "hot"), ("e0", "lonely"), ("e1", "")]
+    clean = spark.createDataFrame(rows, "cluster_id string, title string")
+    clusters = clean.select("cluster_id").distinct()
+    bags = TS.cluster_bags(clean, clusters)
+    sims = TS.cluster_similarity(bags, hot)
+    near = TS.nearest_clusters(bags, k, hot).cache()
+    order = ["cluster_id", "rank", "other"]
+    want = [tuple(r[c] for c in (*order, "sim")) for r in TS.top_similar(sims, clusters, k).orderBy(*order).collect()]
+    got = [tuple(r[c] for c in (*order, "sim")) for r in TS.top_similar(near, clusters, k).orderBy(*order).collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(g[3] == pytest.approx(w[3]) for g, w in zip(got, want))
+    if k < 5:  # the hot word joins nearly all clusters; few of these pairs are left
+        assert near.count() < sims.count() / 5
+
+
 def test_set_measures_and_numeric_norm(spark):
     df = spark.createDataFrame([("a b c", "b c d", 4.0, 5.0), ("x", "x", 0.0, 0.0)],
                                "s string, t string, u double, v double")
