@@ -67,7 +67,7 @@ SELECT 'pairs' AS category, size, label, count(*) AS n FROM (
 def settings_scan(spark, sf):
     """Pair files of two categories and three sizes, read by one glob: settings come from the names, and a
     filter on them leaves the other files unread."""
-    base, pairs = scratch_path(spark, "settings"), FX.pairs(spark, sf).select("id_left", "id_right", "label", "pair_id")
+    base, pairs = scratch_path(spark, "settings"), FX.pair_rows(spark, sf).select("id_left", "id_right", "label", "pair_id")
     small = F.substring(F.md5(F.concat(F.lit("small|"), "pair_id")), 1, 1).isin("0", "1", "2", "3")
     for name, rows in (("pairs_train_large", pairs), ("pairs_train_small", pairs.where(small)), ("pairs_train_xlarge", pairs),
                        ("other_train_small", pairs.where("label = 1"))):
@@ -112,7 +112,7 @@ def match_label_map(spark, sf):
 SELECT pair_id, label, title_left AS ltable_title, title_right AS rtable_title, brand_left AS ltable_brand,
        brand_right AS rtable_brand FROM pairs_v""")
 def table_prefix(spark, sf):
-    return SH.suffix_to_table_prefix(FX.pairs(spark, sf).select(
+    return SH.suffix_to_table_prefix(FX.pair_rows(spark, sf).select(
         "pair_id", "label", "title_left", "title_right", "brand_left", "brand_right"))
 
 
@@ -155,6 +155,6 @@ sized AS (SELECT pair_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b))
 SELECT pair_id, round(2.0 * n / (na + nb), 6) AS dice, round(n / least(na, nb), 6) AS overlap FROM sized WHERE na > 0 AND nb > 0""")
 def set_measures(spark, sf):
     a, b = (F.array_distinct(T.split_ws(F.coalesce(F.col(f"title_{s}"), F.lit("")))) for s in ("left", "right"))
-    p = FX.pairs(spark, sf).select("pair_id", a.alias("a"), b.alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    p = FX.pair_rows(spark, sf).select("pair_id", a.alias("a"), b.alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
     return p.select("pair_id", F.round(S.set_dice(F.col("a"), F.col("b")), 6).alias("dice"),
                     F.round(S.set_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
