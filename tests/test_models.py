@@ -201,3 +201,10 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(1.0, "train")] * 1 + [(0.0, "train")] * 3 + [(1.0, "test")], "label double, split string")
     weights = {r["label"]: r["weight"] for r in MD.balanced_weights(df, F.col("split") == "train").collect()}
     assert weights == {1.0: 2.0, 0.0: 4 / 6}
+
+
+def test_wide_rows_are_spread_over_partitions(spark):
+    """A fit on many features isn't one task, however few its rows."""
+    df = spark.range(2000).select(F.col("id").cast("string").alias("pair_id"))
+    assert EX.packed(df, 40_000).rdd.getNumPartitions() == 10
+    assert EX.packed(df, 100).rdd.getNumPartitions() == EX.packed(df).rdd.getNumPartitions() == 1
