@@ -79,12 +79,13 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and one full of control strings, through the stored output."""
+    """Every conversation, and one full of control strings, through the written examples."""
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(CONTROL_TEXT).alias("text"))
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(Scratch(spark, "chat").table(chat.format_turns(rows), "turns"))
+    scratch = Scratch(spark, "chat")
+    return chat.read_back(scratch.table(chat.examples(scratch.table(chat.format_turns(rows), "turns")), "examples"))
 
 
 OP10_SQL = r"""

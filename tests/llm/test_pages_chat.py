@@ -223,6 +223,32 @@ def test_examples_in_full(spark):
         assert not re.search(r"(?<!\\)(?:\\\\)*[\[<]", masked)  # no control string can stand in a mask
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_every_assistant_turn_is_written_with_its_context(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    formatted = chat.format_turns(talks(spark))
+    whole, want = {}, {}
+    for r in formatted.orderBy("conv_id", "position").collect():
+        whole[r["conv_id"]] = whole.get(r["conv_id"], "") + r["segment"]
+        if r["is_target"] or r["is_last"]:
+            want[r["conv_id"], r["position"]] = (whole[r["conv_id"]], whole[r["conv_id"]][r["loss_start"]:r["loss_end"]] if r["is_target"] else None)
+    got = {}
+    for r in chat.examples(formatted).orderBy("part").collect():
+        text, loss = got.get((r["conv_id"], r["position"]), ("", None))
+        assert r["loss_start"] is None or loss is None
+        got[r["conv_id"], r["position"]] = (text + r["text"], loss if r["loss_start"] is None else r["text"][r["loss_start"]:r["loss_end"]])
+    assert got == want and sum(loss is not None for _, loss in got.values()) == sum(t[2] == "assistant" for t in TALKS)
+
+
+def test_op10_reads_written_examples(spark, small, monkeypatch):
+    seen, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, label, **kw: seen.append(table(self, df, label, **kw)) or seen[-1])
+    got = queries.op10_chat_format(spark, small).agg(F.sum("example_chars")).head()[0]
+    assert seen[-1].where("is_target").agg(F.sum(F.length("text"))).head()[0] == got
+    turns = spark.read.parquet(f"{small}/conversations.parquet").where("role = 'assistant'").count() + 1
+    assert seen[-1].where("is_target").select("conv_id", "position").distinct().count() == turns
+
+
 def test_op10_query(spark, small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{small}/conversations.parquet')")
