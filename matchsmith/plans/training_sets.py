@@ -55,8 +55,7 @@ def dedup_offers(clean: DataFrame) -> DataFrame:
 
 def eligible_offers(clean: DataFrame, min_words: int = 5) -> DataFrame:
     d = dedup_offers(clean)
-    words = T.word_count(T.combine([F.col("title"), F.col("description")]))
-    return d.where(words > min_words)
+    return d.where(T.more_words_than(T.combine([F.col("title"), F.col("description")]), min_words))
 
 
 # ------------------------------------------------------------------------------ gold
@@ -98,7 +97,9 @@ def ranked_offers(eligible: DataFrame, clusters: DataFrame, titles: DataFrame,
     e = eligible.join(bounded_broadcast(clusters), "cluster_id", "left_semi")
     t = bounded_broadcast(titles.select("title", F.lit(True).alias("bad")))
     e = e.join(t, "title", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    r = random_ranks(e.select("cluster_id", "id", "title", "bad"), "id", seed, ["cluster_id", "bad"])
+    # stored: ranking reads it five times, and whole texts are counted and compared to make it
+    e = materialize(e.select("cluster_id", "id", "title", "bad"))
+    r = random_ranks(e, "id", seed, ["cluster_id", "bad"])
     clean = e.where(~F.col("bad")).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_g"))
     r = r.join(bounded_broadcast(clean), "cluster_id", "left").withColumn(
         "rank", F.col("rank") + F.when(F.col("bad"), F.coalesce("_g", F.lit(0))).otherwise(F.lit(0)))
@@ -380,8 +381,8 @@ class TrainingSetParts:
 
 def prepare(offers: DataFrame, gold: DataFrame, cfg: SamplingConfig,
             stop_words: list[str] | None = None) -> TrainingSetParts:
-    clean = clean_offers(offers, stop_words)
-    eligible = eligible_offers(clean, cfg.min_words)
+    eligible = eligible_offers(clean_offers(offers, stop_words), cfg.min_words)
+    clean = materialize(clean_offers(offers.select("id", "cluster_id", "title"), stop_words))  # titles are cleaned once for all that follows
     gnorm = checkpoint(normalized_gold(gold))
     clusters = checkpoint(select_clusters(gold_clusters(clean, gnorm), cfg.share, cfg.seed))
     titles = gold_titles(clean, gnorm)

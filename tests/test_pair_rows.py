@@ -66,3 +66,19 @@ def test_packed_sets_hold_every_token(spark):
         assert held.tolist() == sorted(r["codes"]) and r["q"]["n"] == len(r["codes"])
         assert r["w"]["n"] == len(r["words"])
     assert df.where("t = 'abcabc d'").select(F.octet_length("q.packed")).head()[0] < 8 * 8
+
+
+def test_more_words_than_is_the_word_count(spark):
+    df = spark.createDataFrame([(t,) for t in (None, "", " ", "a", " a b ", "a b c", "\n a\tb  c ", "a b c d e ", "  a b c d e f g")], "t string")
+    for n in range(7):
+        assert df.where(T.more_words_than(F.col("t"), n) != (T.word_count(F.col("t")) > n)).count() == 0
+
+
+def test_ranked_offers_are_made_of_one_stored_table(spark, tmp_path, monkeypatch):
+    from matchsmith.plans import training_sets as TSETS
+    seen, keep = [], TSETS.materialize
+    monkeypatch.setattr(TSETS, "materialize", lambda df, *a: seen.append(keep(df, *a)) or seen[-1])
+    sf = _documents(spark, tmp_path)
+    parts = TSETS.prepare(FX.offers(spark, sf), FX.gold(spark, sf), TSETS.SamplingConfig())
+    assert [sorted(t.columns) for t in seen] == [["cluster_id", "id", "title"], ["bad", "cluster_id", "id", "title"], ["bad", "cluster_id", "id", "rank", "title"]]
+    assert parts.clean is seen[0]
