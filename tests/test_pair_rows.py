@@ -68,6 +68,29 @@ def test_packed_sets_hold_every_token(spark):
     assert df.where("t = 'abcabc d'").select(F.octet_length("q.packed")).head()[0] < 8 * 8
 
 
+def test_words_of_all_combinations_go_as_one_row(spark):
+    from matchsmith.operators import vectors as V
+    combos = {"t": ["title"], "td": ["title", "description"], "tdb": ["title", "description", "brand"]}
+    rows = [(1, "Red red shoe_1 \u03a3\u039f\u03a3", "shoe_1 in red, x", "acme"), (2, None, "in \u03c3\u03bf\u03c2 red", ""), (3, "", None, "acme in"), (4, "acme", "", None)]
+    ents = spark.createDataFrame(rows, "id long, title string, description string, brand string")
+    text = lambda r, cols: T.combine([F.col(c) for c in cols])
+    plain = {}
+    for name, cols in combos.items():
+        for r in ents.select("id", F.array_distinct(T.vocab_tokens(text(None, cols))).alias("w")).collect():
+            plain[name, r["id"]] = set(r["w"])
+    df = {}
+    for (name, _), held in plain.items():
+        for w in held:
+            df[name, w] = df.get((name, w), 0) + 1
+    kept = {name: sorted(w for n, w in df if n == name and df[n, w] >= 2) for name in combos}
+    vocab = V.vocabulary(ents, combos, 2)
+    assert {(r["combo"], r["word"], r["df"], r["idx"]) for r in vocab.collect()} == {
+        (n, w, df[n, w], i) for n, ws in kept.items() for i, w in enumerate(ws)}
+    got = {(r["combo"], r["id"]): r["idx"] for r in V.word_vectors(ents, combos, vocab).collect()}
+    assert got == {(n, i): [kept[n].index(w) for w in sorted(held) if w in kept[n]] for (n, i), held in plain.items()}
+    assert V.doc_words(ents, combos).where("id = 1").count() == len(plain["tdb", 1])
+
+
 def test_more_words_than_is_the_word_count(spark):
     df = spark.createDataFrame([(t,) for t in (None, "", " ", "a", " a b ", "a b c", "\n a\tb  c ", "a b c d e ", "  a b c d e f g")], "t string")
     for n in range(7):
