@@ -91,6 +91,16 @@ def test_words_of_all_combinations_go_as_one_row(spark):
     assert V.doc_words(ents, combos).where("id = 1").count() == len(plain["tdb", 1])
 
 
+def test_sets_and_counts_by_row_hold_no_texts_in_joins(spark, tmp_path):
+    sf = _documents(spark, tmp_path)
+    rows, s = FX.offer_rows(spark, sf), FX.split_rows(spark, sf)
+    ents, named = SH.entity_table(s, ATTRS, rows=rows), SH.entity_rows(s)
+    assert _rows(FE.attribute_types(named, ATTRS, rows)) == _rows(FE.attribute_types(ents, ATTRS))
+    plan = FE.feature_plan({"title": "str_gt_10w", "description": "str_gt_10w", "brand": "str_eq_1w"}, include_align=False)
+    keep = ["split", "pair_id", "label"]
+    assert _rows(FE.pair_features(s, plan, keep, entities=named, rows=rows)) == _rows(FE.pair_features(s, plan, keep, entities=ents))
+
+
 def test_more_words_than_is_the_word_count(spark):
     df = spark.createDataFrame([(t,) for t in (None, "", " ", "a", " a b ", "a b c", "\n a\tb  c ", "a b c d e ", "  a b c d e f g")], "t string")
     for n in range(7):
