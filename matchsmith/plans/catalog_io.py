@@ -67,7 +67,7 @@ SELECT 'pairs' AS category, size, label, count(*) AS n FROM (
 def settings_scan(spark, sf):
     """Pair files of two categories and three sizes, read by one glob: settings come from the names, and a
     filter on them leaves the other files unread."""
-    base, pairs = scratch_path(spark, "settings"), FX.pair_rows(spark, sf).select("id_left", "id_right", "label", "pair_id")
+    base, pairs = scratch_path(spark, "settings"), FX.pair_labels(spark, sf).select("id_left", "id_right", "label", "pair_id")
     small = F.substring(F.md5(F.concat(F.lit("small|"), "pair_id")), 1, 1).isin("0", "1", "2", "3")
     for name, rows in (("pairs_train_large", pairs), ("pairs_train_small", pairs.where(small)), ("pairs_train_xlarge", pairs),
                        ("other_train_small", pairs.where("label = 1"))):

@@ -115,3 +115,28 @@ def test_ranked_offers_are_made_of_one_stored_table(spark, tmp_path, monkeypatch
     parts = TSETS.prepare(FX.offers(spark, sf), FX.gold(spark, sf), TSETS.SamplingConfig())
     assert [sorted(t.columns) for t in seen] == [["cluster_id", "id", "title"], ["bad", "cluster_id", "id", "title"], ["bad", "cluster_id", "id", "rank", "title"]]
     assert parts.clean is seen[0]
+
+
+def _labelled(spark, sf):
+    """Pairs and labels by way of the wide joins, and the hex digit that names the valid and the gold ones."""
+    plain = FX._pair_rows(spark, sf).select("pair_id", "id_left", "id_right", "label")
+    digit = lambda kind: F.substring(F.md5(F.concat(F.lit(f"{kind}|"), "pair_id")), 1, 1)
+    return plain, digit("valid").isin("0", "1", "2"), digit("gold").isin("e", "f")
+
+
+def _no_titles(monkeypatch):
+    monkeypatch.setattr(FX, "pair_rows", None)
+    monkeypatch.setattr(FX, "offers", None)
+
+
+def test_label_noise_joins_no_titles(spark, tmp_path, monkeypatch):
+    from matchsmith.plans import catalog_more
+    sf = _documents(spark, tmp_path)
+    plain, _, gold = _labelled(spark, sf)
+    _no_titles(monkeypatch)
+    assert _rows(FX.pair_labels(spark, sf)) == _rows(plain) and plain.count() > plain.distinct().count()
+    assert _rows(FX.gold(spark, sf)) == _rows(plain.where(gold))
+    noisy = catalog_more.label_noise(spark, sf)
+    back = noisy.select("pair_id", F.when(F.col("flipped"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"))
+    assert _rows(back) == _rows(plain.select("pair_id", "label"))
+    assert noisy.where("flipped").count() == sum(r["count"] // 10 for r in plain.groupBy("label").count().collect())
