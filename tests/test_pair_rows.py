@@ -140,3 +140,12 @@ def test_label_noise_joins_no_titles(spark, tmp_path, monkeypatch):
     back = noisy.select("pair_id", F.when(F.col("flipped"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"))
     assert _rows(back) == _rows(plain.select("pair_id", "label"))
     assert noisy.where("flipped").count() == sum(r["count"] // 10 for r in plain.groupBy("label").count().collect())
+
+
+def test_splits_by_ids_join_no_titles(spark, tmp_path, monkeypatch):
+    from matchsmith.plans import catalog_more
+    sf = _documents(spark, tmp_path)
+    plain, valid, _ = _labelled(spark, sf)
+    _no_titles(monkeypatch)
+    assert _rows(catalog_more.split_train(spark, sf)) == _rows(plain.where(~valid).select("pair_id", "label"))
+    assert _rows(catalog_more.split_valid(spark, sf)) == _rows(plain.where(valid).select("pair_id", "label"))
