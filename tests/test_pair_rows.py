@@ -149,3 +149,15 @@ def test_splits_by_ids_join_no_titles(spark, tmp_path, monkeypatch):
     _no_titles(monkeypatch)
     assert _rows(catalog_more.split_train(spark, sf)) == _rows(plain.where(~valid).select("pair_id", "label"))
     assert _rows(catalog_more.split_valid(spark, sf)) == _rows(plain.where(valid).select("pair_id", "label"))
+
+
+def test_cluster_share_stores_no_texts(spark, tmp_path, monkeypatch):
+    from matchsmith.plans import catalog
+    from matchsmith.plans import training_sets as TSETS
+    sf = _documents(spark, tmp_path)
+    plain, _, gold = _labelled(spark, sf)
+    held = plain.where(gold).where("id_left <> id_right").select(F.explode(F.array("id_left", "id_right")).alias("id")).distinct()
+    clusters = FX.offers(spark, sf).join(held, "id").select("cluster_id").distinct()
+    _no_titles(monkeypatch)
+    assert _rows(catalog.gold_clusters(spark, sf)) == _rows(clusters)
+    assert _rows(catalog.cluster_share(spark, sf)) == _rows(TSETS.select_clusters(clusters, 0.5, catalog.CFG.seed))
