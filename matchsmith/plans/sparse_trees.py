@@ -74,6 +74,8 @@ def _pack(tasks: int, draws: bool):
             lists = batch.column(3)
             place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(lists)).astype(np.uint16), np.diff(lists.offsets.to_numpy()))
+            if ((np.diff(row) == 0) & (np.diff(place) <= 0)).any():
+                raise ValueError("a row's places must rise, as those of a vector")
             order = np.lexsort((place, place % tasks))  # stable: rows stay in order
             place, row = place[order], row[order]
             ends = np.searchsorted(place % tasks, np.arange(tasks + 1))

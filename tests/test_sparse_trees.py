@@ -114,3 +114,10 @@ def test_a_tree_without_a_split(spark):
     model = ST.fit(EX.estimator("decision_tree", {}, 25), train, 1)
     assert model.depth == 0 and MT.importance_weights(model).count() == 0
     assert {(r.prediction, r.score) for r in MT.predictions(model, train, "pair_id", places="places").collect()} == {(1, 1.0)}
+
+
+def test_a_feature_twice_in_a_row_is_an_error(spark):
+    """As it is in a vector: the row would count twice."""
+    train = spark.createDataFrame([(1, 1.0, [0, 0], 1.0), (2, 0.0, [1], 1.0)], "pair_id long, label double, places array<int>, weight double")
+    with pytest.raises(Exception, match="places must rise"):
+        ST.fit(EX.estimator("decision_tree", {}, 2), train, 2)
