@@ -10,8 +10,8 @@ A fit is one task as long as its nonzeros fit one (``NONZEROS_OF_A_TASK``): boos
 steps, which cost more as jobs. Beyond that the features are dealt over more tasks of one barrier stage:
 each sends its best split of each node and the rows of it, once a level, and a step takes a second. Impurities,
 gains, stopping rules, boosting, pruning and importances are Spark ML's. Rows are drawn for a forest by the
-hash of their key, features of a node by a seeded generator, so a fit doesn't depend on partitions or
-on the order of rows.
+hash of their key, features of a node by a seeded generator, so draws don't depend on partitions or
+on the order of rows. Sums do in their last digits, as Spark ML's: late rounds of boosting may split otherwise.
 """
 
 from __future__ import annotations
